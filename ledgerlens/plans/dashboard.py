@@ -83,8 +83,8 @@ def kpi_yoy_delta(wh, flt: Filter) -> DataFrame:
     lat = ov_latest(wh, flt)
     cols = ["dso", "dpo", "dio", "ccc", "nwc", "ar", "ap", "inventory"]
 
-    def at(m, c):
-        return F.max(F.when(F.col("month") == m, F.col(c)))
+    def at(m, c):  # as the dashboard numbers, in DOUBLE
+        return F.max(F.when(F.col("month") == m, F.col(c).cast("double")))
 
     return lat.agg(
         F.lit(flt.month_to).alias("month"), F.lit(flt.prior).alias("prior_month"),
@@ -383,7 +383,7 @@ def inv_categories(wh, flt: Filter) -> DataFrame:
     c = F.broadcast(wh.dim_inventory_category.select("inventory_category", "target_dio"))
     g = (i.join(c, "inventory_category", "left").groupBy(F.col("inventory_category").alias("name"))
           .agg(F.sum("inventory_value_usd").alias("value"),
-               F.sum(F.col("inventory_value_usd").cast("double") * F.col("slow_moving_pct")).alias("slow_moving"),
+               F.sum(F.col("inventory_value_usd") * F.col("slow_moving_pct")).alias("slow_moving"),
                F.round(F.sum("inventory_value_usd").cast("double")
                        / F.when(F.sum("cogs_usd") != 0, F.sum("cogs_usd").cast("double")) * F.lit(365.0) / F.lit(12.0),
                        1).alias("dio"),
@@ -400,7 +400,7 @@ def inv_kpis(wh, flt: Filter) -> DataFrame:
     return (tot.crossJoin(dio)
                .select(F.lit(flt.month_to).alias("month"), "inventory", "slow_moving",
                        F.when(F.coalesce(F.col("inventory"), F.lit(0)) != 0,
-                              F.lit(100.0) * F.col("slow_moving") / F.col("inventory").cast("double"))
+                              F.lit(100.0) * F.col("slow_moving").cast("double") / F.col("inventory").cast("double"))
                         .otherwise(F.lit(0.0)).alias("slow_moving_pct"),
                        "dio", "over_target"))
 

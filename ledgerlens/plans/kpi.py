@@ -56,7 +56,7 @@ def inventory_monthly(flows: DataFrame, dim_company: DataFrame, dim_category: Da
                  F.round(cogs_d, 2).cast(MONEY).alias("cogs_usd"),
                  F.round(value, 2).cast(MONEY).alias("inventory_value_usd"),
                  F.round(F.col("slow_moving_pct").cast("double") * (F.lit(1.0) + F.lit(SLOW_MOVING_DRIFT) * idx), 4)
-                 .alias("slow_moving_pct"),
+                 .cast("decimal(10,4)").alias("slow_moving_pct"),
                  F.lit(True).alias("is_demo_enrichment")))
 
 

@@ -74,7 +74,7 @@ def _per_company(wh, flt: Filter) -> DataFrame:
         sum_if(F.col("early_pay_program") == "Standard", "amount_usd").alias("standard_volume"))
     inv = (wh.inventory_monthly.filter(F.col("month") == m_to).groupBy("company")
            .agg(F.sum("inventory_value_usd").alias("inv_value"),
-                F.sum(F.col("inventory_value_usd").cast("double") * F.col("slow_moving_pct")).alias("slow_moving")))
+                F.sum(F.col("inventory_value_usd") * F.col("slow_moving_pct")).alias("slow_moving")))
     opp = wh.wc_opportunities.groupBy("company").agg(F.sum("cash_release_usd").alias("cash_release"),
                                                      F.sum("pnl_impact_usd").alias("pnl_impact"))
     fc = wh.cash_forecast.groupBy("company").agg(
