@@ -7,8 +7,8 @@ flows, inventory, KPI, forecast) are written as parquet under the shared
 checkpoint folder (``spark.checkpoint.dir``) and read back, which cuts
 lineage, survives executor loss, and lets every dashboard query scan a
 pruned, pushed-down file set instead of re-running the pipeline.  The item
-tables are written partitioned by company and invoice month, so company
-and period filters prune whole directories.
+tables are written partitioned by invoice month, so period filters (the
+dashboards' month range) prune whole directories.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ _LAYOUT = {
     "journal": [],
     "dim_customer": [],
     "dim_supplier": [],
-    "ar_core": ["company", "invoice_month"],
-    "ap_core": ["company", "invoice_month"],
+    "ar_core": ["invoice_month"],
+    "ap_core": ["invoice_month"],
     "monthly_flows": [],
     "inventory_monthly": [],
     "wc_monthly_kpi": [],

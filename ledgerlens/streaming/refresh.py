@@ -39,7 +39,7 @@ def stage_journal_files(journal: DataFrame, folder: str, files: int = 6) -> str:
     return folder
 
 
-def journal_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+def journal_stream(spark: SparkSession, folder: str, files_per_trigger: int = 2) -> DataFrame:
     return (spark.readStream.schema(JOURNAL_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
                  .parquet(folder))
 

@@ -19,7 +19,7 @@ _LOCK = threading.RLock()
 
 
 class StreamRun:
-    def __init__(self, wh, files: int = 6):
+    def __init__(self, wh, files: int = 4):
         self.wh = wh
         self.root = os.path.join(wh.root, "stream-" + uuid.uuid4().hex[:8])
         self.files = files

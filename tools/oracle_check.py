@@ -2,63 +2,29 @@
 
     python tools/oracle_check.py [sf_dir] [key ...]
 
-Compares row count, column names, and an order-insensitive multiset of rows
-in two modes: exact (floats by repr) and tolerant (floats rounded to 6
-decimals).  Prints one line per key and a summary.
+Prints one line per key (EXACT = bit-exact, TOL = equal after rounding
+floats to 6 decimals, MISMATCH) and a summary.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import decimal
-import math
 import os
 import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import duckdb  # noqa: E402
-
+from ledgerlens.oracle.compare import compare, oracle_connection  # noqa: E402
 from ledgerlens.oracle.sql import oracle_queries  # noqa: E402
 from ledgerlens.registry import queries  # noqa: E402
 from ledgerlens.session import build_session  # noqa: E402
-from ledgerlens.sources.tables import TABLES, table_path  # noqa: E402
-
-
-def _norm(v, tol: bool):
-    if v is None:
-        return None
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return round(v, 6) + 0.0 if tol else repr(v)
-    if isinstance(v, decimal.Decimal):
-        return _norm(float(v), tol)
-    if isinstance(v, dt.datetime):
-        return v.isoformat()
-    if isinstance(v, dt.date):
-        return v.isoformat()
-    if isinstance(v, bool):
-        return bool(v)
-    if isinstance(v, int):
-        return int(v)
-    return str(v)
-
-
-def _rows(rows, cols, tol):
-    order = sorted(range(len(cols)), key=lambda i: cols[i])
-    out = [tuple(_norm(r[i], tol) for i in order) for r in rows]
-    return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = set(sys.argv[2:])
     spark = build_session()
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{table_path(sf, t)}')")
+    con = oracle_connection(sf)
     qs, sqls = queries(), oracle_queries()
     summary = {"exact": [], "tolerant": [], "fail": [], "no_oracle": []}
     for key, fn in qs.items():
@@ -70,30 +36,16 @@ def main() -> None:
             continue
         t0 = time.time()
         try:
-            sdf = fn(spark, sf)
-            s_rows, s_cols = [tuple(r) for r in sdf.collect()], sdf.columns
-            res = con.execute(sqls[key])
-            o_cols = [d[0] for d in res.description]
-            o_rows = res.fetchall()
+            r = compare(fn(spark, sf), con, sqls[key])
         except Exception as e:  # noqa: BLE001
             summary["fail"].append(key)
             print(f"{key:34s} ERROR {type(e).__name__}: {str(e)[:400]}")
             continue
-        msg = []
-        if sorted(s_cols) != sorted(o_cols):
-            msg.append(f"cols spark={sorted(s_cols)} oracle={sorted(o_cols)}")
-        if len(s_rows) != len(o_rows):
-            msg.append(f"rows spark={len(s_rows)} oracle={len(o_rows)}")
-        exact = not msg and _rows(s_rows, s_cols, False) == _rows(o_rows, o_cols, False)
-        tol = not msg and _rows(s_rows, s_cols, True) == _rows(o_rows, o_cols, True)
-        status = "EXACT" if exact else ("TOL" if tol else "MISMATCH")
-        if status == "MISMATCH" and not msg:
-            a, b = _rows(s_rows, s_cols, True), _rows(o_rows, o_cols, True)
-            diff = [(x, y) for x, y in zip(a, b) if x != y][:2]
-            msg.append(f"first diffs (cols {sorted(s_cols)}): {diff}")
-        summary["exact" if exact else "tolerant" if tol else "fail"].append(key)
-        print(f"{key:34s} {status:8s} rows={len(s_rows):6d} {time.time() - t0:5.1f}s {' | '.join(msg)[:1500]}",
-              flush=True)
+        status = "EXACT" if r["exact"] else "TOL" if r["tolerant"] else "MISMATCH"
+        summary["exact" if r["exact"] else "tolerant" if r["tolerant"] else "fail"].append(key)
+        extra = "" if r["columns"] and r["rows"] else f" cols={r['spark_cols']} vs {r['oracle_cols']} " \
+                                                       f"rows={r['n_spark']} vs {r['n_oracle']}"
+        print(f"{key:34s} {status:8s} rows={r['n_spark']:6d} {time.time() - t0:5.1f}s{extra}", flush=True)
     print({k: len(v) for k, v in summary.items()})
     print("not exact:", summary["tolerant"], "failed:", summary["fail"])
 
