@@ -213,15 +213,36 @@ def _fact(wh, key: str) -> DataFrame:
     return globals()[key](wh)
 
 
+PROVENANCE = {
+    "ask_kpi_by_company": "wc_monthly_kpi, latest month",
+    "ask_kpi_trend": "wc_monthly_kpi, all months, weighted DSO/REVENUE, DPO/PURCHASES, DIO/COGS",
+    "ask_ar_totals": "ar_items, open", "ask_ap_totals": "ap_items, open",
+    "ask_cash_now": "bank_balance_weekly, latest week", "ask_levers": "wc_opportunities by lever",
+    "cash_by_bank": "bank_balance_weekly, latest week, by house bank",
+    "cash_by_purpose": "bank_balance_weekly, latest week, by purpose",
+    "ask_weekly_26": "bank_balance_weekly, last 26 weeks", "ask_forecast_rows": "cash_forecast rows",
+    "ask_ar_behaviour": "ar_items, cleared", "ask_ar_aging": "ar_items, open by aging bucket",
+    "ask_top10_overdue": "ar_items, open, top 10 customers by overdue", "ask_ar_by_segment": "ar_items, open by segment",
+    "ask_ar_dunning": "ar_items, open by dunning level", "ask_dso_trend": "wc_monthly_kpi, weighted DSO by month",
+    "ask_ap_behaviour": "ap_items, paid, all periods", "ask_ap_aging": "ap_items, open by aging bucket",
+    "ask_top_suppliers": "ap_items, open, top 10 suppliers", "ask_dpo_trend": "wc_monthly_kpi, weighted DPO by month",
+    "ask_ep_totals": "ap_items", "ask_ep_by_program": "ap_items by program", "ask_ep_by_outcome": "ap_items by outcome",
+    "ask_dd_yield": "ap_items, DD Accepted, captured/amount*365/avg(greatest(1, days_to_pay))",
+    "ask_inv_dio_trend": "wc_monthly_kpi, weighted DIO by month",
+    "ask_inv_categories": "inventory_monthly x dim_inventory_category, latest month",
+    "ask_opp_by_company": "wc_opportunities by company", "ask_top_levers": "wc_opportunities, top 15",
+}
+
+
 def fact_pack(wh, topics: list[str] | None = None) -> DataFrame:
-    """All facts of the given topics as ``(topic, fact_key, seq, row_json)``."""
+    """All facts of the given topics as ``(topic, fact_key, provenance, row_json)``:
+    one union of small aggregates, one row per fact row."""
     parts = []
     for topic in topics or list(TOPICS):
         for key in TOPICS[topic]:
             df = _fact(wh, key)
-            w = Window.orderBy(*[F.col(c) for c in df.columns])
             parts.append(df.select(F.lit(topic).alias("topic"), F.lit(key).alias("fact_key"),
-                                   F.row_number().over(w).alias("seq"),
+                                   F.lit(PROVENANCE[key]).alias("provenance"),
                                    F.to_json(F.struct(*df.columns)).alias("row_json")))
     return reduce(DataFrame.unionByName, parts)
 
