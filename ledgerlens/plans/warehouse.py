@@ -8,7 +8,8 @@ checkpoint folder (``spark.checkpoint.dir``) and read back, which cuts
 lineage, survives executor loss, and lets every dashboard query scan a
 pruned, pushed-down file set instead of re-running the pipeline.  The item
 tables are written partitioned by invoice month, so period filters (the
-dashboards' month range) prune whole directories.
+dashboards' month range) prune whole directories.  The monthly tables are
+bounded by companies x months and are also cached in memory.
 """
 
 from __future__ import annotations
@@ -39,8 +40,15 @@ _LAYOUT = {
     "inventory_monthly": [],
     "wc_monthly_kpi": [],
     "cash_forecast": [],
+    "wc_opportunities": [],
 }
 
+# Tables whose size is bounded by companies x months (x categories or
+# weeks), not by the number of journal lines: kept in memory after being
+# written, as every dashboard query reads one of them.  Lost blocks are
+# re-read from the written files.
+_SMALL = {"monthly_flows", "inventory_monthly", "wc_monthly_kpi", "cash_forecast", "wc_opportunities"}
+
 
 class Warehouse:
     def __init__(self, spark: SparkSession, sf_dir: str | None = None, params: Params = TEST_PARAMS,
@@ -68,6 +76,8 @@ class Warehouse:
                     w = w.partitionBy(*parts)
                 w.parquet(path)
                 df = self.spark.read.parquet(path).select(*df.columns)
+                if name in _SMALL:
+                    df = df.cache()
             self._tables[name] = df
             return df
 
