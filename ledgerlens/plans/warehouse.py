@@ -61,10 +61,17 @@ class Warehouse:
         base = root or os.path.join(ensure_checkpoint_dir(spark), "ledgerlens-gold")
         self.root = os.path.join(base, uuid.uuid4().hex[:12])
         self._tables: dict[str, DataFrame] = {}
+        self._locks: dict[str, threading.Lock] = {}
+        self._guard = threading.Lock()
 
     # ---- plumbing ------------------------------------------------------
     def _get(self, name: str, build) -> DataFrame:
-        with _LOCK:
+        # One lock per table: independent tables can be built by concurrent
+        # jobs; a table is never built twice.  The dependency graph is
+        # acyclic, so nested acquisition cannot deadlock.
+        with self._guard:
+            lock = self._locks.setdefault(name, threading.Lock())
+        with lock:
             if name in self._tables:
                 return self._tables[name]
             df = build()
@@ -160,10 +167,23 @@ class Warehouse:
         return self._get("wc_opportunities", lambda: levers.wc_opportunities(
             self.wc_monthly_kpi, self.monthly_flows, self.inventory_monthly, self.ap_items, self.params))
 
-    def build_all(self) -> dict[str, DataFrame]:
-        names = ["journal", "dim_customer", "dim_supplier", "ar_core", "ap_core", "monthly_flows",
-                 "inventory_monthly", "wc_monthly_kpi", "cash_forecast", "bank_balance_weekly", "wc_opportunities",
-                 "ar_items", "ap_items"]
+    # Build order; tables on one level do not depend on each other.
+    LEVELS = [["journal"], ["dim_customer", "dim_supplier"], ["ar_core", "ap_core"], ["monthly_flows"],
+              ["inventory_monthly"], ["wc_monthly_kpi", "cash_forecast"], ["wc_opportunities"]]
+
+    def build_all(self, parallel: bool = True) -> dict[str, DataFrame]:
+        """Materialise every curated table; with ``parallel`` the tables of one
+        level are submitted as concurrent Spark jobs (the scheduler shares the
+        executors between them)."""
+        from concurrent.futures import ThreadPoolExecutor
+        for level in self.LEVELS:
+            if parallel and len(level) > 1:
+                with ThreadPoolExecutor(max_workers=len(level)) as ex:
+                    list(ex.map(lambda n: getattr(self, n), level))
+            else:
+                for n in level:
+                    getattr(self, n)
+        names = [n for lv in self.LEVELS for n in lv] + ["bank_balance_weekly", "ar_items", "ap_items"]
         return {n: getattr(self, n) for n in names}
 
 
