@@ -95,9 +95,11 @@ def ask_ar_aging(wh) -> DataFrame:
 
 
 def ask_top10_overdue(wh) -> DataFrame:
-    g = wh.ar_items.filter("is_open").groupBy("customer_name").agg(
-        F.max("segment").alias("segment"), F.max("credit_risk").alias("risk"), _overdue().alias("overdue"),
-        F.max("days_past_due").alias("max_dpd"))
+    fine = wh.ar_items.filter("is_open").groupBy("customer_name", "segment", "credit_risk").agg(
+        _overdue().alias("overdue"), F.max("days_past_due").alias("max_dpd"))
+    g = fine.groupBy("customer_name").agg(
+        F.max("segment").alias("segment"), F.max("credit_risk").alias("risk"), F.sum("overdue").alias("overdue"),
+        F.max("max_dpd").alias("max_dpd"))
     return g.filter(F.col("overdue") > 0).orderBy(F.desc("overdue"), "customer_name").limit(10)
 
 
@@ -131,8 +133,10 @@ def ask_ap_aging(wh) -> DataFrame:
 
 
 def ask_top_suppliers(wh) -> DataFrame:
-    g = wh.ap_items.filter("is_open").groupBy("supplier_name").agg(
-        F.max("category").alias("category"), F.sum("amount_usd").alias("open_ap"), _overdue().alias("overdue"))
+    fine = wh.ap_items.filter("is_open").groupBy("supplier_name", "category").agg(
+        F.sum("amount_usd").alias("open_ap"), _overdue().alias("overdue"))
+    g = fine.groupBy("supplier_name").agg(
+        F.max("category").alias("category"), F.sum("open_ap").alias("open_ap"), F.sum("overdue").alias("overdue"))
     return g.orderBy(F.desc("open_ap"), "supplier_name").limit(10)
 
 

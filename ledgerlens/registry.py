@@ -83,9 +83,11 @@ def filter_period_check(wh) -> DataFrame:
     """AR invoiced and paid by company for a company subset over a period
     given reversed (it is swapped)."""
     ar = wh.ar_items.filter(SUBSET.where("invoice_month"))
-    return (ar.groupBy("company").agg(F.count(F.lit(1)).alias("items"), F.sum("amount_usd").alias("invoiced"),
-                                      F.min("invoice_month").alias("first_month"),
-                                      F.max("invoice_month").alias("last_month"))
+    per_month = ar.groupBy("company", "invoice_month").agg(F.count(F.lit(1)).alias("items"),
+                                                           F.sum("amount_usd").alias("invoiced"))
+    return (per_month.groupBy("company").agg(F.sum("items").alias("items"), F.sum("invoiced").alias("invoiced"),
+                                             F.min("invoice_month").alias("first_month"),
+                                             F.max("invoice_month").alias("last_month"))
               .orderBy("company"))
 
 
