@@ -34,13 +34,29 @@ def outline(df) -> str:
     return tree.strip() + "\n" + "\n".join(keep)
 
 
+def build_plan(spark, sf: str, name: str):
+    """Plans of the pipeline steps themselves (over the materialised inputs)."""
+    from ledgerlens.config import TEST_PARAMS as P
+    from ledgerlens.plans import dims, flows, items
+    from ledgerlens.plans.warehouse import get_warehouse
+    wh = get_warehouse(spark, sf, P)
+    if name == "monthly_flows":
+        return flows.monthly_flows(wh.ar_core, wh.ap_core, P.history_start)
+    if name == "ar_core":
+        return items.ar_core(wh.journal, wh.dim_customer, wh.dim_company)
+    if name == "partner_ids":
+        return dims.partner_ids(wh.journal, "customer")
+    raise KeyError(name)
+
+
 def main() -> None:
     sf = sys.argv[1]
     keys = sys.argv[2:]
     spark = build_session()
     qs = queries()
     for k in keys:
-        print(f"### {k}\n```\n{outline(qs[k](spark, sf))}\n```\n")
+        df = build_plan(spark, sf, k[6:]) if k.startswith("build:") else qs[k](spark, sf)
+        print(f"### {k}\n```\n{outline(df)}\n```\n")
 
 
 if __name__ == "__main__":
