@@ -24,7 +24,7 @@ def dense_index(df: DataFrame, order_col: str, out_col: str = "rn", num_partitio
     ``order_col`` must be unique (the callers pass distinct ids).
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or spark.sparkContext.defaultParallelism
     tagged = (df.repartitionByRange(n, F.col(order_col))
                 .sortWithinPartitions(order_col)
                 .withColumn("_mid", F.monotonically_increasing_id())

@@ -61,13 +61,13 @@ def lineage_counts(wh) -> DataFrame:
 
 
 def lineage_products(wh) -> DataFrame:
-    """The counts unpivoted to one row per product, with its description."""
-    wide = lineage_counts(wh)
-    parts = []
-    for key, product, obj, usage in LINEAGE_PRODUCTS:
-        parts.append(wide.select(F.lit(product).alias("data_product"), F.lit(obj).alias("l1_object"),
-                                 F.col(key).alias("rows"), F.lit(usage).alias("usage")))
-    return reduce(DataFrame.unionByName, parts)
+    """One row per source product with its description and row count: the
+    long counts joined to the (literal, seven-row) product list."""
+    frames = _source_frames(wh)
+    long = _counts({k: frames[k] for k, *_ in LINEAGE_PRODUCTS})
+    desc = wh.spark.createDataFrame(LINEAGE_PRODUCTS, "object string, data_product string, l1_object string, "
+                                                      "usage string")
+    return long.join(F.broadcast(desc), "object").select("data_product", "l1_object", "rows", "usage")
 
 
 def bundle_audit(wh) -> DataFrame:

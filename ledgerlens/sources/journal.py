@@ -121,10 +121,10 @@ def journal_from_tpch(spark: SparkSession, sf_dir: str, params: Params) -> DataF
                 F.lit("H").alias("debit_credit"),
                 F.lit("").alias("profit_center")))
 
-    # Lay the lines down as evenly sized partitions (round robin), as an
-    # extract of a source system arrives: downstream stages then get one
-    # balanced task per partition however the test files are laid out.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Lay the lines down as evenly sized partitions (round robin), one per
+    # core, as an extract of a source system arrives: downstream stages then
+    # get balanced tasks however the test files are laid out.
+    n = spark.sparkContext.defaultParallelism
     return _lines(ar.unionByName(ap).unionByName(memo), spark).repartition(n)
 
 

@@ -61,14 +61,22 @@ def read_items(spark: SparkSession, sink: str, kind: str, as_of) -> DataFrame:
 
 
 def flow_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, dim_customer: DataFrame,
-                dim_supplier: DataFrame, dim_company: DataFrame, history_start, available_now: bool = True):
+                dim_supplier: DataFrame, dim_company: DataFrame, history_start, available_now: bool = True,
+                kpi_sink: str | None = None, dim_category: DataFrame | None = None, kpi_start=None):
+    """Per micro-batch: append the batch's deltas; then (downstream refresh)
+    recompute the KPI table from all deltas so far and overwrite ``kpi_sink``.
+    Both steps are idempotent, so a replayed batch leaves the same state."""
     j = journal_stream(spark, source)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         ar = items.ar_core(batch, dim_customer, dim_company)
         ap = items.ap_core(batch, dim_supplier, dim_company)
         deltas = flow_plan.monthly_deltas(ar, ap, history_start)
+        # deltas are companies x months rows per batch: one file is enough
         deltas.coalesce(1).write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
+        if kpi_sink is not None:
+            kpi_refresh(read_flows(spark, sink), dim_company, dim_category, kpi_start) \
+                .write.mode("overwrite").parquet(kpi_sink)
 
     w = j.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 day")

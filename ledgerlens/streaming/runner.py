@@ -40,7 +40,9 @@ class StreamRun:
                 refresh.item_stream(spark, src, self._p("ap"), self._p("ckpt", "ap"), "ap",
                                     wh.dim_supplier, wh.dim_company),
                 refresh.flow_stream(spark, src, self._p("deltas"), self._p("ckpt", "flows"),
-                                    wh.dim_customer, wh.dim_supplier, wh.dim_company, wh.params.history_start),
+                                    wh.dim_customer, wh.dim_supplier, wh.dim_company, wh.params.history_start,
+                                    kpi_sink=self._p("kpi"), dim_category=wh.dim_inventory_category,
+                                    kpi_start=wh.params.kpi_start),
             ]
             for q in qs:
                 q.awaitTermination()
@@ -57,8 +59,8 @@ class StreamRun:
         return refresh.read_flows(self.wh.spark, self._p("deltas"))
 
     def wc_monthly_kpi(self) -> DataFrame:
-        return refresh.kpi_refresh(self.monthly_flows(), self.wh.dim_company, self.wh.dim_inventory_category,
-                                   self.wh.params.kpi_start)
+        """The KPI table as refreshed by the last micro-batch."""
+        return self.wh.spark.read.parquet(self._p("kpi"))
 
 
 _RUNS: dict[int, StreamRun] = {}
