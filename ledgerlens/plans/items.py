@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.bucket import bucket100
 from ledgerlens.functions.calendar import month_str
 from ledgerlens.functions.measures import MONEY, round_half_up_double
+from ledgerlens.operators.skew_join import split_join
 
 AP_SALT = "ap"
 
@@ -76,12 +77,20 @@ def ap_base(journal: DataFrame) -> DataFrame:
                 .alias("item_bucket")))
 
 
-def ar_core(journal: DataFrame, dim_customer: DataFrame, dim_company: DataFrame) -> DataFrame:
+def _partner_join(base: DataFrame, dim: DataFrame, key: str, split_hot: bool) -> DataFrame:
+    # A streaming micro-batch joins the static dimension directly; a batch
+    # build splits hot partners off (see operators.skew_join).
+    return split_join(base, dim, key) if split_hot else base.join(dim, key)
+
+
+def ar_core(journal: DataFrame, dim_customer: DataFrame, dim_company: DataFrame,
+            split_hot: bool | None = None) -> DataFrame:
     h = F.col("item_bucket")
     cust = dim_customer.select("customer_id", "customer_name", "segment", "credit_risk", "payment_terms",
                                "terms_days", "avg_delay_days")
     comp = F.broadcast(dim_company.select("company_code", "company", "rate_to_usd"))
-    return (ar_base(journal).join(cust, "customer_id").join(comp, "company_code")
+    split = (not journal.isStreaming) if split_hot is None else split_hot
+    return (_partner_join(ar_base(journal), cust, "customer_id", split).join(comp, "company_code")
             .select(
                 "company_code", "company", "fiscal_year", "document_id", "customer_id", "customer_name",
                 "segment", "credit_risk", "profit_center", "currency", "payment_terms", "terms_days",
@@ -114,7 +123,8 @@ def ar_status(core: DataFrame, as_of: dt.date) -> DataFrame:
     ).select(*AR_COLUMNS))
 
 
-def ap_core(journal: DataFrame, dim_supplier: DataFrame, dim_company: DataFrame) -> DataFrame:
+def ap_core(journal: DataFrame, dim_supplier: DataFrame, dim_company: DataFrame,
+            split_hot: bool | None = None) -> DataFrame:
     h = F.col("item_bucket")
     supp = dim_supplier.select("supplier_id", "supplier_name", "category", "supplier_segment", "early_pay_program",
                                "payment_terms", "terms_days", "static_discount_pct", "static_discount_days",
@@ -127,7 +137,8 @@ def ap_core(journal: DataFrame, dim_supplier: DataFrame, dim_company: DataFrame)
                 .when((pct > 0) & (h < 40), STATIC_TAKEN)
                 .when(pct > 0, STATIC_MISSED)
                 .otherwise(AT_TERMS))
-    t = (ap_base(journal).join(supp, "supplier_id").join(comp, "company_code")
+    split = (not journal.isStreaming) if split_hot is None else split_hot
+    t = (_partner_join(ap_base(journal), supp, "supplier_id", split).join(comp, "company_code")
          .withColumn("payment_outcome", outcome)
          .withColumn("due_date", F.date_add("invoice_date", F.col("terms_days"))))
     po = F.col("payment_outcome")

@@ -69,3 +69,15 @@ def test_running_window_is_by_rows(spark):
     got = df.select("month_end", F.sum("v").over(_trailing()).alias("s")).orderBy("month_end").collect()
     assert [r.s for r in got] == [1, 3, 7]   # the gap month (March) does not shorten the window
     assert Window is not None
+
+
+def test_split_join_equals_plain_join_with_hot_key(spark):
+    from ledgerlens.operators.skew_join import hot_keys, split_join
+    rows = [("hot" if i % 3 == 0 else f"k{i % 97}", i) for i in range(3000)]   # one key holds a third
+    fact = spark.createDataFrame(rows, "key string, v int")
+    dim = spark.createDataFrame([("hot", "H")] + [(f"k{i}", f"n{i}") for i in range(97)], "key string, name string")
+    assert hot_keys(fact, "key", share=0.01, min_rows=10) == ["hot"]
+    got = split_join(fact, dim, "key", share=0.01, min_rows=10)
+    want = fact.join(dim, "key")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert hot_keys(fact, "key") == []   # default threshold: nothing is hot at this size
