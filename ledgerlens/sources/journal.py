@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.config import Params
+from ledgerlens.operators.skew_join import split_join
 from ledgerlens.sources.literals import dim_company, region_company
 from ledgerlens.sources.tables import read_table
 
@@ -70,12 +71,13 @@ def _lines(df: DataFrame, spark: SparkSession) -> DataFrame:
 
 def journal_from_tpch(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
     nation_company = _nation_company(spark, sf_dir)
+    # partner -> company (partner keys renamed to the fact's key for the joins)
     cust_company = (read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
                     .join(nation_company, F.col("c_nationkey") == F.col("n_nationkey"))
-                    .select("c_custkey", "company_code"))
+                    .select(F.col("c_custkey").alias("o_custkey"), "company_code"))
     supp_company = (read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
                     .join(nation_company, F.col("s_nationkey") == F.col("n_nationkey"))
-                    .select("s_suppkey", "company_code"))
+                    .select(F.col("s_suppkey").alias("l_suppkey"), "company_code"))
 
     orders = (read_table(spark, sf_dir, "orders",
                          ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"])
@@ -85,7 +87,9 @@ def journal_from_tpch(spark: SparkSession, sf_dir: str, params: Params) -> DataF
                             "l_returnflag"])
                 .filter(_posted_by("l_shipdate", params.as_of)))
 
-    ar = (orders.join(cust_company, F.col("o_custkey") == F.col("c_custkey"))
+    # One customer or supplier may carry a large share of all lines: hot
+    # partners are split off and joined by broadcast (operators.skew_join).
+    ar = (split_join(orders, cust_company, "o_custkey")
           .select(
               "company_code",
               F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("accounting_document"),
@@ -97,7 +101,7 @@ def journal_from_tpch(spark: SparkSession, sf_dir: str, params: Params) -> DataF
               F.col("o_orderpriority").alias("profit_center")))
 
     item_doc = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
-    ap = (lineitem.join(supp_company, F.col("l_suppkey") == F.col("s_suppkey"))
+    ap = (split_join(lineitem, supp_company, "l_suppkey")
           .select(
               "company_code",
               F.concat(F.lit("L"), item_doc).alias("accounting_document"),
@@ -108,9 +112,9 @@ def journal_from_tpch(spark: SparkSession, sf_dir: str, params: Params) -> DataF
               F.lit("H").alias("debit_credit"),
               F.lit("").alias("profit_center")))
 
-    memo = (lineitem.filter(F.col("l_returnflag") == "R")
-            .join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(cust_company, F.col("o_custkey") == F.col("c_custkey"))
+    returned = (lineitem.filter(F.col("l_returnflag") == "R")
+                .join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")))
+    memo = (split_join(returned, cust_company, "o_custkey")
             .select(
                 "company_code",
                 F.concat(F.lit("R"), item_doc).alias("accounting_document"),
