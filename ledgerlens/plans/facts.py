@@ -239,16 +239,22 @@ PROVENANCE = {
 
 
 def fact_pack(wh, topics: list[str] | None = None) -> DataFrame:
-    """All facts of the given topics as ``(topic, fact_key, provenance, row_json)``:
-    one union of small aggregates, one row per fact row."""
+    """All facts of the given topics as ``(topic, fact_key, provenance, row_json)``.
+
+    Each distinct fact is computed once (several topics share facts); the
+    union of those small aggregates is fanned out to its topics by a join
+    with the literal topic list."""
+    topics = topics or list(TOPICS)
+    pairs = [(t, k) for t in topics for k in TOPICS[t]]
+    keys = list(dict.fromkeys(k for _, k in pairs))
     parts = []
-    for topic in topics or list(TOPICS):
-        for key in TOPICS[topic]:
-            df = _fact(wh, key)
-            parts.append(df.select(F.lit(topic).alias("topic"), F.lit(key).alias("fact_key"),
-                                   F.lit(PROVENANCE[key]).alias("provenance"),
-                                   F.to_json(F.struct(*df.columns)).alias("row_json")))
-    return reduce(DataFrame.unionByName, parts)
+    for key in keys:
+        df = _fact(wh, key)
+        parts.append(df.select(F.lit(key).alias("fact_key"), F.lit(PROVENANCE[key]).alias("provenance"),
+                               F.to_json(F.struct(*df.columns)).alias("row_json")))
+    topic_map = wh.spark.createDataFrame(pairs, "topic string, fact_key string")
+    return (reduce(DataFrame.unionByName, parts).join(F.broadcast(topic_map), "fact_key")
+            .select("topic", "fact_key", "provenance", "row_json"))
 
 
 # ------------------------------------------------ report facts
