@@ -36,3 +36,16 @@ def test_fact_pack_rows(spark, wh):
     keys = {r["fact_key"] for r in pack.select("fact_key").distinct().collect()}
     assert keys == {k for ks in TOPICS.values() for k in ks}
     assert pack.filter("row_json IS NULL").count() == 0
+
+
+def test_schemas_match_oracle(spark, con):
+    from pyspark.sql import types as T
+    names = {T.IntegerType: "INTEGER", T.LongType: "BIGINT", T.DoubleType: "DOUBLE", T.StringType: "VARCHAR",
+             T.DateType: "DATE", T.BooleanType: "BOOLEAN"}
+    bad = {}
+    for key in KEYS:
+        s = {f.name: names.get(type(f.dataType), str(f.dataType)) for f in QUERIES[key](spark, SF_SMALL).schema}
+        d = {r[0]: r[1] for r in con.execute(f"DESCRIBE ({SQLS[key]})").fetchall()}
+        if s != d:
+            bad[key] = {c: (s.get(c), d.get(c)) for c in set(s) | set(d) if s.get(c) != d.get(c)}
+    assert not bad, bad
