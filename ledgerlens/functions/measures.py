@@ -43,3 +43,11 @@ def weighted_ratio(value, weight, digits: int = 1) -> Column:
     """ROUND(SUM(value*weight) / NULLIF(SUM(weight), 0), digits)."""
     w = _c(weight).cast("double")
     return F.round(safe_ratio(F.sum(_c(value) * w), F.sum(w)), digits)
+
+
+def sorted_small(*cols):
+    """``DataFrame.transform`` step ordering a result whose size is bounded
+    (months, companies, categories, buckets, weeks): one partition, sorted in
+    place.  A global ``orderBy`` would add a range-partitioning exchange with
+    its own sampling job, which costs more than the sort of a few rows."""
+    return lambda df: df.repartition(1).sortWithinPartitions(*cols)

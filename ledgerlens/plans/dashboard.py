@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.filters import Filter
-from ledgerlens.functions.measures import safe_ratio, sum_if, weighted_ratio
+from ledgerlens.functions.measures import safe_ratio, sum_if, weighted_ratio, sorted_small
 from ledgerlens.sources.literals import COMPANIES
 
 # ---- fixed values (must equal the model being reproduced) ---------------
@@ -60,11 +60,11 @@ def _overdue(amount: str = "amount_usd") -> Column:
 
 # ---------------------------------------------------------------- filters
 def filter_companies(wh) -> DataFrame:
-    return wh.wc_monthly_kpi.select(F.col("company").alias("v")).distinct().orderBy("v")
+    return wh.wc_monthly_kpi.select(F.col("company").alias("v")).distinct().transform(sorted_small("v"))
 
 
 def filter_months(wh) -> DataFrame:
-    return wh.wc_monthly_kpi.select(F.col("month").alias("v")).distinct().orderBy("v")
+    return wh.wc_monthly_kpi.select(F.col("month").alias("v")).distinct().transform(sorted_small("v"))
 
 
 # ---------------------------------------------------------------- overview
@@ -75,7 +75,7 @@ def ov_latest(wh, flt: Filter) -> DataFrame:
         F.sum("net_working_capital_usd").alias("nwc"), F.sum("ar_balance_usd").alias("ar"),
         F.sum("ap_balance_usd").alias("ap"), F.sum("inventory_usd").alias("inventory"),
         F.sum("ar_overdue_usd").alias("ar_overdue"))
-    return g.select("month", _ccc(), "dso", "dpo", "dio", "nwc", "ar", "ap", "inventory", "ar_overdue").orderBy("month")
+    return g.select("month", _ccc(), "dso", "dpo", "dio", "nwc", "ar", "ap", "inventory", "ar_overdue").transform(sorted_small("month"))
 
 
 def kpi_yoy_delta(wh, flt: Filter) -> DataFrame:
@@ -103,13 +103,13 @@ def ccc_bridge(wh, flt: Filter) -> DataFrame:
                  (z("dso") + z("dio") - z("dpo")).alias("base"), z("dpo").alias("value")),
         F.struct(F.lit(3).alias("step"), F.lit("= CCC").alias("name"), F.lit(0.0).alias("base"),
                  z("ccc").alias("value")))
-    return cur.select(F.inline(steps)).orderBy("step")
+    return cur.select(F.inline(steps)).transform(sorted_small("step"))
 
 
 def ov_trend(wh, flt: Filter) -> DataFrame:
     k = wh.wc_monthly_kpi.filter(flt.where("month"))
     g = k.groupBy("month").agg(_dso(), _dpo(), _dio(), F.sum("net_working_capital_usd").alias("nwc"))
-    return g.select("month", _ccc(), "dso", "dpo", "dio", "nwc").orderBy("month")
+    return g.select("month", _ccc(), "dso", "dpo", "dio", "nwc").transform(sorted_small("month"))
 
 
 def ov_by_company(wh, flt: Filter) -> DataFrame:
@@ -117,7 +117,7 @@ def ov_by_company(wh, flt: Filter) -> DataFrame:
     return k.select(F.col("company").alias("name"), "region", "dso", "dpo", "dio", "ccc",
                     F.col("net_working_capital_usd").alias("nwc"), F.col("ar_balance_usd").alias("ar"),
                     F.col("ap_balance_usd").alias("ap"), F.col("inventory_usd").alias("inventory"),
-                    "ar_overdue_pct").orderBy("name")
+                    "ar_overdue_pct").transform(sorted_small("name"))
 
 
 # ---------------------------------------------------------------- cash
@@ -137,23 +137,23 @@ def cash_total(wh, flt: Filter) -> DataFrame:
 def cash_trend(wh, flt: Filter) -> DataFrame:
     b = wh.bank_balance_weekly.filter(flt.where(F.date_format("week_end", "yyyy-MM")))
     return (b.groupBy(F.date_format("week_end", "yyyy-MM-dd").alias("week"), F.col("company").alias("name"))
-             .agg(F.sum("balance_usd").alias("balance")).orderBy("week", "name"))
+             .agg(F.sum("balance_usd").alias("balance")).transform(sorted_small("week", "name")))
 
 
 def cash_trend_pivot(wh, flt: Filter) -> DataFrame:
     """Week x company balances; a missing week for a company stays null."""
     names = _company_names(flt)
-    return cash_trend(wh, flt).groupBy("week").pivot("name", names).agg(F.first("balance")).orderBy("week")
+    return cash_trend(wh, flt).groupBy("week").pivot("name", names).agg(F.first("balance")).transform(sorted_small("week"))
 
 
 def cash_by_bank(wh, flt: Filter) -> DataFrame:
     return (_bank_latest(wh, flt).groupBy(F.col("house_bank").alias("name"))
-            .agg(F.sum("balance_usd").alias("balance")).orderBy(F.desc("balance"), "name"))
+            .agg(F.sum("balance_usd").alias("balance")).transform(sorted_small(F.desc("balance"), "name")))
 
 
 def cash_by_purpose(wh, flt: Filter) -> DataFrame:
     return (_bank_latest(wh, flt).groupBy(F.col("account_purpose").alias("name"))
-            .agg(F.sum("balance_usd").alias("balance")).orderBy(F.desc("balance"), "name"))
+            .agg(F.sum("balance_usd").alias("balance")).transform(sorted_small(F.desc("balance"), "name")))
 
 
 def cash_forecast_13w(wh, flt: Filter) -> DataFrame:
@@ -164,7 +164,7 @@ def cash_forecast_13w(wh, flt: Filter) -> DataFrame:
                    F.sum("ar_receipts_usd").alias("receipts"), F.sum("ap_payments_usd").alias("ap_payments"),
                    F.sum("payroll_usd").alias("payroll"), F.sum("other_opex_usd").alias("other_opex"),
                    F.sum(net).alias("net"))
-              .orderBy("week_no"))
+              .transform(sorted_small("week_no")))
 
 
 def cash_running(wh, flt: Filter) -> DataFrame:
@@ -181,7 +181,7 @@ def cash_running(wh, flt: Filter) -> DataFrame:
                .withColumn("min_balance", F.min("closing_balance").over(whole))
                .select("week_no", "week_end", "receipts", "payments", "net", "closing_balance", "start_balance",
                        "forecast_net", "forecast_end_balance", "min_balance")
-               .orderBy("week_no"))
+               .transform(sorted_small("week_no")))
 
 
 # ---------------------------------------------------------------- AR
@@ -211,7 +211,7 @@ def ar_on_time(wh, flt: Filter) -> DataFrame:
 def ar_dso_trend(wh, flt: Filter) -> DataFrame:
     k = wh.wc_monthly_kpi.filter(flt.where("month"))
     return (k.groupBy("month").agg(_dso(), F.sum("ar_balance_usd").alias("ar"),
-                                   F.sum("ar_overdue_usd").alias("overdue")).orderBy("month"))
+                                   F.sum("ar_overdue_usd").alias("overdue")).transform(sorted_small("month")))
 
 
 def ar_dso_latest(wh, flt: Filter) -> DataFrame:
@@ -222,7 +222,7 @@ def ar_dso_latest(wh, flt: Filter) -> DataFrame:
 def ar_aging(wh, flt: Filter) -> DataFrame:
     return (_ar_open(wh, flt).groupBy(F.col("aging_bucket").alias("name"))
             .agg(F.sum("amount_usd").alias("amount"), F.count(F.lit(1)).alias("items"))
-            .orderBy(_rank("name", AR_AGING_ORDER), "name"))
+            .transform(sorted_small(_rank("name", AR_AGING_ORDER), "name")))
 
 
 def ar_top_overdue(wh, flt: Filter, k: int = TOP_CUSTOMERS) -> DataFrame:
@@ -245,13 +245,13 @@ def ar_top_overdue(wh, flt: Filter, k: int = TOP_CUSTOMERS) -> DataFrame:
 def ar_dunning(wh, flt: Filter) -> DataFrame:
     name = F.concat(F.lit("Level "), F.coalesce(F.col("dunning_level"), F.lit(0)).cast("string"))
     return (_ar_open(wh, flt).groupBy(name.alias("name"))
-            .agg(F.count(F.lit(1)).alias("items"), F.sum("amount_usd").alias("amount")).orderBy("name"))
+            .agg(F.count(F.lit(1)).alias("items"), F.sum("amount_usd").alias("amount")).transform(sorted_small("name")))
 
 
 def ar_by_segment(wh, flt: Filter) -> DataFrame:
     return (_ar_open(wh, flt).groupBy(F.col("segment").alias("name"))
             .agg(F.sum("amount_usd").alias("open_ar"), _overdue().alias("overdue"))
-            .orderBy(F.desc("open_ar"), "name"))
+            .transform(sorted_small(F.desc("open_ar"), "name")))
 
 
 # ---------------------------------------------------------------- AP
@@ -275,20 +275,20 @@ def ap_paid(wh, flt: Filter) -> DataFrame:
 
 def ap_dpo_trend(wh, flt: Filter) -> DataFrame:
     k = wh.wc_monthly_kpi.filter(flt.where("month"))
-    return k.groupBy("month").agg(_dpo(), F.sum("ap_balance_usd").alias("ap")).orderBy("month")
+    return k.groupBy("month").agg(_dpo(), F.sum("ap_balance_usd").alias("ap")).transform(sorted_small("month"))
 
 
 def ap_discounts(wh, flt: Filter) -> DataFrame:
     ap = wh.ap_items.filter(flt.where("invoice_month"))
     return (ap.groupBy(F.col("invoice_month").alias("month"))
               .agg(F.sum("discount_captured_usd").alias("captured"), F.sum("discount_lost_usd").alias("lost"))
-              .orderBy("month"))
+              .transform(sorted_small("month")))
 
 
 def ap_aging(wh, flt: Filter) -> DataFrame:
     return (_ap_open(wh, flt).groupBy(F.col("aging_bucket").alias("name"))
             .agg(F.sum("amount_usd").alias("amount"), F.count(F.lit(1)).alias("items"))
-            .orderBy(_rank("name", AP_AGING_ORDER), "name"))
+            .transform(sorted_small(_rank("name", AP_AGING_ORDER), "name")))
 
 
 def ap_top_suppliers(wh, flt: Filter, k: int = TOP_SUPPLIERS) -> DataFrame:
@@ -320,14 +320,14 @@ def ep_by_program(wh, flt: Filter) -> DataFrame:
             .agg(F.sum("amount_usd").alias("volume"), F.countDistinct("supplier_id").alias("suppliers"),
                  F.sum("discount_captured_usd").alias("captured"),
                  F.sum("dd_opportunity_usd").alias("dd_opportunity"), F.sum("scf_funded_usd").alias("scf_funded"))
-            .orderBy(F.desc("volume"), "name"))
+            .transform(sorted_small(F.desc("volume"), "name")))
 
 
 def ep_outcomes(wh, flt: Filter) -> DataFrame:
     return (_ap_period(wh, flt).groupBy(F.col("payment_outcome").alias("name"))
             .agg(F.count(F.lit(1)).alias("items"), F.sum("amount_usd").alias("volume"),
                  F.sum("discount_captured_usd").alias("captured"), F.sum("discount_lost_usd").alias("lost"))
-            .orderBy(F.desc("volume"), "name"))
+            .transform(sorted_small(F.desc("volume"), "name")))
 
 
 def _accel(floor: int) -> Column:
@@ -372,19 +372,19 @@ def ep_whatif(wh, flt: Filter) -> DataFrame:
     dd = dd.select("lever", "setting",
                    (F.col("setting") / F.lit(100.0) * F.col("standard_volume").cast("double") * (apr / F.lit(100.0))
                     * (F.lit(float(DD_ACCEL_DAYS)) / F.lit(365.0))).alias("value"))
-    return ext.unionByName(dd).orderBy("lever", "setting")
+    return ext.unionByName(dd).transform(sorted_small("lever", "setting"))
 
 
 # ---------------------------------------------------------------- inventory
 def inv_dio_trend(wh, flt: Filter) -> DataFrame:
     k = wh.wc_monthly_kpi.filter(flt.where("month"))
-    return k.groupBy("month").agg(_dio(), F.sum("inventory_usd").alias("inventory")).orderBy("month")
+    return k.groupBy("month").agg(_dio(), F.sum("inventory_usd").alias("inventory")).transform(sorted_small("month"))
 
 
 def inv_trend_by_cat(wh, flt: Filter) -> DataFrame:
     i = wh.inventory_monthly.filter(flt.where("month"))
     return (i.groupBy("month", F.col("inventory_category").alias("name"))
-             .agg(F.sum("inventory_value_usd").alias("value")).orderBy("month", "name"))
+             .agg(F.sum("inventory_value_usd").alias("value")).transform(sorted_small("month", "name")))
 
 
 def inv_categories(wh, flt: Filter) -> DataFrame:
@@ -399,7 +399,7 @@ def inv_categories(wh, flt: Filter) -> DataFrame:
                        1).alias("dio"),
                F.max("target_dio").alias("target_dio")))
     return (g.withColumn("gap_days", F.col("dio") - F.col("target_dio"))
-             .orderBy(F.desc("value"), "name"))
+             .transform(sorted_small(F.desc("value"), "name")))
 
 
 def inv_kpis(wh, flt: Filter) -> DataFrame:
@@ -424,20 +424,20 @@ def opp_rows(wh, flt: Filter) -> DataFrame:
     return _opp(wh, flt).select(
         "company", "lever", "area", "current_days", "target_days",
         F.col("cash_release_usd").alias("cash_release"), F.col("pnl_impact_usd").alias("pnl_impact")
-    ).orderBy(F.desc("cash_release"), "company", "lever")
+    ).transform(sorted_small(F.desc("cash_release"), "company", "lever"))
 
 
 def opp_by_lever(wh, flt: Filter) -> DataFrame:
     return (_opp(wh, flt).groupBy(F.col("lever").alias("name"))
             .agg(F.max("area").alias("area"), F.sum("cash_release_usd").alias("cash_release"),
                  F.sum("pnl_impact_usd").alias("pnl_impact"))
-            .orderBy(F.desc("cash_release"), "name"))
+            .transform(sorted_small(F.desc("cash_release"), "name")))
 
 
 def opp_by_company(wh, flt: Filter) -> DataFrame:
     return (_opp(wh, flt).groupBy(F.col("company").alias("name"))
             .agg(F.sum("cash_release_usd").alias("cash_release"), F.sum("pnl_impact_usd").alias("pnl_impact"))
-            .orderBy(F.desc("cash_release"), "name"))
+            .transform(sorted_small(F.desc("cash_release"), "name")))
 
 
 def opp_kpis(wh, flt: Filter) -> DataFrame:
@@ -450,7 +450,7 @@ def lever_company_pivot(wh, flt: Filter) -> DataFrame:
     """Lever x company cash release; a missing (lever, company) is 0."""
     names = _company_names(flt)
     p = _opp(wh, flt).groupBy("lever").pivot("company", names).agg(F.sum("cash_release_usd"))
-    return p.select("lever", *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names]).orderBy("lever")
+    return p.select("lever", *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names]).transform(sorted_small("lever"))
 
 
 def _company_names(flt: Filter) -> list[str]:
@@ -467,7 +467,7 @@ def share_of_total(df: DataFrame, name_col: str, value_col: str) -> DataFrame:
     pct = F.floor(F.lit(1000.0) * v / F.when(tot != 0, tot).otherwise(F.lit(1.0)) + F.lit(0.5)) / F.lit(10.0)
     return (df.select(F.col(name_col).alias("name"), F.col(value_col).cast("double").alias("value"))
               .withColumn("percent", pct)
-              .orderBy(F.desc("value"), "name"))
+              .transform(sorted_small(F.desc("value"), "name")))
 
 
 def ap_volume_share(wh, flt: Filter) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.filters import Filter
-from ledgerlens.functions.measures import safe_ratio, sum_if, weighted_ratio
+from ledgerlens.functions.measures import safe_ratio, sum_if, weighted_ratio, sorted_small
 from ledgerlens.plans import dashboard as D
 
 
@@ -36,7 +36,7 @@ def _on_time_pct():
 def ask_kpi_by_company(wh) -> DataFrame:
     k = wh.wc_monthly_kpi.filter(F.col("month") == wh.params.latest_month)
     return k.select("company", "region", "dso", "dpo", "dio", "ccc",
-                    F.col("net_working_capital_usd").alias("nwc")).orderBy("company")
+                    F.col("net_working_capital_usd").alias("nwc")).transform(sorted_small("company"))
 
 
 def ask_kpi_trend(wh) -> DataFrame:
@@ -45,7 +45,7 @@ def ask_kpi_trend(wh) -> DataFrame:
                  weighted_ratio("dio", "cogs_usd").alias("dio"), F.sum("net_working_capital_usd").alias("nwc"),
                  F.sum("ar_balance_usd").alias("ar"), F.sum("ap_balance_usd").alias("ap"),
                  F.sum("inventory_usd").alias("inventory"))
-            .orderBy("month"))
+            .transform(sorted_small("month")))
 
 
 def ask_ar_totals(wh) -> DataFrame:
@@ -70,7 +70,7 @@ def ask_cash_now(wh) -> DataFrame:
     latest = bank.agg(F.max("week_end").alias("latest_week"))
     return (bank.join(F.broadcast(latest), F.col("week_end") == F.col("latest_week"))
                 .groupBy("company").agg(F.sum("balance_usd").alias("balance"))
-                .orderBy(F.desc("balance"), "company"))
+                .transform(sorted_small(F.desc("balance"), "company")))
 
 
 def ask_weekly_26(wh) -> DataFrame:
@@ -91,7 +91,7 @@ def ask_ar_behaviour(wh) -> DataFrame:
 
 def ask_ar_aging(wh) -> DataFrame:
     return (wh.ar_items.filter("is_open").groupBy("aging_bucket")
-            .agg(F.sum("amount_usd").alias("amount"), F.count(F.lit(1)).alias("items")).orderBy("aging_bucket"))
+            .agg(F.sum("amount_usd").alias("amount"), F.count(F.lit(1)).alias("items")).transform(sorted_small("aging_bucket")))
 
 
 def ask_top10_overdue(wh) -> DataFrame:
@@ -106,18 +106,18 @@ def ask_top10_overdue(wh) -> DataFrame:
 def ask_ar_by_segment(wh) -> DataFrame:
     return (wh.ar_items.filter("is_open").groupBy("segment")
             .agg(F.sum("amount_usd").alias("open_ar"), _overdue().alias("overdue"))
-            .orderBy(F.desc("open_ar"), "segment"))
+            .transform(sorted_small(F.desc("open_ar"), "segment")))
 
 
 def ask_ar_dunning(wh) -> DataFrame:
     return (wh.ar_items.filter("is_open").groupBy(F.coalesce("dunning_level", F.lit(0)).alias("level"))
-            .agg(F.count(F.lit(1)).alias("items"), F.sum("amount_usd").alias("amount")).orderBy("level"))
+            .agg(F.count(F.lit(1)).alias("items"), F.sum("amount_usd").alias("amount")).transform(sorted_small("level")))
 
 
 def ask_dso_trend(wh) -> DataFrame:
     return (wh.wc_monthly_kpi.groupBy("month")
             .agg(weighted_ratio("dso", "revenue_usd").alias("dso"), F.sum("ar_overdue_usd").alias("overdue"))
-            .orderBy("month"))
+            .transform(sorted_small("month")))
 
 
 def ask_ap_behaviour(wh) -> DataFrame:
@@ -129,7 +129,7 @@ def ask_ap_behaviour(wh) -> DataFrame:
 
 def ask_ap_aging(wh) -> DataFrame:
     return (wh.ap_items.filter("is_open").groupBy("aging_bucket")
-            .agg(F.sum("amount_usd").alias("amount"), F.count(F.lit(1)).alias("items")).orderBy("aging_bucket"))
+            .agg(F.sum("amount_usd").alias("amount"), F.count(F.lit(1)).alias("items")).transform(sorted_small("aging_bucket")))
 
 
 def ask_top_suppliers(wh) -> DataFrame:
@@ -143,7 +143,7 @@ def ask_top_suppliers(wh) -> DataFrame:
 def ask_dpo_trend(wh) -> DataFrame:
     return (wh.wc_monthly_kpi.groupBy("month")
             .agg(weighted_ratio("dpo", "purchases_usd").alias("dpo"), F.sum("ap_balance_usd").alias("ap"))
-            .orderBy("month"))
+            .transform(sorted_small("month")))
 
 
 def ask_ep_totals(wh) -> DataFrame:
@@ -155,14 +155,14 @@ def ask_ep_by_program(wh) -> DataFrame:
     return (wh.ap_items.groupBy("early_pay_program")
             .agg(F.sum("amount_usd").alias("volume"), F.countDistinct("supplier_id").alias("suppliers"),
                  F.sum("discount_captured_usd").alias("captured"))
-            .orderBy(F.desc("volume"), "early_pay_program"))
+            .transform(sorted_small(F.desc("volume"), "early_pay_program")))
 
 
 def ask_ep_by_outcome(wh) -> DataFrame:
     return (wh.ap_items.groupBy("payment_outcome")
             .agg(F.count(F.lit(1)).alias("items"), F.sum("amount_usd").alias("volume"),
                  F.sum("discount_captured_usd").alias("captured"))
-            .orderBy(F.desc("volume"), "payment_outcome"))
+            .transform(sorted_small(F.desc("volume"), "payment_outcome")))
 
 
 def ask_dd_yield(wh) -> DataFrame:
@@ -179,7 +179,7 @@ def ask_dd_yield(wh) -> DataFrame:
 def ask_inv_dio_trend(wh) -> DataFrame:
     return (wh.wc_monthly_kpi.groupBy("month")
             .agg(weighted_ratio("dio", "cogs_usd").alias("dio"), F.sum("inventory_usd").alias("inventory"))
-            .orderBy("month"))
+            .transform(sorted_small("month")))
 
 
 def ask_inv_categories(wh) -> DataFrame:
@@ -265,7 +265,7 @@ def fact_kpi_by_company(wh, month: str | None = None) -> DataFrame:
                     "ar_overdue_usd", F.round(F.col("ar_overdue_pct") * 100, 1).alias("ar_overdue_pct"),
                     "ap_balance_usd", "inventory_usd", "net_working_capital_usd", "discount_captured_usd",
                     "discount_lost_usd")
-            .orderBy("company_code"))
+            .transform(sorted_small("company_code")))
 
 
 def fact_kpi_total(wh) -> DataFrame:
@@ -284,7 +284,7 @@ def fact_kpi_total(wh) -> DataFrame:
     one = Window.partitionBy(F.lit(1))
     lat = F.max(F.when(F.col("month") == p.latest_month, F.col("ccc"))).over(one)
     pri = F.max(F.when(F.col("month") == p.prior_month, F.col("ccc"))).over(one)
-    return g.withColumn("ccc_change_days", F.round(lat - pri, 1)).orderBy("month")
+    return g.withColumn("ccc_change_days", F.round(lat - pri, 1)).transform(sorted_small("month"))
 
 
 def fact_window(wh) -> DataFrame:
@@ -309,7 +309,7 @@ def fact_ar_all(wh) -> DataFrame:
 def fact_ar_aging(wh) -> DataFrame:
     return (wh.ar_items.filter("is_open").groupBy("aging_bucket")
             .agg(F.count(F.lit(1)).alias("items"), F.sum("amount_usd").alias("usd"))
-            .orderBy(F.desc("usd"), "aging_bucket"))
+            .transform(sorted_small(F.desc("usd"), "aging_bucket")))
 
 
 def fact_top5_overdue(wh) -> DataFrame:
@@ -349,7 +349,7 @@ def fact_ap_by_program(wh) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("items"), F.sum("amount_usd").alias("usd"),
                  F.sum("discount_captured_usd").alias("captured_usd"), F.sum("discount_lost_usd").alias("lost_usd"),
                  F.sum("scf_funded_usd").alias("scf_usd"), F.sum("dd_opportunity_usd").alias("dd_opp_usd"))
-            .orderBy(F.desc("usd"), "early_pay_program"))
+            .transform(sorted_small(F.desc("usd"), "early_pay_program")))
 
 
 def fact_dd_apr(wh) -> DataFrame:
@@ -369,7 +369,7 @@ def fact_inventory_by_category(wh) -> DataFrame:
             .agg(F.sum("inventory_value_usd").alias("value_usd"),
                  F.round(safe_ratio(F.sum("inventory_value_usd"), F.sum("cogs_usd")) * F.lit(365.0) / F.lit(12.0), 1)
                  .alias("dio"), F.max("target_dio").alias("target_dio"))
-            .orderBy(F.desc("value_usd"), "inventory_category"))
+            .transform(sorted_small(F.desc("value_usd"), "inventory_category")))
 
 
 def fact_cash_13w(wh) -> DataFrame:
@@ -381,13 +381,13 @@ def fact_cash_13w(wh) -> DataFrame:
                        - F.col("other_opex_usd")).alias("net_usd"),
                  F.min("week_end").alias("first_week"), F.max("week_end").alias("last_week"),
                  F.countDistinct("week_no").alias("weeks"))
-            .orderBy("company"))
+            .transform(sorted_small("company")))
 
 
 def fact_release_by_lever(wh) -> DataFrame:
     return (wh.wc_opportunities.groupBy("lever", "area")
             .agg(F.sum("cash_release_usd").alias("cash_release_usd"), F.sum("pnl_impact_usd").alias("pnl_impact_usd"))
-            .orderBy(F.desc("cash_release_usd"), "lever"))
+            .transform(sorted_small(F.desc("cash_release_usd"), "lever")))
 
 
 def argmax_company(wh) -> DataFrame:

@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.measures import sorted_small
+
 TABLES = {
     "ar": "ar_items",
     "ap": "ap_items",
@@ -183,7 +185,7 @@ def metric_query(wh, metrics: list[str], dimensions: list[str] | None = None, wh
     aggs = [F.expr(METRICS[m][1]).alias(m) for m in ms]
     keys = [F.col(d.column).alias(name) for name, d in dims]
     out = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-    return out.orderBy(*[name for name, _ in dims]) if keys else out
+    return out.transform(sorted_small(*[name for name, _ in dims])) if keys else out
 
 
 def _replace_word(expr: str, word: str, repl: str) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.filters import Filter
-from ledgerlens.functions.measures import safe_ratio, sum_if
+from ledgerlens.functions.measures import safe_ratio, sum_if, sorted_small
 from ledgerlens.sources.literals import COMPANIES
 
 PAGES = ["overview", "cash", "ar", "ap", "early-pay", "inventory", "opportunities"]
@@ -120,7 +120,7 @@ def snapshot_subsets(wh, flt: Filter | None = None) -> DataFrame:
         "ap_volume", "discount_captured", "discount_lost", "dd_opportunity", "scf_funded", "standard_volume",
         F.col("inv_value").alias("inventory_value"), "slow_moving",
         "cash_release", "pnl_impact", "forecast_net",
-    ).orderBy("subset_key")
+    ).transform(sorted_small("subset_key"))
 
 
 def write_snapshot(wh, path: str, flt: Filter | None = None) -> DataFrame:

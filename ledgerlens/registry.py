@@ -17,6 +17,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from ledgerlens.functions.measures import sorted_small
 from pyspark.sql import types as T
 
 from ledgerlens.config import TEST_PARAMS
@@ -88,7 +90,7 @@ def filter_period_check(wh) -> DataFrame:
     return (per_month.groupBy("company").agg(F.sum("items").alias("items"), F.sum("invoiced").alias("invoiced"),
                                              F.min("invoice_month").alias("first_month"),
                                              F.max("invoice_month").alias("last_month"))
-              .orderBy("company"))
+              .transform(sorted_small("company")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
