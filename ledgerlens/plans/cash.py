@@ -35,6 +35,11 @@ def weeks(spark: SparkSession, params: Params) -> DataFrame:
                  .withColumn("week_end", F.date_add(F.lit(params.bank_first_week), F.col("i") * 7)))
 
 
+def _week_index(n: int, first: int = 0):
+    """Generator column first..first+n-1 (one output row per week for each input row)."""
+    return F.explode(F.sequence(F.lit(first), F.lit(first + n - 1)))
+
+
 def bank_balance_weekly(spark: SparkSession, params: Params, dim_company: DataFrame) -> DataFrame:
     acct = dim_bank_account(spark)
     i = F.col("i").cast("double")
@@ -43,7 +48,9 @@ def bank_balance_weekly(spark: SparkSession, params: Params, dim_company: DataFr
                .otherwise(F.lit(0.0))
     factor = F.lit(1.0) - F.lit(BANK_TREND) * i + F.lit(BANK_WAVE) * F.sin(i / F.lit(BANK_WAVE_PERIOD) + shift) + payroll
     comp = F.broadcast(dim_company.select("company_code", "company"))
-    return (acct.crossJoin(F.broadcast(weeks(spark, params))).join(comp, "company_code")
+    acct_weeks = (acct.select("*", _week_index(params.bank_weeks).alias("i"))
+                      .withColumn("week_end", F.date_add(F.lit(params.bank_first_week), F.col("i") * 7)))
+    return (acct_weeks.join(comp, "company_code")
                 .filter(F.col("week_end") <= F.lit(params.bank_last_week))
                 .select("company_code", "company", "bank_account_id", "house_bank", "account_purpose", "week_end",
                         F.round(F.col("base_balance_usd").cast("double") * factor, 2).cast(MONEY).alias("balance_usd"),
@@ -61,7 +68,7 @@ def cash_forecast(spark: SparkSession, params: Params, ar: DataFrame, ap: DataFr
     the horizon falls in the last week), plus modelled receipts, payments,
     payroll and opex from the mean monthly revenue of the last six months."""
     wk = (dim_company.select("company_code").distinct()
-          .crossJoin(spark.range(params.forecast_weeks).select((F.col("id") + 1).cast("int").alias("week_no"))))
+          .select("company_code", _week_index(params.forecast_weeks, first=1).alias("week_no")))
     inflow = (ar.filter("is_open").groupBy("company_code", _forecast_week("expected_clearing_date", params)
                                            .alias("week_no"))
                 .agg(F.sum("amount_usd").alias("inflow")))

@@ -122,11 +122,11 @@ def ov_by_company(wh, flt: Filter) -> DataFrame:
 
 # ---------------------------------------------------------------- cash
 def _bank_latest(wh, flt: Filter) -> DataFrame:
-    # The latest week is global, not per company (a one-row scalar subquery).
+    """Bank rows of the latest week.  The latest week is global, not per
+    company: a scalar subquery over the whole table."""
     bank = wh.bank_balance_weekly
-    latest = bank.agg(F.max("week_end").alias("latest_week"))
-    return (bank.join(F.broadcast(latest), F.col("week_end") == F.col("latest_week"))
-                .filter(flt.company_pred()))
+    latest = bank.agg(F.max("week_end")).scalar()
+    return bank.filter((F.col("week_end") == latest) & flt.company_pred())
 
 
 def cash_total(wh, flt: Filter) -> DataFrame:
@@ -170,8 +170,8 @@ def cash_forecast_13w(wh, flt: Filter) -> DataFrame:
 def cash_running(wh, flt: Filter) -> DataFrame:
     """Closing balance per forecast week from the latest bank balance, with
     the 13-week net, end balance and low point (13 rows, one window)."""
-    start = cash_total(wh, flt).select(F.coalesce(F.col("balance"), F.lit(0)).alias("start_balance"))
-    fc = cash_forecast_13w(wh, flt).crossJoin(F.broadcast(start))
+    start = cash_total(wh, flt).select(F.coalesce(F.col("balance"), F.lit(0))).scalar()
+    fc = cash_forecast_13w(wh, flt).withColumn("start_balance", start)
     run = Window.orderBy("week_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(F.lit(1))
     out = (fc.withColumn("payments", F.col("ap_payments") + F.col("payroll") + F.col("other_opex"))
@@ -357,9 +357,11 @@ def ep_whatif(wh, flt: Filter) -> DataFrame:
     """Scenario grid of the two what-if sliders, from the period's KPIs:
     cash released by extending supplier terms, and discount yield from moving
     Standard suppliers onto dynamic discounting."""
-    base = (ep_annual_purchases(wh, flt).select("annual_purchases")
-            .crossJoin(ep_kpis(wh, flt).select("standard_volume"))
-            .crossJoin(ep_dd_apr(wh, flt).select("dd_apr_pct")))
+    # the period's KPIs as scalar subqueries on the one-row annual figure
+    base = ep_annual_purchases(wh, flt).select(
+        "annual_purchases",
+        ep_kpis(wh, flt).select("standard_volume").scalar().alias("standard_volume"),
+        ep_dd_apr(wh, flt).select("dd_apr_pct").scalar().alias("dd_apr_pct"))
     lo, hi, st = WHATIF_EXTEND_DAYS
     ext = base.select(F.lit("extend_dpo_days").alias("lever"),
                       F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(st))).alias("setting"), "*")
@@ -406,8 +408,8 @@ def inv_kpis(wh, flt: Filter) -> DataFrame:
     cats = inv_categories(wh, flt)
     tot = cats.agg(F.sum("value").alias("inventory"), F.sum("slow_moving").alias("slow_moving"),
                    F.count(F.when(F.col("gap_days") > 0, 1)).alias("over_target"))
-    dio = inv_dio_trend(wh, flt).agg(F.max_by("dio", "month").alias("dio"))
-    return (tot.crossJoin(dio)
+    dio = inv_dio_trend(wh, flt).agg(F.max_by("dio", "month")).scalar()
+    return (tot.withColumn("dio", dio)
                .select(F.lit(flt.month_to).alias("month"), "inventory", "slow_moving",
                        F.when(F.coalesce(F.col("inventory"), F.lit(0)) != 0,
                               F.lit(100.0) * F.col("slow_moving").cast("double") / F.col("inventory").cast("double"))

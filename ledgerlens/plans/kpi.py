@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.measures import MONEY, safe_ratio
+from ledgerlens.sources.literals import INVENTORY_CATEGORIES, RATE
 
 # ---- fixed values (must equal the model being reproduced) ---------------
 COGS_RATIO = 0.62
@@ -35,7 +36,19 @@ def _trailing(order_col: str = "month_end") -> Window:
     return Window.partitionBy("company_code").orderBy(order_col).rowsBetween(-2, Window.currentRow)
 
 
-def inventory_monthly(flows: DataFrame, dim_company: DataFrame, dim_category: DataFrame) -> DataFrame:
+def _category_rows(categories) -> Column:
+    """The (literal) category table as a generator column: one struct per category."""
+    return F.inline(F.array(*[
+        F.struct(F.lit(name).alias("inventory_category"), F.lit(share).cast(RATE).alias("cogs_share"),
+                 F.lit(target).cast("int").alias("target_dio"), F.lit(slow).cast(RATE).alias("slow_moving_pct"))
+        for name, share, target, slow in categories]))
+
+
+def inventory_monthly(flows: DataFrame, dim_company: DataFrame, categories=INVENTORY_CATEGORIES) -> DataFrame:
+    """One row per company, month and inventory category.
+
+    ``categories`` are the literal (name, cogs share, target DIO, slow-moving
+    %) rows; they are generated into every month row (no join)."""
     w3 = _trailing()
     idx_w = Window.partitionBy("company_code").orderBy("month_end")
     f = flows.select(
@@ -50,7 +63,7 @@ def inventory_monthly(flows: DataFrame, dim_company: DataFrame, dim_category: Da
     shape = F.lit(1.0) + F.lit(INVENTORY_DRIFT) * idx + F.lit(INVENTORY_WAVE) * F.sin(idx / F.lit(2.0))
     value = cogs_d / F.lit(30.0) * F.col("target_dio").cast("double") * shape * factor
     comp = F.broadcast(dim_company.select("company_code", "company"))
-    return (f.crossJoin(F.broadcast(dim_category)).join(comp, "company_code")
+    return (f.select("*", _category_rows(categories)).join(comp, "company_code")
              .select(
                  "company_code", "company", "month_end", "month", "inventory_category",
                  F.round(cogs_d, 2).cast(MONEY).alias("cogs_usd"),

@@ -32,10 +32,11 @@ def subset_members(wh, month_from: str, month_to: str) -> DataFrame:
     n_w = Window.orderBy("company")
     comp = comp.withColumn("bit", (F.row_number().over(n_w) - 1).cast("int"))
     n = len(COMPANIES)  # rows of the literal company dimension
-    masks = wh.spark.range(2 ** n).select(F.col("id").cast("int").alias("mask"))
+    # every company row is generated once per subset mask 0 .. 2^n - 1
+    per_mask = comp.select("company", "bit", F.explode(F.sequence(F.lit(0), F.lit(2 ** n - 1))).alias("mask"))
     member = F.expr("(mask >> bit) & 1 = 1")
-    pairs = masks.crossJoin(comp).filter(member | (F.col("mask") == 0))
-    names = (masks.crossJoin(comp).filter(member).groupBy("mask")
+    pairs = per_mask.filter(member | (F.col("mask") == 0))
+    names = (per_mask.filter(member).groupBy("mask")
              .agg(F.concat_ws(",", F.sort_array(F.collect_list("company"))).alias("companies")))
     keyed = (pairs.join(names, "mask", "left")
              .select("mask", F.coalesce("companies", F.lit("")).alias("companies"), "company"))

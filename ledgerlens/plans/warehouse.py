@@ -144,8 +144,7 @@ class Warehouse:
 
     @property
     def inventory_monthly(self) -> DataFrame:
-        return self._get("inventory_monthly", lambda: kpi.inventory_monthly(
-            self.monthly_flows, self.dim_company, self.dim_inventory_category))
+        return self._get("inventory_monthly", lambda: kpi.inventory_monthly(self.monthly_flows, self.dim_company))
 
     @property
     def wc_monthly_kpi(self) -> DataFrame:

@@ -62,7 +62,7 @@ def read_items(spark: SparkSession, sink: str, kind: str, as_of) -> DataFrame:
 
 def flow_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, dim_customer: DataFrame,
                 dim_supplier: DataFrame, dim_company: DataFrame, history_start, available_now: bool = True,
-                kpi_sink: str | None = None, dim_category: DataFrame | None = None, kpi_start=None):
+                kpi_sink: str | None = None, kpi_start=None):
     """Per micro-batch: append the batch's deltas; then (downstream refresh)
     recompute the KPI table from all deltas so far and overwrite ``kpi_sink``.
     Both steps are idempotent, so a replayed batch leaves the same state."""
@@ -76,7 +76,7 @@ def flow_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, di
         # deltas are companies x months rows per batch: one file is enough
         deltas.coalesce(1).write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
         if kpi_sink is not None:
-            kpi_refresh(read_flows(spark, sink), dim_company, dim_category, kpi_start) \
+            kpi_refresh(read_flows(spark, sink), dim_company, kpi_start) \
                 .write.mode("overwrite").parquet(kpi_sink)
 
     w = j.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
@@ -93,6 +93,6 @@ def read_flows(spark: SparkSession, sink: str) -> DataFrame:
     return flow_plan.flows_from_deltas(total)
 
 
-def kpi_refresh(flows: DataFrame, dim_company: DataFrame, dim_category: DataFrame, kpi_start) -> DataFrame:
-    inv = kpi.inventory_monthly(flows, dim_company, dim_category)
+def kpi_refresh(flows: DataFrame, dim_company: DataFrame, kpi_start) -> DataFrame:
+    inv = kpi.inventory_monthly(flows, dim_company)
     return kpi.wc_monthly_kpi(flows, inv, dim_company, kpi_start)

@@ -41,8 +41,7 @@ class StreamRun:
                                     wh.dim_supplier, wh.dim_company),
                 refresh.flow_stream(spark, src, self._p("deltas"), self._p("ckpt", "flows"),
                                     wh.dim_customer, wh.dim_supplier, wh.dim_company, wh.params.history_start,
-                                    kpi_sink=self._p("kpi"), dim_category=wh.dim_inventory_category,
-                                    kpi_start=wh.params.kpi_start),
+                                    kpi_sink=self._p("kpi"), kpi_start=wh.params.kpi_start),
             ]
             for q in qs:
                 q.awaitTermination()

@@ -148,7 +148,7 @@ def test_zero_revenue_dso_null_and_forecast_cap(spark, wh):
         "company_code string, month_end date, month string, revenue_usd decimal(18,2), purchases_usd decimal(18,2), "
         "ar_balance_usd decimal(18,2), ar_overdue_usd decimal(18,2), ap_balance_usd decimal(18,2), "
         "discount_captured_usd decimal(18,2), discount_lost_usd decimal(18,2)")
-    inv = inventory_monthly(flows, wh.dim_company, wh.dim_inventory_category)
+    inv = inventory_monthly(flows, wh.dim_company)
     k = wc_monthly_kpi(flows, inv, wh.dim_company, dt.date(2000, 1, 1)).collect()
     assert all(r.dso is None and r.dio is None and r.ccc is None for r in k)
     assert all(r.dpo is not None for r in k)
