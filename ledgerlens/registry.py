@@ -6,7 +6,7 @@ DECIMAL money as DOUBLE so results compare across engines.
 
 Not registered (they read only literal tables of this file's model, not the
 data): ``dim_company``, ``dim_inventory_category``, ``dim_bank_account``,
-``bank_balance_weekly``, ``cash_total``, ``cash_trend``, ``cash_trend_pivot``,
+``gen_weeks`` (``cash.weeks``), ``bank_balance_weekly``, ``cash_total``, ``cash_trend``, ``cash_trend_pivot``,
 ``cash_by_bank``, ``cash_by_purpose``, ``ask_cash_now``, ``ask_weekly_26``.
 They are library functions, covered by the tests.
 """
@@ -17,12 +17,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ledgerlens.functions.measures import sorted_small
 from pyspark.sql import types as T
 
 from ledgerlens.config import TEST_PARAMS
 from ledgerlens.functions.filters import Filter
+from ledgerlens.functions.measures import sorted_small
 from ledgerlens.plans import dashboard as D
 from ledgerlens.plans import facts as FA
 from ledgerlens.plans import items as IT

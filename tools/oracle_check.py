@@ -23,7 +23,7 @@ from ledgerlens.session import build_session  # noqa: E402
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = set(sys.argv[2:])
-    spark = build_session()
+    spark = build_session(shuffle_partitions=int(os.environ.get("ORACLE_SHUFFLE_PARTITIONS", "8")))
     con = oracle_connection(sf)
     qs, sqls = queries(), oracle_queries()
     summary = {"exact": [], "tolerant": [], "fail": [], "no_oracle": []}
