@@ -77,11 +77,16 @@ class Warehouse:
             df = build()
             if self.materialize and name in _LAYOUT:
                 path = os.path.join(self.root, name)
-                w = df.write.mode("overwrite")
                 parts = _LAYOUT[name]
                 if parts:
-                    w = w.partitionBy(*parts)
-                w.parquet(path)
+                    # Rebalance on the partition columns before the write: without
+                    # it every task writes one file per month it holds (tasks x
+                    # months small files).  AQE sizes the rebalance partitions to
+                    # the advisory size and splits a month larger than that, so a
+                    # hot month does not end up in one task.
+                    df.hint("rebalance", *parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
+                else:
+                    df.write.mode("overwrite").parquet(path)
                 df = self.spark.read.parquet(path).select(*df.columns)
                 if name in _SMALL:
                     df = df.cache()

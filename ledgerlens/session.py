@@ -33,6 +33,10 @@ CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
     "spark.sql.shuffle.partitions": "20000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    # Coalesce and rebalance to the advisory size, not to the core count
+    # (the default favours parallelism, which on a cluster means many small
+    # shuffle partitions and small files).
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
     "spark.sql.parquet.compression.codec": "zstd",

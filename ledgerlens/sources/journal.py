@@ -125,11 +125,11 @@ def journal_from_tpch(spark: SparkSession, sf_dir: str, params: Params) -> DataF
                 F.lit("H").alias("debit_credit"),
                 F.lit("").alias("profit_center")))
 
-    # Lay the lines down as evenly sized partitions (round robin), one per
-    # core, as an extract of a source system arrives: downstream stages then
-    # get balanced tasks however the test files are laid out.
-    n = spark.sparkContext.defaultParallelism
-    return _lines(ar.unionByName(ap).unionByName(memo), spark).repartition(n)
+    # Lay the lines down as evenly sized files, as an extract of a source
+    # system arrives: downstream stages then get balanced tasks however the
+    # test files are laid out.  ``rebalance`` lets AQE size the partitions
+    # from the shuffled bytes (advisory size) instead of a fixed count.
+    return _lines(ar.unionByName(ap).unionByName(memo), spark).hint("rebalance")
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
