@@ -89,7 +89,8 @@ def journal_from_tpch(spark: SparkSession, sf_dir: str, params: Params) -> DataF
 
     # One customer or supplier may carry a large share of all lines: hot
     # partners are split off and joined by broadcast (operators.skew_join).
-    ar = (split_join(orders, cust_company, "o_custkey")
+    orders_c = split_join(orders, cust_company, "o_custkey")
+    ar = (orders_c
           .select(
               "company_code",
               F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("accounting_document"),
@@ -112,9 +113,13 @@ def journal_from_tpch(spark: SparkSession, sf_dir: str, params: Params) -> DataF
               F.lit("H").alias("debit_credit"),
               F.lit("").alias("profit_center")))
 
-    returned = (lineitem.filter(F.col("l_returnflag") == "R")
-                .join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")))
-    memo = (split_join(returned, cust_company, "o_custkey")
+    # A returned line takes its order's customer and company: one join on the
+    # order key (unique in orders, a few lines per order, so no hot key),
+    # reusing the order side's customer join instead of a second one (whose
+    # hot-key count would run the lineitem x orders join twice more).
+    memo = (lineitem.filter(F.col("l_returnflag") == "R")
+            .join(orders_c.select("o_orderkey", "o_custkey", "company_code"),
+                  F.col("l_orderkey") == F.col("o_orderkey"))
             .select(
                 "company_code",
                 F.concat(F.lit("R"), item_doc).alias("accounting_document"),
