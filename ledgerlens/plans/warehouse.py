@@ -56,6 +56,25 @@ _CLUSTER = {"ar_core": "expected_clearing_date", "ap_core": "expected_payment_da
 _SMALL = {"monthly_flows", "inventory_monthly", "wc_monthly_kpi", "cash_forecast", "wc_opportunities"}
 
 
+def layout(name: str, df: DataFrame) -> DataFrame:
+    """The frame as it is written for table ``name``.
+
+    Partitioned tables are rebalanced on the partition columns first:
+    without it every task writes one file per month it holds (tasks x
+    months small files).  AQE sizes the rebalance partitions to the
+    advisory size and splits a month larger than that, so a hot month does
+    not end up in one task.  The writer sorts each task on the partition
+    columns anyway; the cluster key rides on that sort.
+    """
+    parts = _LAYOUT.get(name) or []
+    if not parts:
+        return df
+    out = df.hint("rebalance", *parts)
+    if name in _CLUSTER:
+        out = out.sortWithinPartitions(*parts, _CLUSTER[name])
+    return out
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, sf_dir: str | None = None, params: Params = TEST_PARAMS,
                  journal_path: str | None = None, materialize: bool = True, root: str | None = None):
@@ -83,21 +102,10 @@ class Warehouse:
             df = build()
             if self.materialize and name in _LAYOUT:
                 path = os.path.join(self.root, name)
-                parts = _LAYOUT[name]
-                if parts:
-                    # Rebalance on the partition columns before the write: without
-                    # it every task writes one file per month it holds (tasks x
-                    # months small files).  AQE sizes the rebalance partitions to
-                    # the advisory size and splits a month larger than that, so a
-                    # hot month does not end up in one task.
-                    out = df.hint("rebalance", *parts)
-                    if name in _CLUSTER:
-                        # the writer sorts on the partition columns anyway; the
-                        # extra key rides on that sort
-                        out = out.sortWithinPartitions(*parts, _CLUSTER[name])
-                    out.write.mode("overwrite").partitionBy(*parts).parquet(path)
-                else:
-                    df.write.mode("overwrite").parquet(path)
+                w = layout(name, df).write.mode("overwrite")
+                if _LAYOUT[name]:
+                    w = w.partitionBy(*_LAYOUT[name])
+                w.parquet(path)
                 df = self.spark.read.parquet(path).select(*df.columns)
                 if name in _SMALL:
                     df = df.cache()

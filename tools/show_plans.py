@@ -38,12 +38,12 @@ def build_plan(spark, sf: str, name: str):
     """Plans of the pipeline steps themselves (over the materialised inputs)."""
     from ledgerlens.config import TEST_PARAMS as P
     from ledgerlens.plans import dims, flows, items
-    from ledgerlens.plans.warehouse import get_warehouse
+    from ledgerlens.plans.warehouse import get_warehouse, layout
     wh = get_warehouse(spark, sf, P)
     if name == "monthly_flows":
         return flows.monthly_flows(wh.ar_core, wh.ap_core, P.history_start)
     if name == "ar_core":
-        return items.ar_core(wh.journal, wh.dim_customer, wh.dim_company)
+        return layout("ar_core", items.ar_core(wh.journal, wh.dim_customer, wh.dim_company))
     if name == "partner_ids":
         return dims.partner_ids(wh.journal, "customer")
     raise KeyError(name)
