@@ -31,12 +31,19 @@ from ledgerlens.plans import items, kpi
 from ledgerlens.sources.journal import JOURNAL_SCHEMA
 
 
-def stage_journal_files(journal: DataFrame, folder: str, files: int = 6) -> str:
-    """Lay the journal down as ``files`` parquet files in posting-date order,
-    as a source system would deliver them over time."""
-    (journal.repartitionByRange(files, "posting_date").sortWithinPartitions("posting_date")
+def stage_journal_files(journal: DataFrame, folder: str, files: int = 6) -> int:
+    """Lay the journal down as parquet files in posting-date order, as a
+    source system would deliver them over time; returns the file count.
+
+    At least ``files`` files, and one per input split of the journal scan,
+    so the count (and the write's task count) grows with the journal.  The
+    document number breaks ties in the range bounds, so one busy day can
+    span several files instead of landing in one task."""
+    n = max(files, journal.rdd.getNumPartitions())
+    (journal.repartitionByRange(n, "posting_date", "accounting_document")
+            .sortWithinPartitions("posting_date", "accounting_document")
             .write.mode("overwrite").parquet(folder))
-    return folder
+    return n
 
 
 def journal_stream(spark: SparkSession, folder: str, files_per_trigger: int = 2) -> DataFrame:
@@ -45,8 +52,9 @@ def journal_stream(spark: SparkSession, folder: str, files_per_trigger: int = 2)
 
 
 def item_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, kind: str,
-                dim_partner: DataFrame, dim_company: DataFrame, available_now: bool = True):
-    j = journal_stream(spark, source)
+                dim_partner: DataFrame, dim_company: DataFrame, available_now: bool = True,
+                files_per_trigger: int = 2):
+    j = journal_stream(spark, source, files_per_trigger)
     core = (items.ar_core(j, dim_partner, dim_company) if kind == "ar"
             else items.ap_core(j, dim_partner, dim_company))
     w = (core.writeStream.format("parquet").option("checkpointLocation", checkpoint)
@@ -62,11 +70,11 @@ def read_items(spark: SparkSession, sink: str, kind: str, as_of) -> DataFrame:
 
 def flow_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, dim_customer: DataFrame,
                 dim_supplier: DataFrame, dim_company: DataFrame, history_start, available_now: bool = True,
-                kpi_sink: str | None = None, kpi_start=None):
+                kpi_sink: str | None = None, kpi_start=None, files_per_trigger: int = 2):
     """Per micro-batch: append the batch's deltas; then (downstream refresh)
     recompute the KPI table from all deltas so far and overwrite ``kpi_sink``.
     Both steps are idempotent, so a replayed batch leaves the same state."""
-    j = journal_stream(spark, source)
+    j = journal_stream(spark, source, files_per_trigger)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         # a micro-batch is bounded by maxFilesPerTrigger: plain partner joins

@@ -19,10 +19,11 @@ _LOCK = threading.RLock()
 
 
 class StreamRun:
-    def __init__(self, wh, files: int = 4):
+    def __init__(self, wh, files: int = 4, batches: int = 2):
         self.wh = wh
         self.root = os.path.join(wh.root, "stream-" + uuid.uuid4().hex[:8])
         self.files = files
+        self.batches = batches
         self._done = False
 
     def _p(self, *parts: str) -> str:
@@ -33,15 +34,18 @@ class StreamRun:
             if self._done:
                 return self
             wh, spark = self.wh, self.wh.spark
-            src = refresh.stage_journal_files(wh.journal, self._p("source"), self.files)
+            src = self._p("source")
+            n = refresh.stage_journal_files(wh.journal, src, self.files)
+            per = -(-n // self.batches)  # the files arrive in ``batches`` micro-batches
             qs = [
                 refresh.item_stream(spark, src, self._p("ar"), self._p("ckpt", "ar"), "ar",
-                                    wh.dim_customer, wh.dim_company),
+                                    wh.dim_customer, wh.dim_company, files_per_trigger=per),
                 refresh.item_stream(spark, src, self._p("ap"), self._p("ckpt", "ap"), "ap",
-                                    wh.dim_supplier, wh.dim_company),
+                                    wh.dim_supplier, wh.dim_company, files_per_trigger=per),
                 refresh.flow_stream(spark, src, self._p("deltas"), self._p("ckpt", "flows"),
                                     wh.dim_customer, wh.dim_supplier, wh.dim_company, wh.params.history_start,
-                                    kpi_sink=self._p("kpi"), kpi_start=wh.params.kpi_start),
+                                    kpi_sink=self._p("kpi"), kpi_start=wh.params.kpi_start,
+                                    files_per_trigger=per),
             ]
             for q in qs:
                 q.awaitTermination()
