@@ -5,8 +5,9 @@ every row of that key lands in one task.  AQE's skew-join handling splits
 such partitions at run time; this operator does it explicitly and
 independently of AQE:
 
-1. count the fact rows; if any key could pass the threshold, count rows
-   per key (partial aggregation over the key column only);
+1. count rows per key (partial aggregation over the key column only); the
+   total is a scalar subquery over those same counts, whose shuffle AQE
+   reuses, so the fact is read once;
 2. keys holding more than ``max(share * total, min_rows)`` rows are hot;
    there are at most ``1 / share`` of them, which bounds what is
    collected and broadcast;
@@ -26,11 +27,9 @@ DEFAULT_MIN_ROWS = 1_000_000  # below this a key fits one task anyway
 
 
 def hot_keys(fact: DataFrame, key: str, share: float = DEFAULT_SHARE, min_rows: int = DEFAULT_MIN_ROWS) -> list:
-    total = fact.count()
-    threshold = max(share * total, min_rows)
-    if total <= threshold:  # no key can be hot: skip the per-key count
-        return []
     counts = fact.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.select(F.sum("_n")).scalar()
+    threshold = F.greatest(F.lit(share) * total, F.lit(min_rows))
     # at most 1/share keys can exceed share * total: a bounded collect
     return [r[0] for r in counts.filter(F.col("_n") > threshold).select(key).collect()]
 
