@@ -2,8 +2,9 @@
 
 Dependency order: journal -> partner dims -> AR/AP core items -> monthly
 flows -> inventory -> KPIs -> {forecast, levers}; bank balances stand
-alone.  Tables that feed several consumers (journal, dims, item cores,
-flows, inventory, KPI, forecast) are written as parquet under the shared
+alone.  Tables that feed several consumers (the journal derived from the
+test tables, dims, item cores, flows, inventory, KPI, forecast) are written
+as parquet under the shared
 checkpoint folder (``spark.checkpoint.dir``) and read back, which cuts
 lineage, survives executor loss, and lets every dashboard query scan a
 pruned, pushed-down file set instead of re-running the pipeline.  The item
@@ -90,7 +91,7 @@ class Warehouse:
         self._guard = threading.Lock()
 
     # ---- plumbing ------------------------------------------------------
-    def _get(self, name: str, build) -> DataFrame:
+    def _get(self, name: str, build, write: bool = True) -> DataFrame:
         # One lock per table: independent tables can be built by concurrent
         # jobs; a table is never built twice.  The dependency graph is
         # acyclic, so nested acquisition cannot deadlock.
@@ -100,7 +101,7 @@ class Warehouse:
             if name in self._tables:
                 return self._tables[name]
             df = build()
-            if self.materialize and name in _LAYOUT:
+            if write and self.materialize and name in _LAYOUT:
                 path = os.path.join(self.root, name)
                 w = layout(name, df).write.mode("overwrite")
                 if _LAYOUT[name]:
@@ -131,11 +132,11 @@ class Warehouse:
     # ---- pipeline -------------------------------------------------------
     @property
     def journal(self) -> DataFrame:
-        def build():
-            if self.journal_path:
-                return read_journal(self.spark, self.journal_path)
-            return journal_from_tpch(self.spark, self.sf_dir, self.params)
-        return self._get("journal", build)
+        # An existing journal table is already files: it is read in place, not
+        # copied.  Only the journal derived from the test tables is written.
+        if self.journal_path:
+            return self._get("journal", lambda: read_journal(self.spark, self.journal_path), write=False)
+        return self._get("journal", lambda: journal_from_tpch(self.spark, self.sf_dir, self.params))
 
     @property
     def dim_customer(self) -> DataFrame:
