@@ -120,11 +120,25 @@ def ask_dso_trend(wh) -> DataFrame:
             .transform(sorted_small("month")))
 
 
+def ap_parts(wh) -> DataFrame:
+    """The all-period AP facts re-aggregate the warehouse's ``ap_parts``
+    rollup (see ``items.ap_outcome_parts``) instead of scanning the AP
+    items each."""
+    return wh.ap_parts
+
+
+def _mean(total: str, count: str):
+    # AVG of an integer column: its sum as DOUBLE over the row count
+    n = F.sum(count).cast("double")
+    return F.sum(total).cast("double") / F.when(n != 0, n)
+
+
 def ask_ap_behaviour(wh) -> DataFrame:
     """Payment behaviour over all periods (not only the default period)."""
-    return wh.ap_items.filter(~F.col("is_open")).agg(
-        F.round(F.avg("days_to_pay"), 1).alias("avg_days_to_pay"), _on_time_pct().alias("on_time_pct"),
-        F.sum("discount_captured_usd").alias("discount_captured"), F.sum("discount_lost_usd").alias("discount_lost"))
+    return ap_parts(wh).filter(~F.col("is_open")).agg(
+        F.round(_mean("dtp_sum", "n_dtp"), 1).alias("avg_days_to_pay"),
+        F.round(F.lit(100) * _mean("on_time_n", "n"), 1).alias("on_time_pct"),
+        F.sum("captured").alias("discount_captured"), F.sum("lost").alias("discount_lost"))
 
 
 def ask_ap_aging(wh) -> DataFrame:
@@ -147,8 +161,8 @@ def ask_dpo_trend(wh) -> DataFrame:
 
 
 def ask_ep_totals(wh) -> DataFrame:
-    return wh.ap_items.agg(F.sum("amount_usd").alias("volume"), F.sum("discount_captured_usd").alias("discount_captured"),
-                           F.sum("discount_lost_usd").alias("discount_lost"))
+    return ap_parts(wh).agg(F.sum("amount").alias("volume"), F.sum("captured").alias("discount_captured"),
+                            F.sum("lost").alias("discount_lost"))
 
 
 def ask_ep_by_program(wh) -> DataFrame:
@@ -159,19 +173,17 @@ def ask_ep_by_program(wh) -> DataFrame:
 
 
 def ask_ep_by_outcome(wh) -> DataFrame:
-    return (wh.ap_items.groupBy("payment_outcome")
-            .agg(F.count(F.lit(1)).alias("items"), F.sum("amount_usd").alias("volume"),
-                 F.sum("discount_captured_usd").alias("captured"))
+    return (ap_parts(wh).groupBy("payment_outcome")
+            .agg(F.sum("n").alias("items"), F.sum("amount").alias("volume"), F.sum("captured").alias("captured"))
             .transform(sorted_small(F.desc("volume"), "payment_outcome")))
 
 
 def ask_dd_yield(wh) -> DataFrame:
     """DD yield with AVG(GREATEST(1, days_to_pay)) as the day basis."""
-    dd = wh.ap_items.filter(F.col("payment_outcome") == "DD Accepted")
-    dtp = F.col("days_to_pay")
-    basis = F.avg(F.when(dtp.isNotNull(), F.greatest(F.lit(1), dtp)))
-    cap = F.sum("discount_captured_usd").cast("double")
-    amt = F.sum("amount_usd").cast("double")
+    dd = ap_parts(wh).filter(F.col("payment_outcome") == "DD Accepted")
+    basis = _mean("dtp1_sum", "n_dtp")
+    cap = F.sum("captured").cast("double")
+    amt = F.sum("amount").cast("double")
     y = F.lit(100.0) * cap / F.when(amt != 0, amt) * F.lit(365.0) / F.when(basis != 0, basis)
     return dd.agg(F.round(y, 2).alias("yield_pct"))
 

@@ -193,3 +193,16 @@ def ap_status(core: DataFrame, as_of: dt.date) -> DataFrame:
         F.when(paid, "Paid").when(due >= a, "Not Due").when(dpd <= 30, "1-30").when(dpd <= 60, "31-60")
          .otherwise("60+").alias("aging_bucket"),
     ).select(*AP_COLUMNS))
+
+
+def ap_outcome_parts(ap_items: DataFrame) -> DataFrame:
+    """AP items rolled up by (program, outcome, open flag): at most 3 x 5 x 2
+    rows of additive parts (counts, sums, and the sums behind the day
+    averages), from which the all-period AP figures are re-aggregated."""
+    dtp = F.col("days_to_pay")
+    return ap_items.groupBy("early_pay_program", "payment_outcome", "is_open").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount_usd").alias("amount"),
+        F.sum("discount_captured_usd").alias("captured"), F.sum("discount_lost_usd").alias("lost"),
+        F.count(dtp).alias("n_dtp"), F.sum(dtp).alias("dtp_sum"),
+        F.sum(F.when(dtp.isNotNull(), F.greatest(F.lit(1), dtp))).alias("dtp1_sum"),
+        F.sum(F.when(F.col("paid_on_time"), 1).otherwise(0)).alias("on_time_n"))

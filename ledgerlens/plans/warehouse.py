@@ -38,6 +38,7 @@ _LAYOUT = {
     "ar_core": ["invoice_month"],
     "ap_core": ["invoice_month"],
     "monthly_flows": [],
+    "ap_parts": [],
     "inventory_monthly": [],
     "wc_monthly_kpi": [],
     "cash_forecast": [],
@@ -54,7 +55,7 @@ _CLUSTER = {"ar_core": "expected_clearing_date", "ap_core": "expected_payment_da
 # weeks), not by the number of journal lines: kept in memory after being
 # written, as every dashboard query reads one of them.  Lost blocks are
 # re-read from the written files.
-_SMALL = {"monthly_flows", "inventory_monthly", "wc_monthly_kpi", "cash_forecast", "wc_opportunities"}
+_SMALL = {"ap_parts", "monthly_flows", "inventory_monthly", "wc_monthly_kpi", "cash_forecast", "wc_opportunities"}
 
 
 def layout(name: str, df: DataFrame) -> DataFrame:
@@ -162,6 +163,11 @@ class Warehouse:
     def ap_items(self) -> DataFrame:
         return self._get("ap_items", lambda: items.ap_status(self.ap_core, self.params.as_of))
 
+    @property
+    def ap_parts(self) -> DataFrame:
+        """AP rollup by (program, outcome, open flag): a few dozen rows."""
+        return self._get("ap_parts", lambda: items.ap_outcome_parts(self.ap_items))
+
     @property
     def monthly_flows(self) -> DataFrame:
         return self._get("monthly_flows",
@@ -192,7 +198,7 @@ class Warehouse:
             self.wc_monthly_kpi, self.monthly_flows, self.inventory_monthly, self.ap_items, self.params))
 
     # Build order; tables on one level do not depend on each other.
-    LEVELS = [["journal"], ["dim_customer", "dim_supplier"], ["ar_core", "ap_core"], ["monthly_flows"],
+    LEVELS = [["journal"], ["dim_customer", "dim_supplier"], ["ar_core", "ap_core"], ["monthly_flows", "ap_parts"],
               ["inventory_monthly"], ["wc_monthly_kpi", "cash_forecast"], ["wc_opportunities"]]
 
     def build_all(self, parallel: bool = True) -> dict[str, DataFrame]:
