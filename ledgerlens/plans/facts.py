@@ -84,14 +84,17 @@ def ask_forecast_rows(wh) -> DataFrame:
     return wh.cash_forecast.orderBy("week_no", "company_code").limit(120)
 
 
+# The company-wide AR behaviour, aging, segment and dunning facts
+# re-aggregate the warehouse's ``ar_parts`` rollup (items.ar_status_parts).
 def ask_ar_behaviour(wh) -> DataFrame:
-    return wh.ar_items.filter(~F.col("is_open")).agg(
-        _on_time_pct().alias("on_time_pct"), F.round(F.avg("days_to_pay"), 1).alias("avg_days_to_pay"))
+    return wh.ar_parts.filter(~F.col("is_open")).agg(
+        F.round(F.lit(100) * _mean("on_time_n", "n"), 1).alias("on_time_pct"),
+        F.round(_mean("dtp_sum", "n_dtp"), 1).alias("avg_days_to_pay"))
 
 
 def ask_ar_aging(wh) -> DataFrame:
-    return (wh.ar_items.filter("is_open").groupBy("aging_bucket")
-            .agg(F.sum("amount_usd").alias("amount"), F.count(F.lit(1)).alias("items")).transform(sorted_small("aging_bucket")))
+    return (wh.ar_parts.filter("is_open").groupBy("aging_bucket")
+            .agg(F.sum("amount").alias("amount"), F.sum("n").alias("items")).transform(sorted_small("aging_bucket")))
 
 
 def ask_top10_overdue(wh) -> DataFrame:
@@ -104,14 +107,14 @@ def ask_top10_overdue(wh) -> DataFrame:
 
 
 def ask_ar_by_segment(wh) -> DataFrame:
-    return (wh.ar_items.filter("is_open").groupBy("segment")
-            .agg(F.sum("amount_usd").alias("open_ar"), _overdue().alias("overdue"))
+    return (wh.ar_parts.filter("is_open").groupBy("segment")
+            .agg(F.sum("amount").alias("open_ar"), F.sum("overdue").alias("overdue"))
             .transform(sorted_small(F.desc("open_ar"), "segment")))
 
 
 def ask_ar_dunning(wh) -> DataFrame:
-    return (wh.ar_items.filter("is_open").groupBy(F.coalesce("dunning_level", F.lit(0)).alias("level"))
-            .agg(F.count(F.lit(1)).alias("items"), F.sum("amount_usd").alias("amount")).transform(sorted_small("level")))
+    return (wh.ar_parts.filter("is_open").groupBy("level")
+            .agg(F.sum("n").alias("items"), F.sum("amount").alias("amount")).transform(sorted_small("level")))
 
 
 def ask_dso_trend(wh) -> DataFrame:

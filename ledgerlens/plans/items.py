@@ -206,3 +206,17 @@ def ap_outcome_parts(ap_items: DataFrame) -> DataFrame:
         F.count(dtp).alias("n_dtp"), F.sum(dtp).alias("dtp_sum"),
         F.sum(F.when(dtp.isNotNull(), F.greatest(F.lit(1), dtp))).alias("dtp1_sum"),
         F.sum(F.when(F.col("paid_on_time"), 1).otherwise(0)).alias("on_time_n"))
+
+
+def ar_status_parts(ar_items: DataFrame) -> DataFrame:
+    """AR items rolled up by (segment, aging bucket, dunning level, open
+    flag): at most 3 x 6 x 4 x 2 rows of additive parts, from which the
+    company-wide AR aging, segment, dunning and behaviour figures are
+    re-aggregated."""
+    dtp = F.col("days_to_pay")
+    return ar_items.groupBy("segment", "aging_bucket", F.coalesce("dunning_level", F.lit(0)).alias("level"),
+                            "is_open").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount_usd").alias("amount"),
+        F.sum(F.when(F.col("days_past_due") > 0, F.col("amount_usd")).otherwise(F.lit(0))).alias("overdue"),
+        F.count(dtp).alias("n_dtp"), F.sum(dtp).alias("dtp_sum"),
+        F.sum(F.when(F.col("paid_on_time"), 1).otherwise(0)).alias("on_time_n"))

@@ -39,6 +39,7 @@ _LAYOUT = {
     "ap_core": ["invoice_month"],
     "monthly_flows": [],
     "ap_parts": [],
+    "ar_parts": [],
     "inventory_monthly": [],
     "wc_monthly_kpi": [],
     "cash_forecast": [],
@@ -55,7 +56,7 @@ _CLUSTER = {"ar_core": "expected_clearing_date", "ap_core": "expected_payment_da
 # weeks), not by the number of journal lines: kept in memory after being
 # written, as every dashboard query reads one of them.  Lost blocks are
 # re-read from the written files.
-_SMALL = {"ap_parts", "monthly_flows", "inventory_monthly", "wc_monthly_kpi", "cash_forecast", "wc_opportunities"}
+_SMALL = {"ap_parts", "ar_parts", "monthly_flows", "inventory_monthly", "wc_monthly_kpi", "cash_forecast", "wc_opportunities"}
 
 
 def layout(name: str, df: DataFrame) -> DataFrame:
@@ -163,6 +164,11 @@ class Warehouse:
     def ap_items(self) -> DataFrame:
         return self._get("ap_items", lambda: items.ap_status(self.ap_core, self.params.as_of))
 
+    @property
+    def ar_parts(self) -> DataFrame:
+        """AR rollup by (segment, aging bucket, dunning level, open flag)."""
+        return self._get("ar_parts", lambda: items.ar_status_parts(self.ar_items))
+
     @property
     def ap_parts(self) -> DataFrame:
         """AP rollup by (program, outcome, open flag): a few dozen rows."""
@@ -198,7 +204,7 @@ class Warehouse:
             self.wc_monthly_kpi, self.monthly_flows, self.inventory_monthly, self.ap_items, self.params))
 
     # Build order; tables on one level do not depend on each other.
-    LEVELS = [["journal"], ["dim_customer", "dim_supplier"], ["ar_core", "ap_core"], ["monthly_flows", "ap_parts"],
+    LEVELS = [["journal"], ["dim_customer", "dim_supplier"], ["ar_core", "ap_core"], ["monthly_flows", "ar_parts", "ap_parts"],
               ["inventory_monthly"], ["wc_monthly_kpi", "cash_forecast"], ["wc_opportunities"]]
 
     def build_all(self, parallel: bool = True) -> dict[str, DataFrame]:
