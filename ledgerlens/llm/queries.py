@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import tokens
+from ledgerlens.llm import decontam, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simple8b_tokens": tokens.op4_simple8b_tokens,
+        "op8_toxicity_ftrl": toxicity.op8_toxicity_ftrl,
+        "op9_simhash_blocks": simhash.op9_simhash_blocks,
+        "op10_positional_index": decontam.op10_positional_index,
     }
 
 
