@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,8 @@ END_ID = 2
 SHARD_IDS = 1 << 19
 # Texts tokenized at once, and chunks whose ids a worker remembers.
 BATCH_BYTES = 4 << 20
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000
+JOINED = 256  # new chunks that are encoded in one call
 
 SHARD_SCHEMA = "part int, seq int, n_ids long, doc_ids array<long>, n_tokens array<long>, ids binary"
 DOC_SCHEMA = "part int, seq int, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -60,71 +62,93 @@ class ChunkEncoder:
     The pre-tokenizer of such a vocabulary always starts a new piece at a
     space between two non-space characters, so a text may be cut there and the
     chunks encoded apart; repeated chunks are encoded once.  A text where a
-    space meets other white space is encoded whole.  Two generations of
-    remembered chunks bound the memory and keep the frequent ones."""
+    space meets other white space is encoded whole.
+
+    Known chunks have a slot: a stretch of ``pool``.  The slots are forgotten
+    when there are ``CACHE_CHUNKS`` of them, which bounds the memory."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32)
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def chunks(self, keys: list[str]) -> list[np.ndarray]:
-        """Ids of each chunk."""
-        if len(self.young) > CACHE_CHUNKS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        got = [young.get(k) for k in keys]
-        miss = [i for i, v in enumerate(got) if v is None]
-        fresh = []
-        for i in miss:
-            got[i] = v = old.get(keys[i])
-            if v is None:
-                fresh.append(i)
-            else:
-                young[keys[i]] = v
-        for i, v in zip(fresh, self._plain([keys[i] for i in fresh])):
-            got[i] = young[keys[i]] = v
+        vocabulary = self.tokenizer.get_vocab()  # a byte-level token has a character for each byte
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.token_bytes[i] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.after_space: dict[str, int] = {}
+        self.leading: dict[str, int] = {}
+        self.pool = np.zeros(0, dtype=np.uint32)
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.size = np.zeros(0, dtype=np.int64)
+
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that follow a space each, and the number of each: many
+        words are encoded as one text and told apart by their bytes."""
+        runs = self._plain([" " + " ".join(words[i:i + JOINED]) for i in range(0, len(words), JOINED)])
+        ids = np.fromiter(chain.from_iterable(runs), dtype=np.int64, count=sum(map(len, runs)))
+        at = np.cumsum(self.token_bytes[ids])
+        ends = np.cumsum(np.fromiter((1 + len(w.encode()) for w in words), dtype=np.int64, count=len(words)))
+        cuts = np.searchsorted(at, ends)
+        if len(words) and not (cuts[-1] < len(at) and (at[cuts] == ends).all()):
+            raise ValueError("a token runs over a space: not a byte-level vocabulary")
+        return ids.astype(np.uint32), np.diff(cuts, prepend=-1)
+
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._plain(words)
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(size.sum())), size
+
+    def _add(self, fresh: np.ndarray, size: np.ndarray) -> range:
+        """Slots of new chunks."""
+        first = len(self.size)
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.pool = np.concatenate([self.pool, fresh])
+        return range(first, len(self.size))
+
+    def _slots(self, known: dict[str, int], words: list[str], encode) -> np.ndarray:
+        """The slot of each word; -1 for one that may not stand alone."""
+        got = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        miss = [i for i in np.flatnonzero(got < 0).tolist()
+                if words[i] and not words[i][0].isspace() and not words[i][-1].isspace()]
+        new = [words[i] for i in miss]
+        slots = self._add(*encode(new))
+        got[miss] = slots
+        known.update(zip(new, slots))
         return got
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids of all texts in a row, number of ids of each)``."""
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids of all texts in a row, each with the end id, number of ids of
+        each)``."""
         n = len(texts)
+        if len(self.size) > CACHE_CHUNKS:
+            self._forget()
         parts = pc.split_pattern(texts, " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         coded = parts.flatten().dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        index = coded.indices.to_numpy(zero_copy_only=False)
         words = coded.dictionary.to_pylist()
-        unsafe = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words] or [False])
         first = offsets[:-1]
-        bad = np.add.reduceat(unsafe[index].astype(np.int64), first) > 0 if n else np.zeros(0, bool)
-        # the first chunk of a text has no space before it
-        lead = sorted({int(i) for i in index[first]})
-        place = {w: len(words) + j for j, w in enumerate(lead)}
-        index[first] = [place[int(i)] for i in index[first]]
-        keys = [" " + w for w in words] + [words[i] for i in lead]
-        usable = np.concatenate([~unsafe[:len(words)], ~unsafe[lead]]) if words else np.zeros(0, bool)
-        table = [np.zeros(0, np.uint32)] * len(keys)
-        wanted = np.flatnonzero(usable).tolist()
-        for i, v in zip(wanted, self.chunks([keys[i] for i in wanted])):
-            table[i] = v
-        lens = np.array([len(v) for v in table] or [0], dtype=np.int64)
-        pool = np.concatenate(table) if table else np.zeros(0, np.uint32)
-        begin = np.cumsum(lens) - lens
-        size = lens[index]
-        end = np.cumsum(size)
-        ids = pool[np.repeat(begin[index] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
-        counts = np.add.reduceat(size, first) if n else np.zeros(0, np.int64)
-        if bad.any():
+        lead, which = np.unique(index[first], return_inverse=True)
+        slots = self._slots(self.after_space, words, self._joined)[index]
+        slots[first] = self._slots(self.leading, [words[i] for i in lead.tolist()], self._apart)[which]
+        whole = np.flatnonzero(np.minimum.reduceat(slots, first) < 0) if n else []
+        end = self._add(np.array([end_id], dtype=np.uint32), np.ones(1, dtype=np.int64))[0]
+        slots = np.insert(np.maximum(slots, 0), offsets[1:], end)
+        size = self.size[slots]
+        last = np.cumsum(size)
+        ids = self.pool[np.repeat(self.begin[slots] - (last - size), size) + np.arange(last[-1] if n else 0)]
+        counts = np.add.reduceat(size, first + np.arange(n)) if n else np.zeros(0, np.int64)
+        if len(whole):
             pieces = np.split(ids, np.cumsum(counts)[:-1])
-            where = np.flatnonzero(bad)
-            for i, v in zip(where, self._plain([texts[int(i)].as_py() for i in where])):
-                pieces[i] = v
+            for i, v in zip(whole, self._plain([texts[int(i)].as_py() for i in whole])):
+                pieces[i] = np.array([*v, end_id], dtype=np.uint32)
             ids, counts = np.concatenate(pieces), np.array([len(p) for p in pieces], dtype=np.int64)
         return ids, counts
 
@@ -171,11 +195,9 @@ def shard_writer(path: str, end_id: int):
         for batch in batches:
             for rows in _slices(batch, "text", BATCH_BYTES):
                 texts = rows.column("text")
-                ids, n = encoder.encode(pc.fill_null(texts, "").cast(pa.string()))
-                ends = np.cumsum(n)
-                ids = np.insert(ids, ends, np.uint32(end_id))  # the end id after each document
+                ids, n = encoder.encode(pc.fill_null(texts, "").cast(pa.string()), end_id)
                 begin = 0
-                for doc, end in zip(rows.column("doc_id").to_pylist(), (ends + np.arange(1, len(ends) + 1)).tolist()):
+                for doc, end in zip(rows.column("doc_id").to_pylist(), np.cumsum(n).tolist()):
                     if held and held + end - begin > SHARD_IDS:
                         yield shard()
                         seq += 1
