@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Largest frame that an operator broadcasts by its own decision, measured
@@ -66,3 +67,20 @@ def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, also where
     ``body`` uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def rank_rows(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``df`` with ``out``: its 0-based place in ``order``, without a window
+    over all rows.  Rows are range-partitioned and sorted; their partition and
+    place in it are written to the shared folder, so that a repeated task sees
+    the same ones; each partition's first rank comes from a count a
+    partition.  Rows that tie in ``order`` get ranks in any order."""
+    tagged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftrightunsigned("__at", 33)
+    counts = tagged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.orderBy("__part")) - F.col("__n")
+    first = maybe_broadcast(counts.select("__part", before.alias("__first")))
+    place = F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (tagged.withColumn("__part", part).join(first, "__part").withColumn(out, place)
+            .drop("__at", "__part", "__first"))

@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontam, simhash, tokens, toxicity
+from ledgerlens.llm import decontam, html_tree, licences, mixing, order_minhash, sharding, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_weighted_hash_tree": sharding.op1_weighted_hash_tree,
+        "op2_soft_membership_mix": mixing.op2_soft_membership_mix,
+        "op3_order_minhash": order_minhash.op3_order_minhash,
         "op4_simple8b_tokens": tokens.op4_simple8b_tokens,
+        "op5_dom_sum_product": html_tree.op5_dom_sum_product,
+        "op7_license_digests": licences.op7_license_digests,
         "op8_toxicity_ftrl": toxicity.op8_toxicity_ftrl,
         "op9_simhash_blocks": simhash.op9_simhash_blocks,
         "op10_positional_index": decontam.op10_positional_index,
@@ -19,4 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_license_digests": licences.oracle(),
+    }
