@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontam, html_tree, licences, mixing, order_minhash, sharding, simhash, tokens, toxicity
+from ledgerlens.llm import (chat, decontam, html_tree, licences, mixing, order_minhash, sharding, simhash,
+                            tokens, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_order_minhash": order_minhash.op3_order_minhash,
         "op4_simple8b_tokens": tokens.op4_simple8b_tokens,
         "op5_dom_sum_product": html_tree.op5_dom_sum_product,
+        "op6_role_repair": chat.op6_role_repair,
         "op7_license_digests": licences.op7_license_digests,
         "op8_toxicity_ftrl": toxicity.op8_toxicity_ftrl,
         "op9_simhash_blocks": simhash.op9_simhash_blocks,
