@@ -255,8 +255,9 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     # messages before a stretch: one row a stretch, of a conversation's stretches
     stretch = lines.groupBy("conv_id", "part", "seg").agg((F.max("local") + 1).alias("n"))
     before = F.sum("n").over(W.partitionBy("conv_id").orderBy("part", "seg")) - F.col("n")
-    first = stretch.select(F.struct("conv_id", "part", "seg").alias("at"), before.alias("first"))
-    numbered = lines.withColumn("at", F.struct("conv_id", "part", "seg")).join(first, "at")
+    at = F.struct(F.coalesce("conv_id", F.lit(0)).alias("c"), F.col("conv_id").isNull().alias("n"), "part", "seg")
+    first = stretch.select(at.alias("at"), before.alias("first"))
+    numbered = lines.withColumn("at", at).join(first, "at")
     texts = turns.select(F.struct("part", "idx").alias("place"), "turn", "text")
     numbered = numbered.withColumn("place", F.struct("part", "idx"))
     with_text = numbered.filter("idx is not null").join(texts, "place")

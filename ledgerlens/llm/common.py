@@ -63,6 +63,18 @@ def lower_ascii(c: Column) -> Column:
     return F.when(ascii_only, F.lower(c)).otherwise(F.translate(c, string.ascii_uppercase, string.ascii_lowercase))
 
 
+def doc_key(doc_id: Column, tie: Column) -> Column:
+    """What tells documents apart in joins: the id and a hash of the text.  A
+    null id is one of its own; no field is null, so that keys compare equal."""
+    return F.struct(F.coalesce(doc_id.cast("long"), F.lit(0).cast("long")).alias("id"),
+                    doc_id.isNull().alias("anonymous"), tie.alias("tie"))
+
+
+def key_id(key: str) -> Column:
+    """The id of a ``doc_key``, null again where it was."""
+    return F.when(~F.col(f"{key}.anonymous"), F.col(f"{key}.id"))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, also where
     ``body`` uses it inside a lambda."""

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import lower_ascii, materialize, maybe_broadcast, table
+from ledgerlens.llm.common import doc_key, key_id, lower_ascii, materialize, maybe_broadcast, table
 
 WINDOW = 10
 ANCHORS = 3
@@ -48,8 +48,7 @@ def words(text: Column) -> Column:
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, text)``: ``doc`` is the id with a hash of the text."""
-    return docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"),
-                                F.xxhash64(F.col(text_col)).alias("tie")).alias("doc"),
+    return docs.select(doc_key(F.col(id_col), F.xxhash64(F.col(text_col))).alias("doc"),
                        F.col(text_col).cast("string").alias("text"))
 
 
@@ -184,8 +183,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs``, all columns, without the documents that hold a window."""
     bad = materialize(contamination(keyed(docs), benchmark).select(F.col("doc").alias("leak")), "leaks")
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text")).alias("tie"))
-    marked = docs.withColumn("__document_key", key)
+    marked = docs.withColumn("__document_key", doc_key(F.col("doc_id"), F.xxhash64(F.col("text"))))
     bad = maybe_broadcast(bad)
     return marked.join(bad, marked["__document_key"] == bad["leak"], "left_anti").drop("__document_key")
 
@@ -197,7 +195,7 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return (every.join(found, "doc", "left")
-            .select("doc.doc_id", "n_words", hit.alias("n_hit"),
+            .select(key_id("doc").alias("doc_id"), "n_words", hit.alias("n_hit"),
                     F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
                     F.sha2(F.concat_ws(",", F.coalesce("items", none)), 256).alias("items_sha256"),
                     (hit > 0).alias("contaminated")))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import maybe_broadcast, table
+from ledgerlens.llm.common import doc_key, key_id, maybe_broadcast, table
 
 # Spellings that licence matching takes as equal.
 SPELLINGS = [
@@ -126,13 +126,13 @@ def scan_lines(df: DataFrame, known: DataFrame, keys: list[str], text_col: str =
 
 
 def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.struct("doc_id", F.xxhash64("text").alias("tie")).alias("doc")
+    key = doc_key(F.col("doc_id"), F.xxhash64("text")).alias("doc")
     docs = table(spark, sf_dir, "documents").select(key, "text")
     known = builtin(spark)
     whole = scan(docs, known).select("doc", "digest", "license")
     lines = scan_lines(docs, known, ["doc"])
     return (whole.join(lines, "doc", "left")
-            .select("doc.doc_id", "digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"),
+            .select(key_id("doc").alias("doc_id"), "digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"),
                     F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines")))
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import features
-from ledgerlens.llm.common import materialize, maybe_broadcast, table
+from ledgerlens.llm.common import doc_key, materialize, maybe_broadcast, table
 from ledgerlens.llm.toxicity import MODEL_LIMIT_BYTES, training_rows
 
 # Share of the tokens that each domain is to have in the mix.
@@ -149,10 +149,9 @@ def plan_mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] =
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """``docs``, all columns, each row as many times as it has copies."""
     plan = plan_mix(docs, labels, targets).filter("copies <> 1")
-    changed = materialize(plan.select(F.struct("doc_id", "tie").alias("__planned"), F.col("copies").alias("__copies"))
-                          .distinct(), "copies")
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text")).alias("tie"))
-    marked = docs.withColumn("__document_key", key)
+    changed = materialize(plan.select(doc_key(F.col("doc_id"), F.col("tie")).alias("__planned"),
+                                      F.col("copies").alias("__copies")).distinct(), "copies")
+    marked = docs.withColumn("__document_key", doc_key(F.col("doc_id"), F.xxhash64(F.col("text"))))
     small = maybe_broadcast(changed)
     joined = marked.join(small, marked["__document_key"] == small["__planned"], "left")
     times = F.coalesce("__copies", F.lit(1))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import let, materialize, rank_rows, table
+from ledgerlens.llm.common import doc_key, key_id, let, materialize, rank_rows, table
 
 K = 2
 BIN_BITS = 5
@@ -147,7 +147,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     neighbour no more than the prefix that it needs."""
     sized = (docs.select("doc", F.char_length("text").cast("long").alias("n_chars"))
              .groupBy("doc", "n_chars").agg(F.count(F.lit(1)).cast("int").alias("times")))
-    ranked = materialize(rank_rows(sized, [F.col("doc").asc_nulls_first()], "rank"), "order")
+    ranked = materialize(rank_rows(sized, [F.col("doc.anonymous").desc(), F.col("doc.id").asc(), F.col("doc.tie").asc()], "rank"), "order")
     n, most = ranked.agg(F.count(F.lit(1)), F.max("times")).first()
     donors = ranked.select(F.col("doc").alias("next"), (F.when(F.col("rank") == n - 1, 0)
                                                         .otherwise(F.col("rank") + 1)).alias("rank"))
@@ -167,7 +167,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
-        F.struct("doc_id", F.xxhash64("text").alias("tie")).alias("doc"),
+        doc_key(F.col("doc_id"), F.xxhash64("text")).alias("doc"),
         F.coalesce("text", F.lit("")).alias("text"))
     pairs = edited_pairs(docs)
     signed = with_signature(with_signature(pairs, "text", "sig"), "edited", "edited_sig")
@@ -176,7 +176,7 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     others = done.select(F.col("doc").alias("next"), F.col("sig").alias("next_sig"))
     return (done.join(others, "next")
             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-            .select("doc.doc_id", "n_chars", "edited_sha256", fingerprint_text(F.col("sig")).alias("fingerprint"),
+            .select(key_id("doc").alias("doc_id"), "n_chars", "edited_sha256", fingerprint_text(F.col("sig")).alias("fingerprint"),
                     fingerprint_text(F.col("edited_sig")).alias("edited_fingerprint"),
                     likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
                     likeness(F.col("sig"), F.col("next_sig")).alias("near_next")))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize, table
+from ledgerlens.llm.common import doc_key, materialize, maybe_broadcast, table
 from ledgerlens.llm.components import connected_components
 
 SHINGLE = 3
@@ -168,23 +168,20 @@ def survivors(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS, id_co
     found = classes(fingerprint(docs, k, id_col, text_col), max_bits)
     keep = (found.groupBy("root")
             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("k")))
-    counted = found.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n"))
-    keep = keep.select(F.struct("k.doc_id", "k.tie").alias("kept"))
-    counted = counted.select(F.struct("doc_id", "tie").alias("key"), "n")
-    keys = materialize(keep.join(counted, F.col("kept") == F.col("key")).select("kept", "n"), "kept")
-    marked = docs.withColumn(KEY, F.struct(F.col(id_col).cast("long").alias("doc_id"),
-                                           F.xxhash64(F.col(text_col)).alias("tie")))
-
-    def kept(which: str) -> DataFrame:
-        side = keys.filter(which)
-        return marked.join(side, marked[KEY] == side["kept"], "left_semi")
-
-    out = kept("n = 1").drop(KEY)
-    if keys.filter("n > 1").isEmpty():
+    kept = keep.select(doc_key(F.col("k.doc_id"), F.col("k.tie")).alias("kept"))
+    counted = found.groupBy(doc_key(F.col("doc_id"), F.col("tie")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    judged = counted.join(kept, F.col("key") == F.col("kept"), "left")
+    # what does not simply stay: other members of a class, and rows that repeat the one that stays
+    rest = materialize(judged.filter("kept is null or n > 1").select(F.col("key").alias("__key"), "kept"), "rest")
+    marked = docs.withColumn(KEY, doc_key(F.col(id_col), F.xxhash64(F.col(text_col))))
+    small = maybe_broadcast(rest.select("__key"))
+    out = marked.join(small, marked[KEY] == small["__key"], "left_anti").drop(KEY)
+    again = rest.filter("kept is not null")
+    if again.isEmpty():
         return out
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    first = kept("n > 1").groupBy(KEY).agg(F.min(row).alias("r")).select("r.*")
-    return out.unionByName(first)
+    many = marked.join(again.select("__key"), F.col(KEY) == F.col("__key"), "left_semi")
+    return out.unionByName(many.groupBy(KEY).agg(F.min(row).alias("r")).select("r.*"))
 
 
 def op9_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
