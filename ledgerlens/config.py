@@ -75,3 +75,6 @@ TEST_PARAMS = Params(
     period_to="2001-07",
     bank_first_week=_d("2000-05-05"),
 )
+
+# An earlier date at which the items, flows and KPIs are also checked.
+EARLY_AS_OF = _d("1999-12-31")

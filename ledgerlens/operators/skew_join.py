@@ -8,9 +8,9 @@ independently of AQE:
 1. count rows per key (partial aggregation over the key column only); the
    total is a scalar subquery over those same counts, whose shuffle AQE
    reuses, so the fact is read once;
-2. keys holding more than ``max(share * total, min_rows)`` rows are hot;
-   there are at most ``1 / share`` of them, which bounds what is
-   collected and broadcast;
+2. keys holding more than ``share * total`` rows are hot; there are at most
+   ``1 / share`` of them, which bounds what is collected and broadcast.  The
+   rule is the same at every size of the data;
 3. hot rows join their few dimension rows by broadcast (no shuffle of the
    hot rows at all); the remaining rows take the planner's join.
 
@@ -23,21 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_SHARE = 0.001  # at most 1000 hot keys
-DEFAULT_MIN_ROWS = 1_000_000  # below this a key fits one task anyway
 
 
-def hot_keys(fact: DataFrame, key: str, share: float = DEFAULT_SHARE, min_rows: int = DEFAULT_MIN_ROWS) -> list:
+def hot_keys(fact: DataFrame, key: str, share: float = DEFAULT_SHARE) -> list:
     counts = fact.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.select(F.sum("_n")).scalar()
-    threshold = F.greatest(F.lit(share) * total, F.lit(min_rows))
     # at most 1/share keys can exceed share * total: a bounded collect
-    return [r[0] for r in counts.filter(F.col("_n") > threshold).select(key).collect()]
+    return [r[0] for r in counts.filter(F.col("_n") > F.lit(share) * total).select(key).collect()]
 
 
-def split_join(fact: DataFrame, dim: DataFrame, key: str, share: float = DEFAULT_SHARE,
-               min_rows: int = DEFAULT_MIN_ROWS) -> DataFrame:
+def split_join(fact: DataFrame, dim: DataFrame, key: str, share: float = DEFAULT_SHARE) -> DataFrame:
     """Inner join ``fact`` with ``dim`` (unique on ``key``) on ``key``."""
-    hot = hot_keys(fact, key, share, min_rows)
+    hot = hot_keys(fact, key, share)
     if not hot:
         return fact.join(dim, key)
     is_hot = F.col(key).isin(hot)

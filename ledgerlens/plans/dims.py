@@ -40,7 +40,11 @@ def partner_ids(journal: DataFrame, col: str) -> DataFrame:
 
 
 def dim_customer(journal: DataFrame) -> DataFrame:
-    ids = dense_index(partner_ids(journal, "customer"), "partner_id", "rn")
+    return customer_rows(dense_index(partner_ids(journal, "customer"), "partner_id", "rn"))
+
+
+def customer_rows(ids: DataFrame) -> DataFrame:
+    """Customers from ``(partner_id, rn)``."""
     h = F.col("h")
     h10 = h % 10
     return (ids.withColumn("h", bucket100("partner_id", F.lit(CUSTOMER_SALT)))
@@ -62,7 +66,11 @@ def dim_customer(journal: DataFrame) -> DataFrame:
 
 
 def dim_supplier(journal: DataFrame) -> DataFrame:
-    ids = dense_index(partner_ids(journal, "supplier"), "partner_id", "rn")
+    return supplier_rows(dense_index(partner_ids(journal, "supplier"), "partner_id", "rn"))
+
+
+def supplier_rows(ids: DataFrame) -> DataFrame:
+    """Suppliers from ``(partner_id, rn)``."""
     h = F.col("h")
     std = h.between(55, 74)
     return (ids.withColumn("h", bucket100("partner_id", F.lit(SUPPLIER_SALT)))

@@ -80,8 +80,8 @@ def ask_weekly_26(wh) -> DataFrame:
 
 
 def ask_forecast_rows(wh) -> DataFrame:
-    """Raw forecast rows by week number (the fact caps them at 120)."""
-    return wh.cash_forecast.orderBy("week_no", "company_code").limit(120)
+    """Raw forecast rows by week number."""
+    return wh.cash_forecast.orderBy("week_no", "company_code")
 
 
 # The company-wide AR behaviour, aging, segment and dunning facts

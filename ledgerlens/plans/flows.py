@@ -82,10 +82,11 @@ def monthly_deltas(ar: DataFrame, ap: DataFrame, history_start: dt.date) -> Data
                    F.coalesce(F.max("spine"), F.lit(0)).alias("spine")))
 
 
-def flows_from_deltas(deltas: DataFrame) -> DataFrame:
+def flows_from_deltas(deltas: DataFrame, as_of: dt.date) -> DataFrame:
+    """Flows and balances of the spine's months that had ended by ``as_of``."""
     bal = running_total(deltas, ["company_code"], "month_end",
                         {"ar_balance_usd": "ar_delta", "ar_overdue_usd": "od_delta", "ap_balance_usd": "ap_delta"})
-    return (bal.filter(F.col("spine") == 1)
+    return (bal.filter((F.col("spine") == 1) & (F.col("month_end") <= F.lit(as_of)))
                .select("company_code", "month_end", month_str("month_end").alias("month"),
                        "revenue_usd", "purchases_usd",
                        F.col("ar_balance_usd").cast(MONEY).alias("ar_balance_usd"),
@@ -94,6 +95,8 @@ def flows_from_deltas(deltas: DataFrame) -> DataFrame:
                        "discount_captured_usd", "discount_lost_usd"))
 
 
-def monthly_flows(ar_core: DataFrame, ap_core: DataFrame, history_start: dt.date) -> DataFrame:
-    """Uses only as-of independent columns, so it can read the core tables."""
-    return flows_from_deltas(monthly_deltas(ar_core, ap_core, history_start))
+def monthly_flows(ar_core: DataFrame, ap_core: DataFrame, history_start: dt.date, as_of: dt.date) -> DataFrame:
+    """Reads the core tables; what was posted after ``as_of`` touches only later
+    months."""
+    by_then = F.col("invoice_date") <= F.lit(as_of)
+    return flows_from_deltas(monthly_deltas(ar_core.filter(by_then), ap_core.filter(by_then), history_start), as_of)

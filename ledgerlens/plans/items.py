@@ -8,8 +8,8 @@ The build is split in two:
   dates, amounts, payment outcome, discount economics).  This is what the
   streaming refresh appends.
 * ``ar_status`` / ``ap_status``: the as-of view (open flag, clearing date,
-  days past due, aging, dunning...).  A pure projection, so it is applied
-  on read for any as-of date.
+  days past due, aging, dunning...) of the items posted by then.  A filter and
+  a projection, so it is applied on read for any as-of date.
 
 The company join is inner: lines of an unknown company code drop out.
 """
@@ -18,12 +18,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.bucket import bucket100
 from ledgerlens.functions.calendar import month_str
-from ledgerlens.functions.measures import MONEY, round_half_up_double
+from ledgerlens.functions.measures import MONEY
 from ledgerlens.operators.skew_join import split_join
 
 AP_SALT = "ap"
@@ -77,6 +77,20 @@ def ap_base(journal: DataFrame) -> DataFrame:
                 .alias("item_bucket")))
 
 
+def _yield_usd(days) -> Column:
+    """Amount in USD x APR x days / 365, rounded half up to cents.  All in
+    whole numbers (cents, millionths) with one division, so nothing is lost
+    to DOUBLE; of ``days`` >= 0."""
+    cents = (F.col("amount_lc") * 100).cast("decimal(18,0)")
+    rate = (F.col("rate_to_usd") * 1_000_000).cast("decimal(8,0)")
+    apr = (F.col("dd_apr") * 1_000_000).cast("decimal(6,0)")
+    year = F.lit(365 * 10 ** 12).cast("decimal(18,0)")
+    n = (cents * rate).cast("decimal(26,0)") * apr
+    n = n.cast("decimal(32,0)") * days.cast("decimal(5,0)")
+    half_up = F.call_function("div", 2 * n + year, 2 * year)
+    return (half_up.cast("decimal(18,0)") / 100).cast(MONEY)
+
+
 def _partner_join(base: DataFrame, dim: DataFrame, key: str, split_hot: bool) -> DataFrame:
     # A streaming micro-batch joins the static dimension directly; a batch
     # build splits hot partners off (see operators.skew_join).
@@ -105,6 +119,7 @@ def ar_core(journal: DataFrame, dim_customer: DataFrame, dim_company: DataFrame,
 
 def ar_status(core: DataFrame, as_of: dt.date) -> DataFrame:
     a = F.lit(as_of)
+    core = core.filter(F.col("invoice_date") <= a)
     exp, due, h = F.col("expected_clearing_date"), F.col("due_date"), F.col("item_bucket")
     cleared = exp <= a
     dpd = F.datediff(a, due)
@@ -151,16 +166,14 @@ def ap_core(journal: DataFrame, dim_supplier: DataFrame, dim_company: DataFrame,
 
     # Discount economics in USD, counted by invoice whether or not paid yet.
     usd_exact = F.col("amount_lc") * F.col("rate_to_usd")  # DECIMAL, exact
-    usd_d = F.col("amount_lc").cast("double") * F.col("rate_to_usd").cast("double")
-    apr_d = F.col("dd_apr").cast("double")
     dd_days = F.datediff(F.col("due_date"), F.col("expected_payment_date"))
-    captured = (F.when(po == DD_ACCEPTED, round_half_up_double(usd_d * apr_d * dd_days / 365.0, 2).cast(MONEY))
+    captured = (F.when(po == DD_ACCEPTED, _yield_usd(dd_days))
                  .when(po == STATIC_TAKEN, F.round(usd_exact * pct, 2).cast(MONEY))
                  .otherwise(F.lit(0).cast(MONEY)))
     lost = F.when(po == STATIC_MISSED, F.round(usd_exact * pct, 2)).otherwise(F.lit(0)).cast(MONEY)
     dd_opp = (F.when((prog == "Dynamic Discounting") & (po != DD_ACCEPTED),
-                     round_half_up_double(usd_d * apr_d * F.greatest(F.col("terms_days") - 12, F.lit(0)) / 365.0, 2))
-               .otherwise(F.lit(0.0)).cast(MONEY))
+                     _yield_usd(F.greatest(F.col("terms_days") - 12, F.lit(0))))
+               .otherwise(F.lit(0).cast(MONEY)))
     scf = F.when(po == SCF_FUNDED, F.round(usd_exact, 2)).otherwise(F.lit(0)).cast(MONEY)
     return t.select(
         "company_code", "company", "fiscal_year", "document_id", "supplier_id", "supplier_name", "category",
@@ -180,6 +193,7 @@ def ap_core(journal: DataFrame, dim_supplier: DataFrame, dim_company: DataFrame,
 
 def ap_status(core: DataFrame, as_of: dt.date) -> DataFrame:
     a = F.lit(as_of)
+    core = core.filter(F.col("invoice_date") <= a)
     exp, due = F.col("expected_payment_date"), F.col("due_date")
     paid = exp <= a
     dpd = F.datediff(a, due)

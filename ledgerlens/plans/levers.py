@@ -36,7 +36,9 @@ def wc_opportunities(kpi: DataFrame, flows: DataFrame, inventory: DataFrame, ap:
               .agg(F.sum("discount_lost_usd").alias("lost"), F.sum("dd_opportunity_usd").alias("dd_opp")))
 
     def release(gap, base):
-        return F.round(F.greatest(gap, F.lit(0.0)) * F.col(base).cast("double") / F.lit(365.0), 0)
+        # no day metric, no release (greatest would skip the null)
+        return F.when(gap.isNotNull(),
+                      F.round(F.greatest(gap, F.lit(0.0)) * F.col(base).cast("double") / F.lit(365.0), 0))
 
     kf = k.join(f, "company_code")
     dso = kf.select("company_code", "company", F.lit(LEVER_DSO[0]).alias("lever"), F.lit(LEVER_DSO[1]).alias("area"),

@@ -41,7 +41,8 @@ def _counts(frames: dict[str, DataFrame]) -> DataFrame:
 
 def _source_frames(wh) -> dict[str, DataFrame]:
     frames = {"acctg": wh.journal}
-    for key, _, table, _ in LINEAGE_PRODUCTS[1:]:
+    # a warehouse on a journal of its own has no other source tables
+    for key, _, table, _ in LINEAGE_PRODUCTS[1:] if wh.sf_dir else []:
         frames[key] = read_table(wh.spark, wh.sf_dir, table, [_first_col(table)])
     frames["dt_ar"] = wh.ar_items
     frames["dt_ap"] = wh.ap_items
@@ -55,8 +56,8 @@ def _first_col(table: str) -> str:
 
 def lineage_counts(wh) -> DataFrame:
     """One row with a count column per source object and curated item table."""
-    long = _counts(_source_frames(wh))
-    keys = [k for k, *_ in LINEAGE_PRODUCTS] + ["dt_ar", "dt_ap"]
+    frames = _source_frames(wh)
+    long, keys = _counts(frames), list(frames)
     return long.groupBy().pivot("object", keys).agg(F.first("rows"))
 
 
@@ -64,7 +65,7 @@ def lineage_products(wh) -> DataFrame:
     """One row per source product with its description and row count: the
     long counts joined to the (literal, seven-row) product list."""
     frames = _source_frames(wh)
-    long = _counts({k: frames[k] for k, *_ in LINEAGE_PRODUCTS})
+    long = _counts({k: frames[k] for k, *_ in LINEAGE_PRODUCTS if k in frames})
     desc = wh.spark.createDataFrame(LINEAGE_PRODUCTS, "object string, data_product string, l1_object string, "
                                                       "usage string")
     return long.join(F.broadcast(desc), "object").select("data_product", "l1_object", "rows", "usage")

@@ -138,7 +138,7 @@ class Warehouse:
         # copied.  Only the journal derived from the test tables is written.
         if self.journal_path:
             return self._get("journal", lambda: read_journal(self.spark, self.journal_path), write=False)
-        return self._get("journal", lambda: journal_from_tpch(self.spark, self.sf_dir, self.params))
+        return self._get("journal", lambda: journal_from_tpch(self.spark, self.sf_dir))
 
     @property
     def dim_customer(self) -> DataFrame:
@@ -177,7 +177,8 @@ class Warehouse:
     @property
     def monthly_flows(self) -> DataFrame:
         return self._get("monthly_flows",
-                         lambda: flows.monthly_flows(self.ar_core, self.ap_core, self.params.history_start))
+                         lambda: flows.monthly_flows(self.ar_core, self.ap_core, self.params.history_start,
+                                                     self.params.as_of))
 
     @property
     def inventory_monthly(self) -> DataFrame:

@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.config import TEST_PARAMS
+from ledgerlens.config import EARLY_AS_OF, TEST_PARAMS
 from ledgerlens.functions.filters import Filter
 from ledgerlens.functions.measures import sorted_small
 from ledgerlens.plans import dashboard as D
 from ledgerlens.plans import facts as FA
+from ledgerlens.plans import flows as FL
 from ledgerlens.plans import items as IT
+from ledgerlens.plans import kpi as KP
 from ledgerlens.plans import lineage as LI
 from ledgerlens.plans import snapshot as SN
 from ledgerlens.plans.metrics import METRICS, metric_query
@@ -92,6 +94,15 @@ def filter_period_check(wh) -> DataFrame:
               .transform(sorted_small("company")))
 
 
+def early_flows(wh) -> DataFrame:
+    return FL.monthly_flows(wh.ar_core, wh.ap_core, wh.params.history_start, EARLY_AS_OF)
+
+
+def early_kpi(wh) -> DataFrame:
+    flows = early_flows(wh)
+    return KP.wc_monthly_kpi(flows, KP.inventory_monthly(flows, wh.dim_company), wh.dim_company, wh.params.kpi_start)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable] = {
         # sources, extracts, curated tables
@@ -193,6 +204,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_ap_items": _stream("ap_items"),
         "stream_monthly_flows": _stream("monthly_flows"),
         "stream_kpi_refresh": _stream("wc_monthly_kpi"),
+        "stream_inventory": _stream("inventory_monthly"),
+        "stream_forecast": _stream("cash_forecast"),
+        # the same tables as of an earlier date
+        "asof_ar_items": _wh_fn(lambda wh: IT.ar_status(wh.ar_core, EARLY_AS_OF)),
+        "asof_ap_items": _wh_fn(lambda wh: IT.ap_status(wh.ap_core, EARLY_AS_OF)),
+        "asof_monthly_flows": _wh_fn(early_flows),
+        "asof_wc_monthly_kpi": _wh_fn(early_kpi),
     }
     # metric layer: every metric by company, plus the documented usage shape
     for m, (table, _) in METRICS.items():

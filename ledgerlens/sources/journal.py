@@ -10,21 +10,18 @@ TPC-H-like test tables:
 * every returned line item (``l_returnflag = 'R'``) is also a customer
   credit memo (``H``), which the receivables extract must reject.
 
-The company of a line is the region of the partner's nation.  Postings after
-the as-of date are dropped, as the source stops at its last posting date.
+The company of a line is the region of the partner's nation.  All postings
+are taken; the as-of views of the items leave out what was posted later.
 ``read_journal`` reads an existing journal table instead (the production
 path); both return the same schema.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.config import Params
 from ledgerlens.operators.skew_join import split_join
 from ledgerlens.sources.literals import dim_company, region_company
 from ledgerlens.sources.tables import read_table
@@ -46,13 +43,6 @@ JOURNAL_COLUMNS = [f.name for f in JOURNAL_SCHEMA.fields]
 MONEY = T.DecimalType(18, 2)
 
 
-def _posted_by(col: str, as_of: dt.date):
-    # Compare the raw timestamp column with a literal so the predicate is
-    # pushed into the parquet scan (a cast on the column would not be).
-    nxt = (as_of + dt.timedelta(days=1)).isoformat() + " 00:00:00"
-    return F.col(col) < F.lit(nxt).cast("timestamp_ntz")
-
-
 def _nation_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
@@ -69,7 +59,7 @@ def _lines(df: DataFrame, spark: SparkSession) -> DataFrame:
               .select(*JOURNAL_COLUMNS))
 
 
-def journal_from_tpch(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
+def journal_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation_company = _nation_company(spark, sf_dir)
     # partner -> company (partner keys renamed to the fact's key for the joins)
     cust_company = (read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
@@ -79,13 +69,10 @@ def journal_from_tpch(spark: SparkSession, sf_dir: str, params: Params) -> DataF
                     .join(nation_company, F.col("s_nationkey") == F.col("n_nationkey"))
                     .select(F.col("s_suppkey").alias("l_suppkey"), "company_code"))
 
-    orders = (read_table(spark, sf_dir, "orders",
-                         ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"])
-              .filter(_posted_by("o_orderdate", params.as_of)))
-    lineitem = (read_table(spark, sf_dir, "lineitem",
-                           ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate",
-                            "l_returnflag"])
-                .filter(_posted_by("l_shipdate", params.as_of)))
+    orders = read_table(spark, sf_dir, "orders",
+                        ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"])
+    lineitem = read_table(spark, sf_dir, "lineitem",
+                          ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag"])
 
     # One customer or supplier may carry a large share of all lines: hot
     # partners are split off and joined by broadcast (operators.skew_join).

@@ -7,8 +7,6 @@ the proven bound that makes broadcasting them safe.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -56,6 +54,15 @@ REGION_COMPANY = [
 RATE = T.DecimalType(10, 6)
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """The rows as a local relation (``VALUES``): no task reads them."""
+    def lit(v, f):
+        text = "'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+        return f"cast({text} as {f.dataType.simpleString()})"
+    values = ", ".join("(" + ", ".join(lit(v, f) for v, f in zip(r, schema.fields)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(schema.fieldNames())})")
+
+
 def dim_company(spark: SparkSession) -> DataFrame:
     schema = T.StructType([
         T.StructField("company_code", T.StringType(), False),
@@ -64,8 +71,7 @@ def dim_company(spark: SparkSession) -> DataFrame:
         T.StructField("region", T.StringType(), False),
         T.StructField("rate_to_usd", RATE, False),
     ])
-    rows = [(a, b, c, d, Decimal(e)) for a, b, c, d, e in COMPANIES]
-    return spark.createDataFrame(rows, schema)
+    return _local(spark, COMPANIES, schema)
 
 
 def dim_inventory_category(spark: SparkSession) -> DataFrame:
@@ -75,8 +81,7 @@ def dim_inventory_category(spark: SparkSession) -> DataFrame:
         T.StructField("target_dio", T.IntegerType(), False),
         T.StructField("slow_moving_pct", RATE, False),
     ])
-    rows = [(a, Decimal(b), c, Decimal(d)) for a, b, c, d in INVENTORY_CATEGORIES]
-    return spark.createDataFrame(rows, schema)
+    return _local(spark, INVENTORY_CATEGORIES, schema)
 
 
 def dim_bank_account(spark: SparkSession) -> DataFrame:
@@ -87,7 +92,7 @@ def dim_bank_account(spark: SparkSession) -> DataFrame:
         T.StructField("account_purpose", T.StringType(), False),
         T.StructField("base_balance_usd", T.LongType(), False),
     ])
-    return spark.createDataFrame(BANK_ACCOUNTS, schema)
+    return _local(spark, BANK_ACCOUNTS, schema)
 
 
 def region_company(spark: SparkSession) -> DataFrame:
@@ -95,4 +100,4 @@ def region_company(spark: SparkSession) -> DataFrame:
         T.StructField("r_name", T.StringType(), False),
         T.StructField("company_code", T.StringType(), False),
     ])
-    return spark.createDataFrame(REGION_COMPANY, schema)
+    return _local(spark, REGION_COMPANY, schema)

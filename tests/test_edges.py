@@ -85,13 +85,13 @@ def test_balance_month_end_edges(spark):
     ap = spark.createDataFrame([], "company_code string, invoice_date date, due_date date, "
                                    "expected_payment_date date, amount_usd decimal(18,2), "
                                    "discount_captured_usd decimal(18,2), discount_lost_usd decimal(18,2)")
-    f = {r.month_end: r for r in monthly_flows(ar, ap, dt.date(2000, 1, 1)).collect()}
+    f = {r.month_end: r for r in monthly_flows(ar, ap, dt.date(2000, 1, 1), AS_OF).collect()}
     assert f[dt.date(2001, 1, 31)].ar_balance_usd == Decimal("200.00")
     # at February month end only the second item is open, and it is due that day, so not overdue
     assert dt.date(2001, 2, 28) not in f   # no AR invoice in February: not a spine month
     ar2 = ar.unionByName(_ar_core(spark, [("feb", dt.date(2001, 2, 3), dt.date(2001, 3, 5), dt.date(2001, 3, 9), 1),
                                           ("mar", dt.date(2001, 3, 2), dt.date(2001, 4, 1), dt.date(2001, 4, 10), 1)]))
-    f2 = {r.month_end: r for r in monthly_flows(ar2, ap, dt.date(2000, 1, 1)).collect()}
+    f2 = {r.month_end: r for r in monthly_flows(ar2, ap, dt.date(2000, 1, 1), AS_OF).collect()}
     assert f2[m].ar_balance_usd == Decimal("200.00")   # due_on_m + feb
     assert f2[m].ar_overdue_usd == Decimal("0.00")
     assert f2[dt.date(2001, 3, 31)].ar_balance_usd == Decimal("200.00")   # due_on_m + mar
@@ -105,7 +105,7 @@ def test_month_with_ap_only_absent(spark):
                                "company_code string, invoice_date date, due_date date, expected_payment_date date, "
                                "amount_usd decimal(18,2), discount_captured_usd decimal(18,2), "
                                "discount_lost_usd decimal(18,2)")
-    months = [r.month_end for r in monthly_flows(ar, ap, dt.date(2000, 1, 1)).collect()]
+    months = [r.month_end for r in monthly_flows(ar, ap, dt.date(2000, 1, 1), AS_OF).collect()]
     assert months == [dt.date(2001, 1, 31)]
 
 
@@ -149,7 +149,7 @@ def test_zero_revenue_dso_null_and_forecast_cap(spark, wh):
         "ar_balance_usd decimal(18,2), ar_overdue_usd decimal(18,2), ap_balance_usd decimal(18,2), "
         "discount_captured_usd decimal(18,2), discount_lost_usd decimal(18,2)")
     inv = inventory_monthly(flows, wh.dim_company)
-    k = wc_monthly_kpi(flows, inv, wh.dim_company, dt.date(2000, 1, 1)).collect()
+    k = wc_monthly_kpi(flows, inv, wh.dim_company, dt.date(2000, 1, 1), AS_OF).collect()
     assert all(r.dso is None and r.dio is None and r.ccc is None for r in k)
     assert all(r.dpo is not None for r in k)
     # forecast: an open item expected 20 weeks out lands in week 13

@@ -47,7 +47,7 @@ def _random_core(spark, n, seed):
 def test_event_delta_balances_equal_interval_join(spark):
     ar, ap = _random_core(spark, 800, 3)
     hist = dt.date(2000, 3, 1)
-    got = monthly_flows(ar, ap, hist).toPandas().set_index(["company_code", "month_end"]).sort_index()
+    got = monthly_flows(ar, ap, hist, dt.date(9999, 12, 31)).toPandas().set_index(["company_code", "month_end"]).sort_index()
     a, p = ar.toPandas(), ap.toPandas()
     me = lambda d: (pd.Timestamp(d) + pd.offsets.MonthEnd(0)).date()
     months = sorted({(r.company_code, me(r.invoice_date)) for r in a.itertuples() if r.invoice_date >= hist})
@@ -76,8 +76,8 @@ def test_split_join_equals_plain_join_with_hot_key(spark):
     rows = [("hot" if i % 3 == 0 else f"k{i % 97}", i) for i in range(3000)]   # one key holds a third
     fact = spark.createDataFrame(rows, "key string, v int")
     dim = spark.createDataFrame([("hot", "H")] + [(f"k{i}", f"n{i}") for i in range(97)], "key string, name string")
-    assert hot_keys(fact, "key", share=0.01, min_rows=10) == ["hot"]
-    got = split_join(fact, dim, "key", share=0.01, min_rows=10)
+    assert hot_keys(fact, "key", share=0.01) == ["hot"]
+    got = split_join(fact, dim, "key", share=0.01)
     want = fact.join(dim, "key")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert hot_keys(fact, "key") == []   # default threshold: nothing is hot at this size

@@ -41,7 +41,7 @@ def build_plan(spark, sf: str, name: str):
     from ledgerlens.plans.warehouse import get_warehouse, layout
     wh = get_warehouse(spark, sf, P)
     if name == "monthly_flows":
-        return flows.monthly_flows(wh.ar_core, wh.ap_core, P.history_start)
+        return flows.monthly_flows(wh.ar_core, wh.ap_core, P.history_start, P.as_of)
     if name == "ar_core":
         return layout("ar_core", items.ar_core(wh.journal, wh.dim_customer, wh.dim_company))
     if name == "partner_ids":
