@@ -1,106 +1,126 @@
 """Incremental refresh with Structured Streaming.
 
-New journal files arrive in a folder.  Two streaming queries keep the
-curated tables current:
-
-* ``item_stream``: journal lines -> AR or AP core items (stateless
-  projection joined to the static partner and company dimensions) ->
-  appended parquet.  As-of dependent columns are not stored; the read side
-  applies ``ar_status``/``ap_status`` for the as-of date asked for.
-* ``flow_stream``: ``foreachBatch`` turns each micro-batch into balance and
-  flow deltas per (company, month end) -- a few rows per batch -- and
-  writes them under ``batch_id=N`` (overwrite of that folder only, so a
-  replayed batch is idempotent).  The read side sums the deltas and runs the
-  running sum; because deltas are additive the result equals the batch
-  result after any number of micro-batches.  Inventory and KPIs are then
-  recomputed from those flows (companies x months rows).
-
-Partner dimensions are computed before the stream, from the full journal,
-so partner numbering (names) does not shift when new partners arrive.
+New journal files arrive in a folder; one streaming query keeps the curated
+tables current.  Each micro-batch (``foreachBatch``) does, in order:
+
+1. partners: ids not seen before get the next numbers and join the partner
+   tables, so no line is ever lost to a dimension that is behind;
+2. items: AR and AP core items of the batch (hot partners split off as in a
+   batch build).  As-of dependent columns are not stored; the read side applies
+   ``ar_status``/``ap_status`` for the as-of date asked for;
+3. deltas: flow and balance deltas per (company, month end) of the items just
+   written; being additive, their sum over any number of batches equals the
+   batch result;
+4. monthly tables and the forecast, recomputed from the deltas and open items.
+
+Every step writes ``batch_id=N`` folders of its own and reads only folders up to
+N, so a replayed batch leaves the same state.  The tables of step 4 are whole
+versions: readers take the highest one that was committed, and see either the
+old or the new table, never a partial one.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.config import Params
+from ledgerlens.operators.dense_index import dense_index
+from ledgerlens.plans import cash, dims, items, kpi
 from ledgerlens.plans import flows as flow_plan
-from ledgerlens.plans import items, kpi
 from ledgerlens.sources.journal import JOURNAL_SCHEMA
 
+# Files of one micro-batch; bounds its size by the file size of the journal.
+FILES_PER_TRIGGER = 256
+SEED = -1  # batch id of the partner tables that a stream starts with
 
-def stage_journal_files(journal: DataFrame, folder: str, files: int = 6) -> int:
-    """Lay the journal down as parquet files in posting-date order, as a
-    source system would deliver them over time; returns the file count.
 
-    At least ``files`` files, and one per input split of the journal scan,
-    so the count (and the write's task count) grows with the journal.  The
-    document number breaks ties in the range bounds, so one busy day can
-    span several files instead of landing in one task."""
-    n = max(files, journal.rdd.getNumPartitions())
-    (journal.repartitionByRange(n, "posting_date", "accounting_document")
-            .sortWithinPartitions("posting_date", "accounting_document")
-            .write.mode("overwrite").parquet(folder))
-    return n
-
-
-def journal_stream(spark: SparkSession, folder: str, files_per_trigger: int = 2) -> DataFrame:
+def journal_stream(spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     return (spark.readStream.schema(JOURNAL_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
                  .parquet(folder))
 
 
-def item_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, kind: str,
-                dim_partner: DataFrame, dim_company: DataFrame, available_now: bool = True,
-                files_per_trigger: int = 2):
-    j = journal_stream(spark, source, files_per_trigger)
-    core = (items.ar_core(j, dim_partner, dim_company) if kind == "ar"
-            else items.ap_core(j, dim_partner, dim_company))
-    w = (core.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-             .outputMode("append"))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 day")
-    return w.start(sink)
-
-
-def read_items(spark: SparkSession, sink: str, kind: str, as_of) -> DataFrame:
-    core = spark.read.parquet(sink)
-    return items.ar_status(core, as_of) if kind == "ar" else items.ap_status(core, as_of)
-
-
-def flow_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, dim_customer: DataFrame,
-                dim_supplier: DataFrame, dim_company: DataFrame, history_start, available_now: bool = True,
-                kpi_sink: str | None = None, kpi_start=None, files_per_trigger: int = 2):
-    """Per micro-batch: append the batch's deltas; then (downstream refresh)
-    recompute the KPI table from all deltas so far and overwrite ``kpi_sink``.
-    Both steps are idempotent, so a replayed batch leaves the same state."""
-    j = journal_stream(spark, source, files_per_trigger)
-
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
-        # a micro-batch is bounded by maxFilesPerTrigger: plain partner joins
-        ar = items.ar_core(batch, dim_customer, dim_company, split_hot=False)
-        ap = items.ap_core(batch, dim_supplier, dim_company, split_hot=False)
-        deltas = flow_plan.monthly_deltas(ar, ap, history_start)
-        # deltas are companies x months rows per batch: one file is enough
-        deltas.coalesce(1).write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
-        if kpi_sink is not None:
-            kpi_refresh(read_flows(spark, sink), dim_company, kpi_start) \
-                .write.mode("overwrite").parquet(kpi_sink)
-
-    w = j.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 day")
-    return w.start()
-
-
-def read_flows(spark: SparkSession, sink: str) -> DataFrame:
-    """Sum the per-batch deltas, then running balances on the spine."""
-    d = spark.read.parquet(sink).drop("batch_id")
-    sums = [c for c in d.columns if c not in ("company_code", "month_end", "spine")]
-    total = (d.groupBy("company_code", "month_end")
-              .agg(*[F.sum(c).cast("decimal(18,2)").alias(c) for c in sums], F.max("spine").alias("spine")))
-    return flow_plan.flows_from_deltas(total)
-
-
-def kpi_refresh(flows: DataFrame, dim_company: DataFrame, kpi_start) -> DataFrame:
-    inv = kpi.inventory_monthly(flows, dim_company)
-    return kpi.wc_monthly_kpi(flows, inv, dim_company, kpi_start)
+class Refresh:
+    """The tables of one stream under ``root`` and what a micro-batch does."""
+
+    def __init__(self, spark: SparkSession, root: str, params: Params, dim_company: DataFrame):
+        self.spark, self.root, self.params, self.dim_company = spark, root, params, dim_company
+
+    # ---- storage ---------------------------------------------------------
+    def _path(self, name: str, batch_id: int | None = None) -> str:
+        path = os.path.join(self.root, name)
+        return path if batch_id is None else os.path.join(path, f"batch_id={batch_id}")
+
+    def _put(self, df: DataFrame, name: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(self._path(name, batch_id))
+
+    def _upto(self, name: str, batch_id: int | None = None) -> DataFrame:
+        """All rows of the batches up to ``batch_id``."""
+        df = self.spark.read.parquet(self._path(name))
+        return (df if batch_id is None else df.filter(F.col("batch_id") <= batch_id)).drop("batch_id")
+
+    def _last(self, name: str) -> DataFrame:
+        """The highest version; a folder appears when its write is committed."""
+        df = self.spark.read.parquet(self._path(name))
+        return df.filter(F.col("batch_id") == df.select(F.max("batch_id")).scalar()).drop("batch_id")
+
+    # ---- one micro-batch -------------------------------------------------
+    def seed(self, dim_customer: DataFrame, dim_supplier: DataFrame) -> None:
+        """The partners to start with, if a full build has numbered them."""
+        self._put(dim_customer, "dim_customer", SEED)
+        self._put(dim_supplier, "dim_supplier", SEED)
+
+    def _partners(self, batch: DataFrame, batch_id: int, kind: str,
+                  rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The partner table after this batch."""
+        name, key = f"dim_{kind}", f"{kind}_id"
+        ids = dims.partner_ids(batch, kind)
+        known = self._upto(name, batch_id - 1)
+        fresh = ids.join(known.select(F.col(key).alias("partner_id")), "partner_id", "left_anti")
+        numbered = dense_index(fresh, "partner_id", "rn").withColumn("rn", F.col("rn") + known.count())
+        self._put(rows(numbered), name, batch_id)
+        return self._upto(name, batch_id)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        p = self.params
+        customers = self._partners(batch, batch_id, "customer", dims.customer_rows)
+        suppliers = self._partners(batch, batch_id, "supplier", dims.supplier_rows)
+        self._put(items.ar_core(batch, customers, self.dim_company, split_hot=True), "ar", batch_id)
+        self._put(items.ap_core(batch, suppliers, self.dim_company, split_hot=True), "ap", batch_id)
+        ar, ap = (self.spark.read.parquet(self._path(t, batch_id)) for t in ("ar", "ap"))
+        self._put(flow_plan.monthly_deltas(ar, ap, p.history_start), "deltas", batch_id)
+
+        flows = self.flows(batch_id)
+        inventory = kpi.inventory_monthly(flows, self.dim_company)
+        self._put(inventory, "inventory", batch_id)
+        self._put(kpi.wc_monthly_kpi(flows, inventory, self.dim_company, p.kpi_start), "kpi", batch_id)
+        self._put(cash.cash_forecast(self.spark, p, self.items("ar", batch_id), self.items("ap", batch_id), flows,
+                                     self.dim_company), "forecast", batch_id)
+
+    # ---- the read side ---------------------------------------------------
+    def items(self, kind: str, batch_id: int | None = None) -> DataFrame:
+        core = self._upto(kind, batch_id)
+        return (items.ar_status if kind == "ar" else items.ap_status)(core, self.params.as_of)
+
+    def flows(self, batch_id: int | None = None) -> DataFrame:
+        """Sum of the deltas, then running balances on the spine's months."""
+        d = self._upto("deltas", batch_id)
+        sums = [c for c in d.columns if c not in ("company_code", "month_end", "spine")]
+        total = (d.groupBy("company_code", "month_end")
+                  .agg(*[F.sum(c).cast("decimal(18,2)").alias(c) for c in sums], F.max("spine").alias("spine")))
+        return flow_plan.flows_from_deltas(total, self.params.as_of)
+
+    def table(self, name: str) -> DataFrame:
+        """``inventory``, ``kpi`` or ``forecast`` as of the last micro-batch."""
+        return self._last(name)
+
+
+def start(refresh: Refresh, source: str, checkpoint: str, available_now: bool = True,
+          files_per_trigger: int = FILES_PER_TRIGGER):
+    """Start the streaming query over the journal files in ``source``."""
+    w = (journal_stream(refresh.spark, source, files_per_trigger).writeStream.foreachBatch(refresh)
+         .option("checkpointLocation", checkpoint))
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 day")).start()

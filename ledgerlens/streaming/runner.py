@@ -1,8 +1,8 @@
 """Run the streaming refresh over a warehouse's journal and read the results.
 
-Used by the registered ``stream_*`` queries and the tests: the journal is
-staged as files, both streams run to completion with ``availableNow``,
-and the read side returns the same tables the batch pipeline builds.
+Used by the registered ``stream_*`` queries and the tests: the journal's own
+files are streamed to completion with ``availableNow``, and the read side
+returns the same tables the batch pipeline builds.
 """
 
 from __future__ import annotations
@@ -19,51 +19,49 @@ _LOCK = threading.RLock()
 
 
 class StreamRun:
-    def __init__(self, wh, files: int = 4, batches: int = 2):
+    def __init__(self, wh, files_per_trigger: int = refresh.FILES_PER_TRIGGER, seed: bool = True):
+        """``seed``: start from the warehouse's partner tables, so that the
+        partners have the numbers (and names) of the batch build."""
         self.wh = wh
+        self.files_per_trigger = files_per_trigger
+        self.seed = seed
         self.root = os.path.join(wh.root, "stream-" + uuid.uuid4().hex[:8])
-        self.files = files
-        self.batches = batches
+        self.refresh = refresh.Refresh(wh.spark, self.root, wh.params, wh.dim_company)
         self._done = False
 
-    def _p(self, *parts: str) -> str:
-        return os.path.join(self.root, *parts)
-
     def run(self) -> "StreamRun":
         with _LOCK:
-            if self._done:
-                return self
-            wh, spark = self.wh, self.wh.spark
-            src = self._p("source")
-            n = refresh.stage_journal_files(wh.journal, src, self.files)
-            per = -(-n // self.batches)  # the files arrive in ``batches`` micro-batches
-            qs = [
-                refresh.item_stream(spark, src, self._p("ar"), self._p("ckpt", "ar"), "ar",
-                                    wh.dim_customer, wh.dim_company, files_per_trigger=per),
-                refresh.item_stream(spark, src, self._p("ap"), self._p("ckpt", "ap"), "ap",
-                                    wh.dim_supplier, wh.dim_company, files_per_trigger=per),
-                refresh.flow_stream(spark, src, self._p("deltas"), self._p("ckpt", "flows"),
-                                    wh.dim_customer, wh.dim_supplier, wh.dim_company, wh.params.history_start,
-                                    kpi_sink=self._p("kpi"), kpi_start=wh.params.kpi_start,
-                                    files_per_trigger=per),
-            ]
-            for q in qs:
-                q.awaitTermination()
-            self._done = True
+            if not self._done:
+                wh = self.wh
+                wh.journal  # written, or in place already
+                source = wh.journal_path or wh.path("journal")
+                none = wh.spark.createDataFrame
+                if self.seed:
+                    self.refresh.seed(wh.dim_customer, wh.dim_supplier)
+                else:
+                    self.refresh.seed(none([], wh.dim_customer.schema), none([], wh.dim_supplier.schema))
+                refresh.start(self.refresh, source, os.path.join(self.root, "checkpoint"),
+                              files_per_trigger=self.files_per_trigger).awaitTermination()
+                self._done = True
             return self
 
     def ar_items(self) -> DataFrame:
-        return refresh.read_items(self.wh.spark, self._p("ar"), "ar", self.wh.params.as_of)
+        return self.refresh.items("ar")
 
     def ap_items(self) -> DataFrame:
-        return refresh.read_items(self.wh.spark, self._p("ap"), "ap", self.wh.params.as_of)
+        return self.refresh.items("ap")
 
     def monthly_flows(self) -> DataFrame:
-        return refresh.read_flows(self.wh.spark, self._p("deltas"))
+        return self.refresh.flows()
 
     def wc_monthly_kpi(self) -> DataFrame:
-        """The KPI table as refreshed by the last micro-batch."""
-        return self.wh.spark.read.parquet(self._p("kpi"))
+        return self.refresh.table("kpi")
+
+    def inventory_monthly(self) -> DataFrame:
+        return self.refresh.table("inventory")
+
+    def cash_forecast(self) -> DataFrame:
+        return self.refresh.table("forecast")
 
 
 _RUNS: dict[int, StreamRun] = {}
@@ -71,8 +69,6 @@ _RUNS: dict[int, StreamRun] = {}
 
 def stream_run(wh) -> StreamRun:
     with _LOCK:
-        r = _RUNS.get(id(wh))
-        if r is None:
-            r = StreamRun(wh)
-            _RUNS[id(wh)] = r
-        return r.run()
+        if id(wh) not in _RUNS:
+            _RUNS[id(wh)] = StreamRun(wh)
+        return _RUNS[id(wh)].run()
