@@ -45,14 +45,12 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, *payload: str, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its measured size is within ``limit``:
-    rows x 64 bytes of overhead plus the bytes of the string columns named in
-    ``payload``.  Otherwise ``df`` as it is, for a shuffle join."""
-    size = F.lit(64) * F.count(F.lit(1))
-    for c in payload:
-        size = size + F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0))
-    n = df.agg(size.alias("n")).first()["n"] or 0
+    64 bytes a row and the length of the row as text.  Otherwise ``df`` as it
+    is, for a shuffle join."""
+    row = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n = df.agg(F.sum(64 + F.coalesce(row, F.lit(0))).alias("n")).first()["n"] or 0
     return F.broadcast(df) if n <= limit else df
 
 

@@ -6,9 +6,11 @@ words (a shorter phrase is one window).  A window is found by its rarest words:
 1. ``term_counts``: how often each benchmark word occurs in all documents.  The
    words of a document are joined map-side to the benchmark's vocabulary, so
    the shuffle holds one partial count per word and task.
-2. ``anchors``: each window keeps the places of its ``ANCHORS`` rarest words.
-3. ``index``: the postings (document, word, position) of the anchor words only,
-   written to the shared folder.
+2. ``anchors``: each window keeps the places of its ``ANCHORS`` rarest pairs
+   of neighbours; a pair is as rare as its rarer word.
+3. ``index``: the postings (document, pair, position) of the anchor pairs only,
+   written to the shared folder.  Keying a posting by the word and the next one
+   intersects the two lists of a pair where the text is read.
 4. ``candidates``: the postings of a phrase's anchors, moved back by their
    place in the phrase, meet in (document, phrase, offset); a window whose
    anchors are all there is a candidate.  A frequent word never gathers its
@@ -16,7 +18,8 @@ words (a shorter phrase is one window).  A window is found by its rarest words:
 5. ``phrase_matches``: candidates are compared word by word with the text of
    the few documents that have any.
 
-All of it is DataFrame functions.  Frames that follow the benchmark's size are
+Words are looked up by their 64-bit hash, and compared as text in the end.  All
+of it is DataFrame functions.  Frames that follow the benchmark's size are
 broadcast only after their size was measured, and joined by shuffle beyond it.
 
 Documents are told apart by id and hash of the text.  Defined results: a null
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import doc_key, key_id, lower_ascii, materialize, maybe_broadcast, table
 
 WINDOW = 10
-ANCHORS = 3
+ANCHORS = 2
 # A word is a run of characters other than these (A-Z are lower
 # case by then).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,53 +64,83 @@ def phrases(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
 
 
 def places(ph: DataFrame) -> DataFrame:
-    """``(pid, place, term)`` of every word of every phrase."""
-    return ph.select("pid", "words").distinct().select("pid", F.posexplode("words").alias("place", "term"))
+    """``(pid, place, term)`` of every word of every phrase; a term is the
+    word's 64-bit hash."""
+    return (ph.select("pid", "words").distinct().select("pid", F.posexplode("words").alias("place", "word"))
+            .select("pid", "place", F.xxhash64("word").alias("term")))
 
 
-def tokens(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(doc, pos, term)`` of the documents' words that are in
-    ``vocabulary``; no shuffle of the tokens where that is broadcast."""
-    every = docs.select("doc", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return every.join(vocabulary, "term")
+def tokens(docs: DataFrame) -> DataFrame:
+    """``(doc, pos, term, pair)`` of every word: its hash, and that of the word
+    with the one after it."""
+    split = docs.select("doc", words(F.col("text")).alias("w"))
+    every = split.select("doc", F.posexplode("w").alias("pos", "word"), "w")
+    after = F.xxhash64(F.get("w", F.col("pos") + 1))
+    return every.select("doc", "pos", F.xxhash64("word").alias("term"), F.xxhash64(F.xxhash64("word"), after)
+                        .alias("pair"))
 
 
-def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(term, n)``: occurrences in all documents."""
-    return tokens(docs, vocabulary).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(term, n)``: occurrences of the terms in all documents."""
+    known = maybe_broadcast(terms.select("term").distinct())
+    return tokens(docs).join(known, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def anchors(terms: DataFrame, counts: DataFrame, window: int = WINDOW, k: int = ANCHORS) -> DataFrame:
     """``(pid, start, length, places)``: each window and the places of its
-    ``k`` rarest words.  A window with a word that no document has is left
-    out."""
+    ``k`` rarest pairs (of the first word of each).  A window with a word that
+    no document has is left out."""
     size = terms.groupBy("pid").agg(F.count(F.lit(1)).cast("int").alias("size"))
     length = F.least(F.lit(window), F.col("size"))
     windows = (size.select("pid", length.alias("length"), F.explode(F.sequence(F.lit(0), F.col("size") - length))
                            .alias("start"))
                .select("pid", "length", "start",
                        F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("place")))
-    known = windows.join(terms.join(counts, "term"), ["pid", "place"])
-    order = W.partitionBy("pid", "start").orderBy("n", "place")
+    here = terms.join(counts, "term").select("pid", "place", "n")
+    after = here.select("pid", (F.col("place") - 1).alias("place"), F.col("n").alias("n_next"))
+    known = windows.join(here, ["pid", "place"]).join(after, ["pid", "place"], "left")
+    last = F.col("place") == F.col("start") + F.col("length") - 1
     every = W.partitionBy("pid", "start")
-    rare = (known.withColumn("rank", F.row_number().over(order)).withColumn("found", F.count(F.lit(1)).over(every))
-            .filter((F.col("found") == F.col("length")) & (F.col("rank") <= k)))
+    # the last word begins no pair, but stands for a window of one word
+    pairs = (known.withColumn("found", F.count(F.lit(1)).over(every)).filter("found = length")
+             .filter(~last | (F.col("length") == 1)).withColumn("rarity", F.least("n", "n_next")))
+    rare = (pairs.withColumn("rank", F.row_number().over(every.orderBy("rarity", "place")))
+            .filter(F.col("rank") <= k))
     return rare.groupBy("pid", "start", "length").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
-def index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The stored postings ``(doc, term, pos)`` of the words in
-    ``vocabulary``."""
-    return materialize(tokens(docs, vocabulary).select("doc", "term", "pos"), "postings")
+def anchor_keys(windows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(pid, place, single, key)`` of the anchors: ``key`` is the pair's
+    hash, or the term for a window of one word (``single``)."""
+    second = terms.select("pid", (F.col("place") - 1).alias("place"), F.col("term").alias("next"))
+    key = F.when(F.col("single"), F.col("term")).otherwise(F.xxhash64("term", "next"))
+    return (windows.select("pid", (F.col("length") == 1).alias("single"), F.explode("places").alias("place"))
+            .distinct().join(terms, ["pid", "place"]).join(second, ["pid", "place"], "left")
+            .select("pid", "place", "single", key.alias("key")))
 
 
-def candidates(postings: DataFrame, terms: DataFrame, windows: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``(doc, key, pos)`` of the words whose ``column`` (``term`` or ``pair``)
+    is one of ``keys``."""
+    known = maybe_broadcast(keys.select("key").distinct())
+    return tokens(docs).select("doc", F.col(column).alias("key"), "pos").join(known, "key").select("doc", "key", "pos")
+
+
+def index(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The stored postings of the anchors.  Windows of one word, if there are
+    any, take a pass over the texts of their own."""
+    found = postings(docs, keys.filter(~F.col("single")), "pair")
+    single = keys.filter("single")
+    if not single.isEmpty():
+        found = found.unionByName(postings(docs, single, "term"))
+    return materialize(found, "postings")
+
+
+def candidates(stored: DataFrame, keys: DataFrame, windows: DataFrame) -> DataFrame:
     """``(doc, pid, offset, windows)``: windows all of whose anchors have a
     posting at the same offset (document position less place in the phrase)."""
-    wanted = windows.select("pid", F.explode("places").alias("place")).distinct().join(terms, ["pid", "place"])
-    wanted = maybe_broadcast(wanted, "term")
-    aligned = (postings.join(wanted, "term").select("doc", "pid", (F.col("pos") - F.col("place")).alias("offset"),
-                                                    "place")
+    aligned = (stored.join(maybe_broadcast(keys.drop("single")), "key")
+               .select("doc", "pid", (F.col("pos") - F.col("place")).alias("offset"), "place")
                .groupBy("doc", "pid", "offset").agg(F.collect_set("place").alias("met")))
     by_phrase = windows.groupBy("pid").agg(F.collect_list(F.struct("start", "length", "places")).alias("all"))
     whole = F.filter("all", lambda w: (F.size(F.array_except(w["places"], F.col("met"))) == 0)
@@ -117,10 +150,6 @@ def candidates(postings: DataFrame, terms: DataFrame, windows: DataFrame) -> Dat
                     .alias("windows")).filter(F.size("windows") > 0))
 
 
-def _vocabulary(terms: DataFrame) -> DataFrame:
-    return maybe_broadcast(terms.select("term").distinct(), "term")
-
-
 def _with_words(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``(doc, text_words)`` of the documents in ``keys``, once each."""
     few = docs.join(maybe_broadcast(keys), "doc", "left_semi")
@@ -131,10 +160,10 @@ def phrase_matches(docs: DataFrame, ph: DataFrame, window: int = WINDOW, k: int
     """``(doc, pid, pos, length)``: every place in ``docs`` (from ``keyed``)
     where a window of a phrase occurs word by word."""
     terms = materialize(places(ph), "terms")
-    counts = materialize(term_counts(docs, _vocabulary(terms)), "counts")
+    counts = materialize(term_counts(docs, terms), "counts")
     windows = materialize(anchors(terms, counts, window, k), "windows")
-    rare = windows.select("pid", F.explode("places").alias("place")).distinct().join(terms, ["pid", "place"])
-    found = materialize(candidates(index(docs, _vocabulary(rare)), terms, windows), "candidates")
+    keys = materialize(anchor_keys(windows, terms), "anchors")
+    found = materialize(candidates(index(docs, keys), keys, windows), "candidates")
     texts = _with_words(docs, found.select("doc").distinct())
     same = F.filter("windows", lambda w: F.slice("text_words", F.col("offset") + w["start"] + 1, w["length"])
                     == F.slice("words", w["start"] + 1, w["length"]))
@@ -148,20 +177,21 @@ def proximity_matches(docs: DataFrame, ph: DataFrame, within: int = WINDOW) -> D
     """``(doc, pid, pos)``: each occurrence of a phrase's rarest word that has
     every other word of the phrase, in any order, within ``within`` words."""
     terms = materialize(places(ph).select("pid", "term").distinct(), "terms")
-    counts = materialize(term_counts(docs, _vocabulary(terms)), "counts")
+    counts = materialize(term_counts(docs, terms), "counts")
     need = terms.groupBy("pid").agg(F.count(F.lit(1)).alias("need"))
     rarest = (terms.join(counts, "term").groupBy("pid")
               .agg(F.min(F.struct("n", "term")).alias("r"), F.count(F.lit(1)).alias("known"))
-              .join(need, "pid").filter("known = need").select("pid", "need", F.col("r.term").alias("term")))
-    postings = index(docs, _vocabulary(terms.join(rarest.select("pid"), "pid")))
-    here = postings.join(maybe_broadcast(rarest, "term"), "term").select("doc", "pid", "need", "pos").distinct()
+              .join(need, "pid").filter("known = need").select("pid", "need", F.col("r.term").alias("key")))
+    whole = terms.join(rarest.select("pid"), "pid").withColumnRenamed("term", "key")
+    stored = materialize(postings(docs, whole, "term"), "postings")
+    here = stored.join(maybe_broadcast(rarest), "key").select("doc", "pid", "need", "pos").distinct()
     # positions in buckets of ``within`` words: a neighbour is in the same or the next one
     bucket = F.floor(F.col("pos") / within)
     around = here.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    others = (postings.join(maybe_broadcast(terms, "term"), "term")
-              .select("doc", "pid", "term", F.col("pos").alias("at"), F.floor(F.col("pos") / within).alias("bucket")))
+    others = (stored.join(maybe_broadcast(whole), "key")
+              .select("doc", "pid", "key", F.col("pos").alias("at"), F.floor(F.col("pos") / within).alias("bucket")))
     near = around.join(others, ["doc", "pid", "bucket"]).filter(F.abs(F.col("at") - F.col("pos")) <= within)
-    return (near.groupBy("doc", "pid", "need", "pos").agg(F.countDistinct("term").alias("have"))
+    return (near.groupBy("doc", "pid", "need", "pos").agg(F.countDistinct("key").alias("have"))
             .filter("have = need").select("doc", "pid", "pos"))
 
 
@@ -175,7 +205,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                              .rowsBetween(W.unboundedPreceding, -1))
     spans = matches.select("doc", "pos", "length").distinct().withColumn("covered", F.coalesce(so_far, F.lit(0)))
     hit = spans.groupBy("doc").agg(F.sum(F.greatest(end - F.greatest("pos", "covered"), F.lit(0))).alias("n_hit"))
-    named = matches.select("doc", "pid").distinct().join(maybe_broadcast(ph.select("pid", "item"), "item"), "pid")
+    named = matches.select("doc", "pid").distinct().join(maybe_broadcast(ph.select("pid", "item")), "pid")
     items = named.groupBy("doc").agg(F.array_sort(F.collect_set("item")).alias("items"))
     return hit.join(items, "doc").select("doc", "n_hit", F.size("items").alias("n_items"), "items")
 

@@ -107,7 +107,7 @@ def scan(df: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with ``digest`` and ``license`` (null if unknown) of each entire
     text; nothing but the known digests moves."""
     marked = df.withColumn("digest", digest(F.col(text_col)))
-    found = maybe_broadcast(known_digests(known), "licence")
+    found = maybe_broadcast(known_digests(known))
     return (marked.join(found, marked["digest"] == found["known_digest"], "left").drop("known_digest")
             .withColumnRenamed("licence", "license"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import features
-from ledgerlens.llm.common import doc_key, maybe_broadcast, table
+from ledgerlens.llm.common import doc_key, materialize, maybe_broadcast, table
 
 MAX_TRAINING_ROWS = 20_000
 THRESHOLD = 0.7
@@ -101,8 +101,8 @@ def score(docs: DataFrame, model: features.Sparse, id_col: str = "doc_id", text_
 def filter_toxic(docs: DataFrame, model: features.Sparse, threshold: float = THRESHOLD) -> DataFrame:
     """``docs``, all columns, without the rows that score ``threshold`` or
     more.  Only the rejected keys (id and hash of the text) are shuffled."""
-    rejected = (score(docs, model).filter(F.col("score") >= threshold)
-                .select(doc_key(F.col("doc_id"), F.col("tie")).alias("rejected")).distinct())
+    rejected = materialize(score(docs, model).filter(F.col("score") >= threshold)
+                           .select(doc_key(F.col("doc_id"), F.col("tie")).alias("rejected")).distinct(), "rejected")
     marked = docs.withColumn("__document_key", doc_key(F.col("doc_id"), F.xxhash64(F.col("text"))))
     bad = maybe_broadcast(rejected)
     return marked.join(bad, marked["__document_key"] == bad["rejected"], "left_anti").drop("__document_key")
