@@ -3,8 +3,8 @@
 An empty company list means all companies; a month that is not
 'YYYY-MM' falls back to the default; a reversed range is swapped.
 The result is a plain Column predicate, so Catalyst pushes it into the
-parquet scan of the curated tables (they are written partitioned by
-company and month).
+parquet scan of the curated tables (the item tables are written
+partitioned by invoice month).
 """
 
 from __future__ import annotations

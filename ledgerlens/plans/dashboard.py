@@ -278,6 +278,11 @@ def ap_dpo_trend(wh, flt: Filter) -> DataFrame:
     return k.groupBy("month").agg(_dpo(), F.sum("ap_balance_usd").alias("ap")).transform(sorted_small("month"))
 
 
+def ap_dpo_latest(wh, flt: Filter) -> DataFrame:
+    """The card value: DPO of the last month in the trend."""
+    return ap_dpo_trend(wh, flt).agg(F.max_by("dpo", "month").alias("dpo"))
+
+
 def ap_discounts(wh, flt: Filter) -> DataFrame:
     ap = wh.ap_items.filter(flt.where("invoice_month"))
     return (ap.groupBy(F.col("invoice_month").alias("month"))

@@ -35,6 +35,8 @@ TABLE_SYNONYMS = {
 }
 
 
+# ---- fixed values (must equal the model being reproduced): metrics,
+# dimensions and facts below ------------------------------------------------
 def _exact_avg(col: str) -> str:
     # Mean of one-decimal day ratios: exact decimal sum, one division.
     return f"CAST(SUM(CAST({col} AS DECIMAL(18,1))) AS DOUBLE) / COUNT({col})"
@@ -145,31 +147,78 @@ FACTS: dict[str, tuple[str, str]] = {
 }
 
 
-def _strip(name: str) -> str:
+def resolve_table(name: str) -> str:
+    """Logical table by name or synonym."""
     n = name.strip().lower()
-    return n.split(".", 1)[1] if "." in n else n
+    if n in TABLES:
+        return n
+    for table, synonyms in TABLE_SYNONYMS.items():
+        if n in synonyms:
+            return table
+    raise KeyError(f"unknown table {name!r}")
+
+
+def _split(name: str) -> tuple[str | None, str]:
+    """``TABLE.NAME`` or ``NAME``: the table it names, if any, and the name."""
+    prefix, dot, rest = name.strip().lower().rpartition(".")
+    return (resolve_table(prefix) if dot else None), rest
 
 
 def resolve_dimension(name: str, table: str | None = None) -> tuple[str, Dim]:
-    """Dimension by logical name or synonym (optionally 'TABLE.NAME'); a
+    """Dimension by logical name or synonym, optionally as ``TABLE.NAME``; a
     synonym shared by several tables is resolved within ``table``."""
-    n = _strip(name)
+    prefix, n = _split(name)
     if n in DIMENSIONS:
-        return n, DIMENSIONS[n]
-    hits = [(k, d) for k, d in DIMENSIONS.items() if n in d.synonyms or n == d.column]
-    if table is not None:
+        hits = [(n, DIMENSIONS[n])]
+    else:
+        hits = [(k, d) for k, d in DIMENSIONS.items() if n in d.synonyms or n == d.column]
+    if prefix is not None:
+        # a shared column of another table is not what the prefix asks for
+        hits = [h for h in hits if h[1].table == prefix] or [
+            (k, d) for k, d in DIMENSIONS.items() if d.table == prefix and (n in d.synonyms or n == d.column)]
+        if not hits:
+            raise ValueError(f"{name!r}: no such dimension in {prefix!r}")
+    elif table is not None:
         hits = [h for h in hits if h[1].table == table] or hits
     if not hits:
         raise KeyError(f"unknown dimension {name!r}")
     return hits[0]
 
 
+def resolve_metric(name: str) -> str:
+    """Metric by name, optionally as ``TABLE.NAME``."""
+    prefix, m = _split(name)
+    if m not in METRICS:
+        raise KeyError(f"unknown metric {name!r}")
+    if prefix is not None and METRICS[m][0] != prefix:
+        raise ValueError(f"metric {m!r} belongs to {METRICS[m][0]!r}, not to {prefix!r}")
+    return m
+
+
+def _logical(df: DataFrame, table: str) -> DataFrame:
+    """``df`` under its logical table's name, with a column for each logical
+    dimension, synonym and fact name that is not a column already.  A ``where``
+    is resolved by Spark against these, never by replacing text; what it does
+    not use is pruned."""
+    names: dict[str, str] = {}
+    for name, d in DIMENSIONS.items():
+        if d.table == table:
+            for n in (name, *d.synonyms):
+                names.setdefault(n, d.column)
+    for name, (t, column) in FACTS.items():
+        if t == table:
+            names.setdefault(name, column)
+    have = {c.lower() for c in df.columns}
+    more = [F.col(c).alias(n) for n, c in names.items() if n not in have]
+    return df.select("*", *more).alias(table)
+
+
 def metric_query(wh, metrics: list[str], dimensions: list[str] | None = None, where: str | None = None) -> DataFrame:
-    """METRICS m1, m2 DIMENSIONS d1, d2 [WHERE sql] as one aggregation."""
-    ms = [_strip(m) for m in metrics]
-    for m in ms:
-        if m not in METRICS:
-            raise KeyError(f"unknown metric {m!r}")
+    """METRICS m1, m2 DIMENSIONS d1, d2 [WHERE sql] as one aggregation.
+
+    ``where`` may use columns, logical dimensions, synonyms (in backticks if
+    they have spaces) and facts of the table, with or without its name."""
+    ms = [resolve_metric(m) for m in metrics]
     tables = {METRICS[m][0] for m in ms}
     if len(tables) != 1:
         raise ValueError(f"metrics span several logical tables: {sorted(tables)}")
@@ -180,11 +229,8 @@ def metric_query(wh, metrics: list[str], dimensions: list[str] | None = None, wh
             raise ValueError(f"dimension {name!r} belongs to {d.table!r}, metrics to {table!r}")
     df = getattr(wh, TABLES[table])
     if where:
-        expr = where
-        for alias, (t, col) in FACTS.items():
-            if t == table:
-                expr = _replace_word(expr, alias, col)
-        df = df.filter(F.expr(expr))
+        columns = df.columns
+        df = _logical(df, table).filter(F.expr(where)).select(*columns)
     aggs = [F.expr(METRICS[m][1]).alias(m) for m in ms]
     keys = [F.col(d.column).alias(name) for name, d in dims]
     out = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
@@ -197,7 +243,3 @@ def metric_query(wh, metrics: list[str], dimensions: list[str] | None = None, wh
     # distributed range sort instead of one task.
     return out.orderBy(*names)
 
-
-def _replace_word(expr: str, word: str, repl: str) -> str:
-    import re
-    return re.sub(rf"\b{re.escape(word)}\b", repl, expr, flags=re.IGNORECASE)

@@ -74,8 +74,8 @@ def _stream(name: str):
     return run
 
 
-def _sem(metric: str, dims: list[str]):
-    return lambda spark, sf: to_output(metric_query(_wh(spark, sf), [metric], dims))
+def _sem(metric: str, dims: list[str], where: str | None = None):
+    return lambda spark, sf: to_output(metric_query(_wh(spark, sf), [metric], dims, where))
 
 
 SEM_DEFAULT_DIM = {"ar": "ar_company", "ap": "ap_company", "wc_kpi": "kpi_company", "inventory": "inv_company",
@@ -147,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ap_kpis": _dash(D.ap_kpis),
         "ap_paid": _dash(D.ap_paid),
         "ap_dpo_trend": _dash(D.ap_dpo_trend),
+        "ap_dpo_latest": _dash(D.ap_dpo_latest),
         "ap_discounts": _dash(D.ap_discounts),
         "ap_aging": _dash(D.ap_aging),
         "ap_top_suppliers": _dash(D.ap_top_suppliers),
@@ -216,6 +217,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for m, (table, _) in METRICS.items():
         q[f"sem_{m}"] = _sem(m, [SEM_DEFAULT_DIM[table]])
     q["sem_disputed_ar_by_credit_risk"] = _sem("disputed_ar", ["AR.CREDIT_RISK"])
+    q["sem_where_dimension"] = _sem("open_ar", ["ar_company"], "customer_segment = 'Enterprise' AND ar.credit_risk <> 'Low'")
+    q["sem_where_synonym"] = _sem("payables.total_ap", ["program"], "`spend category` = 'Utilities'")
+    q["sem_where_fact"] = _sem("total_revenue", ["kpi_company"], "dso_days > 40 AND region <> 'revenue'")
     q["sem_ap_by_program"] = lambda spark, sf: to_output(metric_query(
         _wh(spark, sf), ["total_ap", "open_ap", "total_discount_captured", "total_scf_funded"], ["program"]))
     return q

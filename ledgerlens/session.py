@@ -64,11 +64,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this setting names a shared file system path and is left
     alone.  Only when it is unset (local tests) a scratch folder is created.
     """
+    sc = spark.sparkContext
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
-        cur = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", cur)
-    sc = spark.sparkContext
+        cur = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(cur)
     return cur

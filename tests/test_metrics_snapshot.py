@@ -25,6 +25,25 @@ def test_metric_where_uses_facts(wh):
     assert a == b
 
 
+def test_metric_where_uses_dimensions_synonyms_and_prefixes(wh):
+    plain = wh.ar_items.filter("segment = 'Enterprise' and is_disputed").agg(F.sum("amount_usd")).first()[0]
+    for where in ("customer_segment = 'Enterprise' and dispute", "AR.customer_segment = 'Enterprise' and is_disputed",
+                  "segment = 'Enterprise' and disputed"):
+        assert metric_query(wh, ["receivables.total_ar"], where=where).first()[0] == plain
+    # quoted text is never rewritten
+    assert metric_query(wh, ["total_revenue"], where="region = 'revenue'").first()[0] is None
+
+
+def test_metric_prefixes_are_checked(wh):
+    with pytest.raises(ValueError):
+        metric_query(wh, ["AP.OPEN_AR"])
+    with pytest.raises(ValueError):
+        metric_query(wh, ["open_ar"], ["AP.CREDIT_RISK"])
+    with pytest.raises(KeyError):
+        metric_query(wh, ["nowhere.open_ar"])
+    assert resolve_dimension("payables.program")[0] == "early_pay_program"
+
+
 def test_metric_multi_dimension_sorted_and_complete(wh):
     # Several dimensions (one of them daily) take the distributed sort; the
     # rows are the plain grouped aggregate, in dimension order.
