@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ import pyarrow.compute as pc
 
 BITS = 21
 TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
-REMEMBERED = 300_000
-SLICE_BYTES = 4 << 20
+REMEMBERED = 100_000
+SLICE_BYTES = 1 << 20
 # Odd multipliers that set the three kinds of feature apart.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -42,7 +43,7 @@ def hashed(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.nd
     get = _HASHES.__getitem__
     lists = [list(map(get, TOKENS((t or "").lower()))) for t in texts]
     counts = np.array([len(x) for x in lists], dtype=np.int64)
-    h = np.fromiter((x for xs in lists for x in xs), dtype=np.uint64, count=int(counts.sum()))
+    h = np.fromiter(chain.from_iterable(lists), dtype=np.uint64, count=int(counts.sum()))
     of = np.repeat(np.arange(len(texts)), counts)
     shift = np.uint64(64 - bits)
     places, owners = [(h + np.uint64(1)) * MIX[0] >> shift], [of]
@@ -124,11 +125,22 @@ def row_places(texts: list[str | None], bits: int = BITS) -> list[np.ndarray]:
     of, places, _ = hashed(texts, bits)
     key = np.unique(of * (1 << bits) + places)
     cuts = np.searchsorted(key >> bits, np.arange(1, len(texts)))
-    return np.split((key & ((1 << bits) - 1)).astype(np.int32), cuts)
+    return np.split((key & ((1 << bits) - 1)).astype(np.int32), cuts)  # views of one array a slice
 
 
-def margins(of: np.ndarray, places: np.ndarray, n: int, dense: np.ndarray, bias: float) -> np.ndarray:
-    """Score before the sigmoid of each of ``n`` texts, from ``hashed``."""
-    on = dense[places] != 0
-    key = np.unique(of[on] * len(dense) + places[on])
-    return bias + np.bincount(key // len(dense), weights=dense[key % len(dense)], minlength=n)
+class Scorer:
+    """Scores texts by several models at once.  Few places have a weight, so
+    one small table of flags picks the features that matter."""
+
+    def __init__(self, models: list[Sparse]):
+        self.tables = [m.dense() for m in models]
+        self.biases = [m.bias for m in models]
+        self.used = np.any([t != 0 for t in self.tables], axis=0)
+
+    def __call__(self, of: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+        """Probability of each of ``n`` texts under each model, from ``hashed``."""
+        on = self.used[places]
+        key = np.unique(of[on] * len(self.used) + places[on])
+        text, place = key // len(self.used), key % len(self.used)
+        return sigmoid(np.stack([b + np.bincount(text, weights=t[place], minlength=n)
+                                 for t, b in zip(self.tables, self.biases)], axis=1))

@@ -88,11 +88,10 @@ def posteriors(docs: DataFrame, models: list[features.Sparse]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ms = sent.value
-        dense = [m.dense() for m in ms]
+        scorer = features.Scorer(ms)
         for part in features.slices(batches):
             of, places, counts = features.hashed(part.column("text").to_pylist())
-            p = np.stack([features.sigmoid(features.margins(of, places, len(counts), d, m.bias))
-                          for d, m in zip(dense, ms)], axis=1)
+            p = scorer(of, places, len(counts))
             p /= p.sum(axis=1, keepdims=True)
             lists = pa.ListArray.from_arrays(np.arange(0, p.size + 1, len(ms), dtype=np.int32), p.ravel())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(counts), lists],

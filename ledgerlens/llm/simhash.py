@@ -44,7 +44,7 @@ MAX_BITS = 2
 SEED = 42
 BLOCKS = 4
 CROWD = 64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 KEY = "__document_key"
 
 LANES = 16

@@ -43,8 +43,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SHARD_IDS = 1 << 19
 # Texts tokenized at once, and chunks whose ids a worker remembers.
-BATCH_BYTES = 4 << 20
-CACHE_CHUNKS = 600_000
+BATCH_BYTES = 2 << 20
+CACHE_CHUNKS = 300_000
 JOINED = 256  # new chunks that are encoded in one call
 
 SHARD_SCHEMA = "part int, seq int, n_ids long, doc_ids array<long>, n_tokens array<long>, ids binary"

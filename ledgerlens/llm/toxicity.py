@@ -85,11 +85,10 @@ def score(docs: DataFrame, model: features.Sparse, id_col: str = "doc_id", text_
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        dense = m.dense()
+        scorer = features.Scorer([sent.value])
         for part in features.slices(batches):
-            of, places, counts = features.hashed(part.column("text").to_pylist(), m.bits)
-            p = features.sigmoid(features.margins(of, places, len(counts), dense, m.bias))
+            of, places, counts = features.hashed(part.column("text").to_pylist(), sent.value.bits)
+            p = scorer(of, places, len(counts))[:, 0]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(p, pa.float64())],
                                              names=["doc_id", "tie", "score"])
 

@@ -55,10 +55,12 @@ def test_features_are_ngrams_and_skipgrams():
     assert len(sets[3] & sets[0]) == 3  # a, b and the pair
 
 
-def test_margin_counts_a_feature_once():
-    dense = np.array([0, 1.0, 0, 2.0], dtype=np.float32)
+def test_scorer_counts_a_feature_once():
+    a = features.Sparse(np.array([1, 3]), np.array([1.0, 2.0], np.float32), 0.5, bits=2)
+    b = features.Sparse(np.array([2]), np.array([-1.0], np.float32), 0.0, bits=2)
     of, places = np.array([0, 0, 0, 2]), np.array([1, 1, 2, 3])
-    assert features.margins(of, places, 3, dense, 0.5).tolist() == [1.5, 0.5, 2.5]
+    want = features.sigmoid(np.array([[1.5, -1.0], [0.5, 0.0], [2.5, 0.0]]))
+    assert features.Scorer([a, b])(of, places, 3) == pytest.approx(want)
 
 
 @pytest.fixture(scope="module")
