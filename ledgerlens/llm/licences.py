@@ -81,14 +81,16 @@ def canonical(text: Column) -> Column:
     replaced, so that neighbours don't share a separator."""
     t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
     t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, SEPARATOR, "  ")), F.lit(" "))
+    one = t
     for a, b in SPELLINGS:
-        t = F.replace(t, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
-    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
+        one = F.replace(one, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+    # most texts have none of the spellings: one look saves the replacements, and changes nothing
+    some = " (" + "|".join(sorted({a.split(" ")[0] for a, _ in SPELLINGS})) + ") "
+    return F.trim(F.replace(F.when(t.rlike(some), one).otherwise(t), F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
-    c = canonical(text)
-    return F.when(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SEPARATOR, "")) != "", F.sha2(c, 256))
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"[\p{L}\p{N}]"), F.sha2(canonical(text), 256))
 
 
 def known_digests(known: DataFrame) -> DataFrame:
