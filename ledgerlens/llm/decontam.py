@@ -39,6 +39,8 @@ from ledgerlens.llm.common import doc_key, key_id, lower_ascii, materialize, may
 
 WINDOW = 10
 ANCHORS = 2
+# A window of so many different words may lack one of them in a proximity match.
+LOOSE = 8
 # A word is a run of characters other than these (A-Z are lower
 # case by then).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -86,16 +88,21 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return tokens(docs).join(known, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _window_places(terms: DataFrame, window: int) -> DataFrame:
+    """``(pid, length, start, place)`` of every word of every window."""
+    size = terms.groupBy("pid").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    length = F.least(F.lit(window), F.col("size"))
+    return (size.select("pid", length.alias("length"), F.explode(F.sequence(F.lit(0), F.col("size") - length))
+                        .alias("start"))
+            .select("pid", "length", "start",
+                    F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("place")))
+
+
 def anchors(terms: DataFrame, counts: DataFrame, window: int = WINDOW, k: int = ANCHORS) -> DataFrame:
     """``(pid, start, length, places)``: each window and the places of its
     ``k`` rarest pairs (of the first word of each).  A window with a word that
     no document has is left out."""
-    size = terms.groupBy("pid").agg(F.count(F.lit(1)).cast("int").alias("size"))
-    length = F.least(F.lit(window), F.col("size"))
-    windows = (size.select("pid", length.alias("length"), F.explode(F.sequence(F.lit(0), F.col("size") - length))
-                           .alias("start"))
-               .select("pid", "length", "start",
-                       F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("place")))
+    windows = _window_places(terms, window)
     here = terms.join(counts, "term").select("pid", "place", "n")
     after = here.select("pid", (F.col("place") - 1).alias("place"), F.col("n").alias("n_next"))
     known = windows.join(here, ["pid", "place"]).join(after, ["pid", "place"], "left")
@@ -173,26 +180,44 @@ def phrase_matches(docs: DataFrame, ph: DataFrame, window: int = WINDOW, k: int
             .select("doc", "pid", (F.col("offset") + F.col("w.start")).alias("pos"), F.col("w.length").alias("length")))
 
 
-def proximity_matches(docs: DataFrame, ph: DataFrame, within: int = WINDOW) -> DataFrame:
-    """``(doc, pid, pos)``: each occurrence of a phrase's rarest word that has
-    every other word of the phrase, in any order, within ``within`` words."""
-    terms = materialize(places(ph).select("pid", "term").distinct(), "terms")
+def near_windows(terms: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(key, pid, start, need, terms)``: each window's different words, how
+    many of them a place must have, and the word to look from.  ``LOOSE`` or
+    more different words may lack one; the window is then looked for from its
+    two rarest words, of which a place has one at least, else from the rarest.
+    A word that no document has is the one lacking; with more of them the
+    window is nowhere, and left out."""
+    every = (_window_places(terms, window).join(terms, ["pid", "place"]).select("pid", "start", "term").distinct()
+             .join(counts, "term", "left").groupBy("pid", "start")
+             .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("w")))
+    size = F.size("w")
+    lacking = F.when(size >= LOOSE, 1).otherwise(0)
+    absent = F.size(F.filter("w", lambda x: x["n"] == 0))
+    return (every.filter(absent <= lacking)
+            .select(F.explode(F.slice(F.col("w.term"), absent + 1, lacking - absent + 1)).alias("key"), "pid", "start",
+                    (size - lacking).alias("need"), F.col("w.term").alias("terms")))
+
+
+def near_postings(docs: DataFrame, near: DataFrame, within: int = WINDOW) -> DataFrame:
+    """``(doc, pid, pos)``: each place of a word of ``near`` (from
+    ``near_windows``) that has the window's words, in any order, within
+    ``within`` words before or after.  A word's surroundings are cut from its
+    own text, so that nothing is shuffled for them."""
+    split = docs.select("doc", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    every = split.select("doc", F.posexplode("h").alias("pos", "key"), "h")
+    begin = F.greatest(F.col("pos") - within, F.lit(0))
+    around = F.slice("h", begin + 1, F.col("pos") + within + 1 - begin)
+    found = every.select("doc", "pos", "key", around.alias("around")).join(maybe_broadcast(near), "key")
+    return found.filter(F.size(F.array_intersect("terms", "around")) >= F.col("need")).select("doc", "pid", "pos")
+
+
+def proximity_matches(docs: DataFrame, ph: DataFrame, within: int = WINDOW, window: int = WINDOW) -> DataFrame:
+    """``(doc, pid, pos)``: each place in ``docs`` (from ``keyed``) that has a
+    window's words near one of its rarest, by ``near_windows``.  Windows are
+    those of the exact search.  Words are told apart by their hash."""
+    terms = materialize(places(ph), "terms")
     counts = materialize(term_counts(docs, terms), "counts")
-    need = terms.groupBy("pid").agg(F.count(F.lit(1)).alias("need"))
-    rarest = (terms.join(counts, "term").groupBy("pid")
-              .agg(F.min(F.struct("n", "term")).alias("r"), F.count(F.lit(1)).alias("known"))
-              .join(need, "pid").filter("known = need").select("pid", "need", F.col("r.term").alias("key")))
-    whole = terms.join(rarest.select("pid"), "pid").withColumnRenamed("term", "key")
-    stored = materialize(postings(docs, whole, "term"), "postings")
-    here = stored.join(maybe_broadcast(rarest), "key").select("doc", "pid", "need", "pos").distinct()
-    # positions in buckets of ``within`` words: a neighbour is in the same or the next one
-    bucket = F.floor(F.col("pos") / within)
-    around = here.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    others = (stored.join(maybe_broadcast(whole), "key")
-              .select("doc", "pid", "key", F.col("pos").alias("at"), F.floor(F.col("pos") / within).alias("bucket")))
-    near = around.join(others, ["doc", "pid", "bucket"]).filter(F.abs(F.col("at") - F.col("pos")) <= within)
-    return (near.groupBy("doc", "pid", "need", "pos").agg(F.countDistinct("key").alias("have"))
-            .filter("have = need").select("doc", "pid", "pos"))
+    return near_postings(docs, materialize(near_windows(terms, counts, window), "near"), within).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -1,7 +1,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -87,3 +87,58 @@ def test_proximity(spark, write):
     ph = decontam.phrases(spark.read.parquet(f"{sf}/benchmark.parquet"))
     got = decontam.proximity_matches(keyed, ph, within=4)
     assert {r["doc"]["id"] for r in got.collect()} == {1, 2}
+
+
+def brute_near(spark, docs, items, within=10):
+    """``(doc_id, item)`` of every window that a place has near one of its rarest words."""
+    texts = [(d, words(t)) for d, t in docs]
+    counts = Counter(w for _, t in texts for w in t)
+    vocabulary = sorted(set(counts) | {w for _, t in items for w in words(t)})
+    rows = spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w")).collect()
+    code = {w: h for w, h in rows}
+    out = set()
+    for i, t in items:
+        w = words(t)
+        n = min(10, len(w))
+        for s in range(len(w) - n + 1 if n else 0):
+            need = sorted(set(w[s:s + n]), key=lambda x: (counts[x], code[x]))
+            lacking = 1 if len(need) >= 8 else 0
+            known = [x for x in need if counts[x]]
+            seen_from = known[:len(known) - len(need) + lacking + 1]
+            if len(need) - len(known) <= lacking:
+                out |= {(d, "null" if i is None else str(i)) for d, text in texts for p, x in enumerate(text)
+                        if x in seen_from and len(set(need) & set(text[max(p - within, 0):p + within + 1]))
+                        >= len(need) - lacking}
+    return out
+
+
+def near_tables(rng):
+    """Items of 30 to 60 words, and texts that have them changed."""
+    items = [(i, [rng.choice("the of and to in".split()) if rng.random() < 0.3 else f"w{rng.randrange(400)}"
+                  for _ in range(30 + 6 * i)]) for i in range(6)]
+    fill = [f"f{i}" for i in range(40)]
+    docs = []
+    for i, w in items:
+        inserted = [x for p, x in enumerate(w) for x in ([x, "new"] if p % 6 == 5 else [x])]
+        dropped = [x for p, x in enumerate(w) if p % 9 != 4]
+        turned = [x for p in range(0, len(w), 4) for x in reversed(w[p:p + 4])]
+        apart = [x for y in w for x in [y, *fill[:8]]]
+        for k, v in enumerate([w, inserted, dropped, turned, apart, w[:5], w[:14] + fill + w[20:]]):
+            docs.append((10 * i + k, " ".join(fill + v + fill)))
+    return docs + [(900, None), (901, ""), (902, " ".join(fill))], [(i, " ".join(w)) for i, w in items]
+
+
+def test_proximity_of_items_longer_than_the_span(spark, write):
+    docs, items = near_tables(random.Random(5))
+    # an item's word that no document has keeps the item's other windows
+    items += [(50, items[3][1] + " unheard"), (51, "a short one")]
+    docs += [(903, "one of the short x a"), (904, "a short")]
+    sf = write(documents=docs, benchmark=items)
+    ph = decontam.phrases(spark.read.parquet(f"{sf}/benchmark.parquet"))
+    got = decontam.proximity_matches(decontam.keyed(spark.read.parquet(f"{sf}/documents.parquet")), ph)
+    found = {(r["doc"]["id"], r["item"]) for r in got.join(ph, "pid").collect()}
+    assert found == brute_near(spark, docs, items)
+    for i in range(6):
+        assert {(10 * i + k, str(i)) for k in (0, 1, 2, 3, 6)} <= found
+        assert not {(10 * i + k, str(i)) for k in (4, 5)} & found
+    assert {(30, "50"), (903, "51")} <= found and (904, "51") not in found
