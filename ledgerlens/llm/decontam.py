@@ -8,7 +8,7 @@ words (a shorter phrase is one window).  A window is found by its rarest words:
    the shuffle holds one partial count per word and task.
 2. ``anchors``: each window keeps the places of its ``ANCHORS`` rarest pairs
    of neighbours; a pair is as rare as its rarer word.
-3. ``index``: the postings (document, pair, position) of the anchor pairs only,
+3. ``postings``: those (document, pair, position) of the anchor pairs only,
    written to the shared folder.  Keying a posting by the word and the next one
    intersects the two lists of a pair where the text is read.
 4. ``candidates``: the postings of a phrase's anchors, moved back by their
@@ -18,8 +18,14 @@ words (a shorter phrase is one window).  A window is found by its rarest words:
 5. ``phrase_matches``: candidates are compared word by word with the text of
    the few documents that have any.
 
-Words are looked up by their 64-bit hash, and compared as text in the end.  All
-of it is DataFrame functions.  Frames that follow the benchmark's size are
+A proximity match is a place that has a window's words in any order, one of
+many left out if need be (``near_windows``).  It is found in the pass that
+reads the postings, where the words around a place are at hand.  ``op10`` gives
+the items met so as columns of their own; an exact match is one of them.  What
+counts as contaminated, and goes in ``drop_contaminated``, is exact matches.
+
+Words are looked up by their 64-bit hash, and compared as text in the end (by
+hash alone in proximity matches).  All of it is DataFrame functions.  Frames that follow the benchmark's size are
 broadcast only after their size was measured, and joined by shuffle beyond it.
 
 Documents are told apart by id and hash of the text.  Defined results: a null
@@ -73,13 +79,9 @@ def places(ph: DataFrame) -> DataFrame:
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """``(doc, pos, term, pair)`` of every word: its hash, and that of the word
-    with the one after it."""
-    split = docs.select("doc", words(F.col("text")).alias("w"))
-    every = split.select("doc", F.posexplode("w").alias("pos", "word"), "w")
-    after = F.xxhash64(F.get("w", F.col("pos") + 1))
-    return every.select("doc", "pos", F.xxhash64("word").alias("term"), F.xxhash64(F.xxhash64("word"), after)
-                        .alias("pair"))
+    """``(doc, term)`` of every word: its hash."""
+    every = docs.select("doc", F.explode(words(F.col("text"))).alias("word"))
+    return every.select("doc", F.xxhash64("word").alias("term"))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -126,21 +128,30 @@ def anchor_keys(windows: DataFrame, terms: DataFrame) -> DataFrame:
             .select("pid", "place", "single", key.alias("key")))
 
 
-def postings(docs: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """``(doc, key, pos)`` of the words whose ``column`` (``term`` or ``pair``)
-    is one of ``keys``."""
-    known = maybe_broadcast(keys.select("key").distinct())
-    return tokens(docs).select("doc", F.col(column).alias("key"), "pos").join(known, "key").select("doc", "key", "pos")
-
-
-def index(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The stored postings of the anchors.  Windows of one word, if there are
-    any, take a pass over the texts of their own."""
-    found = postings(docs, keys.filter(~F.col("single")), "pair")
-    single = keys.filter("single")
-    if not single.isEmpty():
-        found = found.unionByName(postings(docs, single, "term"))
-    return materialize(found, "postings")
+def postings(docs: DataFrame, keys: DataFrame, near: DataFrame | None = None, within: int = WINDOW) -> DataFrame:
+    """``(doc, key, pos, near_pid)``, stored.  Each word is looked up by its
+    own hash (side 0) and by that of it and the next one (side 1), in one pass
+    over the texts.  A row without ``near_pid`` is a posting of an anchor
+    (``keys``).  One with it is a place that has a window's words, in any
+    order, within ``within`` words before or after a word of ``near`` (from
+    ``near_windows``).  A word's surroundings are cut from its own text, so
+    that nothing is shuffled for them."""
+    split = docs.select("doc", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    every = split.select("doc", F.posexplode("h").alias("pos", "term"), "h")
+    pair = F.xxhash64("term", F.get("h", F.col("pos") + 1))
+    begin = F.greatest(F.col("pos") - within, F.lit(0))
+    around = F.slice("h", begin + 1, F.col("pos") + within + 1 - begin)
+    looks = (every.select("doc", "pos", "h", F.posexplode(F.array("term", pair)).alias("side", "key"))
+             .select("doc", "pos", "side", "key", F.when(F.col("side") == 0, around).alias("around")))
+    wanted = keys.select("key", F.when(F.col("single"), 0).otherwise(1).alias("at"), F.lit(None).cast("long")
+                         .alias("near_pid"), F.lit(0).alias("need"), F.lit(None).cast("array<bigint>").alias("terms"))
+    if near is not None:
+        wanted = wanted.unionByName(near.select("key", F.lit(0).alias("at"), F.col("pid").alias("near_pid"), "need",
+                                                "terms"))
+    wanted = materialize(wanted.distinct(), "wanted")
+    found = looks.join(maybe_broadcast(wanted), "key").filter(F.col("side") == F.col("at"))
+    whole = F.col("near_pid").isNull() | (F.size(F.array_intersect("terms", "around")) >= F.col("need"))
+    return materialize(found.filter(whole).select("doc", "key", "pos", "near_pid"), "postings")
 
 
 def candidates(stored: DataFrame, keys: DataFrame, windows: DataFrame) -> DataFrame:
@@ -163,23 +174,6 @@ def _with_words(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return few.groupBy("doc").agg(F.first("text").alias("text")).select("doc", words(F.col("text")).alias("text_words"))
 
 
-def phrase_matches(docs: DataFrame, ph: DataFrame, window: int = WINDOW, k: int = ANCHORS) -> DataFrame:
-    """``(doc, pid, pos, length)``: every place in ``docs`` (from ``keyed``)
-    where a window of a phrase occurs word by word."""
-    terms = materialize(places(ph), "terms")
-    counts = materialize(term_counts(docs, terms), "counts")
-    windows = materialize(anchors(terms, counts, window, k), "windows")
-    keys = materialize(anchor_keys(windows, terms), "anchors")
-    found = materialize(candidates(index(docs, keys), keys, windows), "candidates")
-    texts = _with_words(docs, found.select("doc").distinct())
-    same = F.filter("windows", lambda w: F.slice("text_words", F.col("offset") + w["start"] + 1, w["length"])
-                    == F.slice("words", w["start"] + 1, w["length"]))
-    phrase_words = maybe_broadcast(ph.select("pid", "words").distinct())
-    return (found.join(texts, "doc").join(phrase_words, "pid")
-            .select("doc", "pid", "offset", F.explode(same).alias("w"))
-            .select("doc", "pid", (F.col("offset") + F.col("w.start")).alias("pos"), F.col("w.length").alias("length")))
-
-
 def near_windows(terms: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(key, pid, start, need, terms)``: each window's different words, how
     many of them a place must have, and the word to look from.  ``LOOSE`` or
@@ -198,41 +192,65 @@ def near_windows(terms: DataFrame, counts: DataFrame, window: int = WINDOW) -> D
                     (size - lacking).alias("need"), F.col("w.term").alias("terms")))
 
 
-def near_postings(docs: DataFrame, near: DataFrame, within: int = WINDOW) -> DataFrame:
-    """``(doc, pid, pos)``: each place of a word of ``near`` (from
-    ``near_windows``) that has the window's words, in any order, within
-    ``within`` words before or after.  A word's surroundings are cut from its
-    own text, so that nothing is shuffled for them."""
-    split = docs.select("doc", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    every = split.select("doc", F.posexplode("h").alias("pos", "key"), "h")
-    begin = F.greatest(F.col("pos") - within, F.lit(0))
-    around = F.slice("h", begin + 1, F.col("pos") + within + 1 - begin)
-    found = every.select("doc", "pos", "key", around.alias("around")).join(maybe_broadcast(near), "key")
-    return found.filter(F.size(F.array_intersect("terms", "around")) >= F.col("need")).select("doc", "pid", "pos")
+def matches(docs: DataFrame, ph: DataFrame, window: int = WINDOW, k: int = ANCHORS,
+            within: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """``(phrase_matches, proximity_matches)``, the latter only if ``within``
+    is given: both take the same counts and the same pass over the texts."""
+    terms = materialize(places(ph), "terms")
+    counts = materialize(term_counts(docs, terms), "counts")
+    windows = materialize(anchors(terms, counts, window, k), "windows")
+    keys = materialize(anchor_keys(windows, terms), "anchors")
+    near = None if within is None else near_windows(terms, counts, window)
+    stored = postings(docs, keys, near, within or 0)
+    found = materialize(candidates(stored.filter("near_pid is null"), keys, windows), "candidates")
+    texts = _with_words(docs, found.select("doc").distinct())
+    same = F.filter("windows", lambda w: F.slice("text_words", F.col("offset") + w["start"] + 1, w["length"])
+                    == F.slice("words", w["start"] + 1, w["length"]))
+    phrase_words = maybe_broadcast(ph.select("pid", "words").distinct())
+    exact = (found.join(texts, "doc").join(phrase_words, "pid")
+             .select("doc", "pid", "offset", F.explode(same).alias("w"))
+             .select("doc", "pid", (F.col("offset") + F.col("w.start")).alias("pos"), F.col("w.length").alias("length")))
+    if within is None:
+        return exact, None
+    return exact, (stored.filter("near_pid is not null")
+                   .select("doc", F.col("near_pid").alias("pid"), "pos").distinct())
+
+
+def phrase_matches(docs: DataFrame, ph: DataFrame, window: int = WINDOW, k: int = ANCHORS) -> DataFrame:
+    """``(doc, pid, pos, length)``: every place in ``docs`` (from ``keyed``)
+    where a window of a phrase occurs word by word."""
+    return matches(docs, ph, window, k)[0]
 
 
 def proximity_matches(docs: DataFrame, ph: DataFrame, within: int = WINDOW, window: int = WINDOW) -> DataFrame:
     """``(doc, pid, pos)``: each place in ``docs`` (from ``keyed``) that has a
     window's words near one of its rarest, by ``near_windows``.  Windows are
     those of the exact search.  Words are told apart by their hash."""
-    terms = materialize(places(ph), "terms")
-    counts = materialize(term_counts(docs, terms), "counts")
-    return near_postings(docs, materialize(near_windows(terms, counts, window), "near"), within).distinct()
+    return matches(docs, ph, window, within=within)[1]
+
+
+def _items(found: DataFrame, ph: DataFrame, name: str) -> DataFrame:
+    """``(doc, name)``: the ids of the items met, sorted as strings."""
+    named = found.select("doc", "pid").distinct().join(maybe_broadcast(ph.select("pid", "item")), "pid")
+    return named.groupBy("doc").agg(F.array_sort(F.collect_set("item")).alias(name))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
+                  within: int | None = None) -> DataFrame:
     """``(doc, n_hit, n_items, items)`` of the documents that hold a window of
-    an item: words hit, items met, their ids sorted as strings."""
+    an item: words hit, items met, their ids sorted as strings.  If ``within``
+    is given, also ``near_items``, the ids of the items met by proximity, and
+    the documents that have only such."""
     ph = materialize(phrases(benchmark), "phrases")
-    matches = materialize(phrase_matches(docs, ph, window), "matches")
+    exact, near = matches(docs, ph, window, within=within)
+    exact = materialize(exact, "matches")
     end = F.col("pos") + F.col("length")
     so_far = F.max(end).over(W.partitionBy("doc").orderBy("pos", "length")
                              .rowsBetween(W.unboundedPreceding, -1))
-    spans = matches.select("doc", "pos", "length").distinct().withColumn("covered", F.coalesce(so_far, F.lit(0)))
+    spans = exact.select("doc", "pos", "length").distinct().withColumn("covered", F.coalesce(so_far, F.lit(0)))
     hit = spans.groupBy("doc").agg(F.sum(F.greatest(end - F.greatest("pos", "covered"), F.lit(0))).alias("n_hit"))
-    named = matches.select("doc", "pid").distinct().join(maybe_broadcast(ph.select("pid", "item")), "pid")
-    items = named.groupBy("doc").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return hit.join(items, "doc").select("doc", "n_hit", F.size("items").alias("n_items"), "items")
+    found = (hit.join(_items(exact, ph, "items"), "doc").select("doc", "n_hit", F.size("items").alias("n_items"), "items"))
+    return found if near is None else found.join(_items(near, ph, "near_items"), "doc", "full")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -243,14 +261,18 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return marked.join(bad, marked["__document_key"] == bad["leak"], "left_anti").drop("__document_key")
 
 
+def _sha256(items: str) -> Column:
+    return F.sha2(F.concat_ws(",", F.coalesce(items, F.array().cast("array<string>"))), 256)
+
+
 def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = keyed(table(spark, sf_dir, "documents"))
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), within=WINDOW)
     every = docs.select("doc", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    none = F.array().cast("array<string>")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return (every.join(found, "doc", "left")
             .select(key_id("doc").alias("doc_id"), "n_words", hit.alias("n_hit"),
                     F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-                    F.sha2(F.concat_ws(",", F.coalesce("items", none)), 256).alias("items_sha256"),
-                    (hit > 0).alias("contaminated")))
+                    _sha256("items").alias("items_sha256"), (hit > 0).alias("contaminated"),
+                    F.coalesce(F.size("near_items"), F.lit(0)).cast("long").alias("n_near_items"),
+                    _sha256("near_items").alias("near_items_sha256")))

@@ -142,3 +142,34 @@ def test_proximity_of_items_longer_than_the_span(spark, write):
         assert {(10 * i + k, str(i)) for k in (0, 1, 2, 3, 6)} <= found
         assert not {(10 * i + k, str(i)) for k in (4, 5)} & found
     assert {(30, "50"), (903, "51")} <= found and (904, "51") not in found
+
+
+def near_result(spark, sf):
+    rows = decontam.op10_positional_index(spark, sf).select("doc_id", "n_near_items", "near_items_sha256").collect()
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+def near_rows(spark, docs, items):
+    found = defaultdict(set)
+    for n, i in brute_near(spark, [(n, t) for n, (_, t) in enumerate(docs)], items):
+        found[n].add(i)
+    return sorted(((d, len(found[n]), hashlib.sha256(",".join(sorted(found[n])).encode()).hexdigest())
+                   for n, (d, _) in enumerate(docs)), key=repr)
+
+
+def test_op10_near_items(spark, write, edges):
+    docs, items = near_tables(random.Random(6))
+    docs, items = docs + edges, items + [(60, "Kappa alpha"), (61, "one"), (None, "id no"), (62, ""), (63, None)]
+    sf = write(documents=docs, benchmark=items)
+    want = near_rows(spark, docs, items)
+    assert near_result(spark, sf) == want
+    assert result(spark, sf) == brute(docs, items)
+    turned = next(r for r in result(spark, sf) if r[0] == 13)
+    assert not turned[-1] and next(r for r in want if r[0] == 13)[1] > 0
+    assert all(r[1] == 0 for r in near_result(spark, write(documents=docs, benchmark=[])))
+
+
+def test_op10_near_items_given_tables(spark):
+    pairs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert near_result(spark, SF) == near_rows(spark, pairs, items)
