@@ -2,15 +2,15 @@
 skip-grams.
 
 ``train`` takes the labelled documents, at most ``MAX_TRAINING_ROWS`` of them
-(a documented bound on the sample, chosen by a hash of the id, never by the
-text) and fits in one task; the L1 term leaves a few thousand weights, whose
+(a documented bound on the rows fitted, chosen by a hash of the id, then of id
+and text where ids have several) and fits in one task; the L1 term leaves a few thousand weights, whose
 size is checked before they are sent to the tasks.  ``score`` runs over all
 documents in one pass without a shuffle.
 
 The text is the only input of a score.  Defined results: a null text scores as
 an empty one (the bias alone); a null label, or a label whose document is
-missing, is no training row; rows repeated in either table are repeated
-training rows; without any training row every score is 0.5; null ids are
+missing, is no training row; rows of one id, text and label are one training
+row; without any training row every score is 0.5; null ids are
 scored like others; further columns are kept by ``filter_toxic`` and left out
 of ``score``.
 """
@@ -40,14 +40,22 @@ def held_out(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: Column, limit: int) -> DataFrame:
     """``(text, label, turn)`` of at most ``limit`` labelled documents that are
-    not held out; ``turn`` is the hash of the id that also sets the order."""
+    not held out; ``turn`` is the hash of the id that also sets the order.
+    Rows of one id, text and label are one.  ``limit`` bounds the labels, and
+    then the rows that they meet (by a hash of id and text)."""
     chosen = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), label.cast("int").alias("label"))
               .filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
               .withColumn("turn", F.xxhash64("doc_id"))
               .orderBy("turn", "label").limit(limit))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    small = maybe_broadcast(chosen)
-    return texts.join(small, F.col("id") == small["doc_id"]).select("text", "label", "turn")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tie"),
+                        F.col("text").cast("string").alias("text"))
+    small = maybe_broadcast(chosen.distinct())
+    met = texts.select("id", "tie").join(small, F.col("id") == small["doc_id"]).select("id", "tie", "label", "turn")
+    # the bound holds for the joined rows; their keys are chosen before any text is moved
+    bounded = maybe_broadcast(materialize(met.distinct().orderBy(F.xxhash64("id", "tie"), "label", "id", "tie")
+                                          .limit(limit), "training"))
+    return (texts.join(bounded, ["id", "tie"]).groupBy("id", "tie", "label", "turn").agg(F.first("text").alias("text"))
+            .select("text", "label", "turn"))
 
 
 def _fit(how: features.Ftrl):

@@ -183,3 +183,16 @@ def test_mix_repeats_and_drops_rows(spark, write, edges, monkeypatch):
 def test_slices_cover_every_row():
     b = pa.RecordBatch.from_pydict({"text": ["x" * 10, None, "", "y" * features.SLICE_BYTES, "z"]})
     assert [r for s in features.slices([b]) for r in s.column("text").to_pylist()] == b.column("text").to_pylist()
+
+
+def test_training_rows_are_bounded_after_the_join(spark, write):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:20]
+    docs = [(i, f"text {i}") for i in ids] + [(ids[0], f"text {ids[0]}")] * 30 + [(ids[1], f"other {k}") for k in range(40)]
+    sf = write(documents=docs, labels=[(i, 1, i % 2) for i in ids] * 2)
+    tables = [spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels")]
+
+    def rows(limit):
+        return [r["text"] for r in toxicity.training_rows(*tables, F.col("toxic"), limit).collect()]
+
+    assert sorted(rows(100)) == sorted({t for _, t in docs})
+    assert len(rows(25)) == len(set(rows(25))) == 25
