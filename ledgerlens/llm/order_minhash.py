@@ -14,6 +14,7 @@ inside the row.
 
 Defined results: a null text is an empty one; a text without words has no
 tuples and the fingerprint ""; a text of fewer than ``K`` words is one k-mer;
+a text of more k-mers than ``POS_BITS`` can place is an error;
 two texts without words are alike (1.0), with and without are not (0.0).
 Documents are ordered by id, then hash of the text; rows that repeat both
 count as one document and get the same row each; a null id is the smallest; of
@@ -49,6 +50,12 @@ def _kmers(h: Column) -> Column:
     return F.when(n >= K, many).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _placeable(g: Column) -> Column:
+    """``g``, or an error where a place in it needs more than ``POS_BITS``."""
+    error = F.raise_error(F.lit(f"a text has more than {POS_MASK + 1} k-mers, whose places are not told apart"))
+    return F.when(F.size(g) > POS_MASK + 1, error).otherwise(g)
+
+
 def _kind(v: Column) -> Column:
     return v.bitwiseAND(F.lit(~POS_MASK))
 
@@ -120,7 +127,7 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with ``out``: the tuples of the column ``text``, as an array of
     longs."""
     g, s, t = f"{out}__g", f"{out}__s", f"{out}__t"
-    return (df.withColumn(g, let(_hashes(F.col(text)), _kmers))
+    return (df.withColumn(g, let(let(_hashes(F.col(text)), _kmers), _placeable))
             .withColumn(s, F.sort_array(F.transform(g, lambda x, i: _kind(x).bitwiseOR(i.cast("long")))))
             .withColumn(t, F.sort_array(_occurrences(F.col(s))))
             .withColumn(out, _tuples(F.col(t), F.col(g))).drop(g, s, t))

@@ -301,3 +301,11 @@ def test_op6_segments_do_not_change_the_repair(spark, write, monkeypatch):
 def test_op6_given_conversations(spark):
     given = [tuple(r) for r in table(spark, SF, "conversations").select("conv_id", "turn", "role", "text").collect()]
     check_conversations(chat.op6_role_repair(spark, SF).collect(), given)
+
+
+def test_a_text_with_more_places_than_fit_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "POS_MASK", 7)
+    df = spark.createDataFrame([(" ".join("abcdefghi"),), (" ".join("abcdefghij"),)], "text string")
+    assert order_minhash.with_signature(df.limit(1), "text", "sig").first()["sig"]
+    with pytest.raises(Exception, match="more than 8 k-mers"):
+        order_minhash.with_signature(df, "text", "sig").collect()
