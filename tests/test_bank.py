@@ -3,7 +3,7 @@ the DuckDB formulation of the same model."""
 
 import pytest
 
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 from ledgerlens.oracle.compare import compare, oracle_connection
 from ledgerlens.oracle.sql import prelude
 from ledgerlens.plans import dashboard as D

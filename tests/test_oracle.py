@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 from ledgerlens.oracle.compare import compare, oracle_connection
 from ledgerlens.oracle.sql import oracle_queries
 from ledgerlens.registry import queries
