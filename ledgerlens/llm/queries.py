@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import (chat, decontam, html_tree, licences, mixing, order_minhash, sharding, simhash,
-                            tokens, toxicity)
+from ledgerlens.llm import (chat, decontam, hard_negatives, html_tree, licences, mixing, order_minhash, sharding,
+                            simhash, tokens, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity_ftrl": toxicity.op8_toxicity_ftrl,
         "op9_simhash_blocks": simhash.op9_simhash_blocks,
         "op10_positional_index": decontam.op10_positional_index,
+        "op12_angular_negatives": hard_negatives.op12_angular_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_license_digests": licences.oracle(),
+        "op12_angular_negatives": hard_negatives.oracle(),
     }
