@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import (chat, decontam, hard_negatives, html_tree, licences, mixing, order_minhash, sharding,
-                            simhash, tokens, toxicity)
+from ledgerlens.llm import (chat, collocations, decontam, hard_negatives, html_tree, licences, mixing,
+                            order_minhash, sharding, simhash, tokens, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity_ftrl": toxicity.op8_toxicity_ftrl,
         "op9_simhash_blocks": simhash.op9_simhash_blocks,
         "op10_positional_index": decontam.op10_positional_index,
+        "op11_suffix_collocations": collocations.op11_suffix_collocations,
         "op12_angular_negatives": hard_negatives.op12_angular_negatives,
     }
 
@@ -29,5 +30,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_license_digests": licences.oracle(),
+        "op11_suffix_collocations": collocations.oracle(),
         "op12_angular_negatives": hard_negatives.oracle(),
     }
