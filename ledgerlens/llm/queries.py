@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm import (chat, collocations, decontam, hard_negatives, html_tree, licences, mixing,
-                            order_minhash, sharding, simhash, tokens, toxicity)
+                            order_minhash, personal, sharding, simhash, tokens, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_positional_index": decontam.op10_positional_index,
         "op11_suffix_collocations": collocations.op11_suffix_collocations,
         "op12_angular_negatives": hard_negatives.op12_angular_negatives,
+        "op13_weak_supervision_pii": personal.op13_weak_supervision_pii,
     }
 
 
