@@ -11,9 +11,10 @@ that begin with it, and only phrases that occur ``least`` times matter.
    word that is not frequent, equal ones of a task's buffer collapsed to one
    with a count.  Stored in the shared folder.
 3. ``route``: leading words are counted globally, first two of them.  Suffixes
-   whose leading words are infrequent are abandoned.  A leading pair that too
-   many suffixes share is crowded: below it three leading words are counted,
-   then four and so on, until no routing key is crowded.  Each suffix goes to
+   whose leading words are infrequent are abandoned, the rest cut at the first
+   infrequent pair.  A leading pair that too many suffixes share is crowded:
+   below it three leading words are counted, then four and so on, until no
+   routing key is crowded.  Each suffix goes to
    the partition of its shortest uncrowded leading words, and so all suffixes
    that share those meet in one task; a crowded key is only ever counted.
 4. ``frequent``: each task sorts pointers to its suffixes by a multikey
@@ -61,6 +62,7 @@ BUFFER = 1 << 20          # suffixes of a task that are collapsed at once
 REMEMBERED = 400_000      # words and their ids that a task remembers
 SLICE_BYTES = 1 << 20     # of a text that are split at once
 PARTITION_ROWS = 1 << 20  # suffixes that a sorting task holds, about
+COUNT_ROWS = 8 << 20      # suffixes whose leading words a task counts, about
 # A-Z are lower-cased, these bytes end a piece, and a tab parts words as a space does.
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -278,7 +280,9 @@ def suffixes(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def _routing(levels: dict, deepest: int):
-    """mapInArrow function: suffixes to the surviving ones with their key.
+    """mapInArrow function: suffixes to the surviving ones with their key, cut
+    at the first pair of neighbours that is not frequent.  What is left of only
+    two words stays: all pairs have been counted.
 
     ``levels``: for each number of leading words the bitmaps of frequent and
     crowded keys."""
@@ -314,8 +318,9 @@ def _routing(levels: dict, deepest: int):
                 rare = crowded & ~has(bits[d + 1][0], leads(columns, d + 1))
                 for c in columns[d:]:
                     c[rare] = 0
-            held.append((*columns, n))
-            size += len(n)
+            longer = columns[2] != 0      # pairs are counted
+            held.append((*[c[longer] for c in columns], n[longer]))
+            size += int(longer.sum())
             if size >= BUFFER:
                 yield out()
                 held, size = [], 0
@@ -358,7 +363,7 @@ def _sort(least: int):
         columns = [whole[c].to_numpy() for c in SUFFIX]
         at, length, count = (np.array(x, np.int64) for x in quicksort(columns, whole["n"].to_numpy(), least))
         # leading words shorter than the routing key may be elsewhere too
-        mine = length >= whole["level"].to_numpy()[at]
+        mine = length >= np.maximum(whole["level"].to_numpy()[at], 3)
         at, length, count = at[mine], length[mine], count[mine]
         yield _batch([np.where(k < length, columns[k][at], 0) for k in range(DEPTH)], count)
     return run
@@ -367,31 +372,34 @@ def _sort(least: int):
 def frequent(stored: DataFrame, least: int = LEAST, partition_rows: int = PARTITION_ROWS) -> DataFrame:
     """``(w1..w5, n)``: all phrases of two or more words that occur ``least``
     times or more, from stored ``suffixes``."""
-    sc = stored.sparkSession.sparkContext
-    parts, limit = 0, 0
-    levels, counted, below = {}, [], stored
+    spark = stored.sparkSession
+    size = stored.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
+    # few large tasks count the leading words, so that most counts meet before the shuffle
+    below = stored.coalesce(max(-(-size["rows"] // COUNT_ROWS), 1))
+    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    limit = max((size["n"] or 0) // max(least_parts, -(-size["rows"] // partition_rows)) // 2, least)
+    levels, counted = {}, []
     for depth in range(2, DEPTH + 1):
         names = SUFFIX[:depth]
-        found = (below.filter(F.col(names[-1]) != 0).groupBy(*names)
-                 .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).filter(F.col("n") >= least))
+        found = (below.filter(F.col(names[-1]) != 0).groupBy(*names).agg(F.sum("n").alias("n"))
+                 .filter(F.col("n") >= least))
         found = materialize(found, "leading")
-        if not parts:
-            rows = found.agg(F.sum("rows").alias("n")).first()["n"] or 0
-            parts = max(int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // partition_rows))
-            limit = max(rows // parts // 2, 1)
-        crowded = found.filter(F.col("rows") > limit)
-        busy = bitmap(crowded, lead_column(names))
-        levels[depth] = (sc.broadcast(bitmap(found, lead_column(names))), sc.broadcast(busy))
-        # counted here and nowhere else: what the bitmap calls crowded
-        counted.append((found, names, busy))
+        busy = bitmap(found.filter(F.col("n") > limit), lead_column(names))
+        sent = spark.sparkContext.broadcast(busy)
+        levels[depth] = (spark.sparkContext.broadcast(bitmap(found, lead_column(names))), sent)
+        # all pairs are counted here; of longer leads what the bitmap calls crowded
+        full = found.select(*names, *[F.lit(0).cast("long").alias(c) for c in SUFFIX[depth:]], "n")
+        counted.append(full if depth == 2 else full.mapInArrow(_below(sent, depth), SUFFIX_SCHEMA))
         if not busy.any() or depth == DEPTH:
             break
-        below = below.mapInArrow(_below(levels[depth][1], depth), SUFFIX_SCHEMA)
-    routed = stored.mapInArrow(_routing(levels, depth), SUFFIX_SCHEMA + ", key long, level int")
+        below = below.mapInArrow(_below(sent, depth), SUFFIX_SCHEMA)
+    if depth > 2:
+        counted.pop()      # of the last lead all go to the sort
+    routed = materialize(stored.mapInArrow(_routing(levels, depth), SUFFIX_SCHEMA + ", key long, level int"), "routed")
+    parts = max(least_parts, -(-routed.count() // partition_rows))
     phrases = routed.repartition(parts, "key").mapInArrow(_sort(least), SUFFIX_SCHEMA)
-    for found, names, busy in counted[:-1]:
-        full = found.select(*names, *[F.lit(0).cast("long").alias(c) for c in SUFFIX[len(names):]], "n")
-        phrases = phrases.unionByName(full.mapInArrow(_below(sc.broadcast(busy), len(names)), SUFFIX_SCHEMA))
+    for some in counted:
+        phrases = phrases.unionByName(some)
     return materialize(phrases, "phrases")
 
 
