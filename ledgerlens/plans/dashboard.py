@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.filters import Filter
 from ledgerlens.functions.measures import safe_ratio, sum_if, weighted_ratio, sorted_small
+from ledgerlens.operators.lattice import company_names
 from ledgerlens.sources.literals import COMPANIES
 
 # ---- fixed values (must equal the model being reproduced) ---------------
@@ -142,7 +143,7 @@ def cash_trend(wh, flt: Filter) -> DataFrame:
 
 def cash_trend_pivot(wh, flt: Filter) -> DataFrame:
     """Week x company balances; a missing week for a company stays null."""
-    names = _company_names(flt)
+    names = _company_names(wh, flt)
     return cash_trend(wh, flt).groupBy("week").pivot("name", names).agg(F.first("balance")).transform(sorted_small("week"))
 
 
@@ -455,14 +456,18 @@ def opp_kpis(wh, flt: Filter) -> DataFrame:
 
 def lever_company_pivot(wh, flt: Filter) -> DataFrame:
     """Lever x company cash release; a missing (lever, company) is 0."""
-    names = _company_names(flt)
+    names = _company_names(wh, flt)
     p = _opp(wh, flt).groupBy("lever").pivot("company", names).agg(F.sum("cash_release_usd"))
     return p.select("lever", *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names]).transform(sorted_small("lever"))
 
 
-def _company_names(flt: Filter) -> list[str]:
-    """Pivot columns: the companies of the literal company dimension."""
-    return sorted(c[1] for c in COMPANIES if not flt.companies or c[1] in flt.companies)
+def _company_names(wh, flt: Filter) -> list[str]:
+    """Pivot columns: the companies of the company dimension."""
+    if wh.companies is None:
+        names = [c[1] for c in COMPANIES]
+    else:
+        names = company_names(wh.dim_company)
+    return sorted(c for c in names if not flt.companies or c in flt.companies)
 
 
 # ---------------------------------------------------------------- charts

@@ -1,47 +1,34 @@
 """Company-subset snapshots of the dashboard cards.
 
 The dashboard can be filtered to any subset of companies (the empty subset
-meaning all).  Rather than running every page once per subset, each
-measure is computed once per company as additive parts (sums, counts,
-numerator and denominator of every ratio), joined to a small
-``subset_members(subset_key, company)`` frame and re-aggregated by
-subset.  Exact distinct counts do not add across companies, so for those
-the distinct (company, id) pairs are joined to the membership and counted
-per subset.  The membership has at most 2^n x n rows for the n companies of
-the company dimension, which bounds its broadcast.
+meaning all).  Rather than running every page once per subset, each measure is
+computed once per company as additive parts (sums, counts, numerator and
+denominator of every ratio), which ``operators.lattice`` adds up for every
+subset.  Exact distinct counts do not add across companies; they come from
+united bitmaps.  The item tables are read through the rollups that
+``plans.pages`` stores.  ``write_snapshot`` writes the whole page documents.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.filters import Filter
-from ledgerlens.functions.measures import safe_ratio, sum_if, sorted_small
-from ledgerlens.sources.literals import COMPANIES
-
-PAGES = ["overview", "cash", "ar", "ap", "early-pay", "inventory", "opportunities"]
+from ledgerlens.functions.measures import safe_ratio, sorted_small, sum_if
+from ledgerlens.operators.lattice import company_names, of_subset, subset_totals, subsets
+from ledgerlens.plans.pages import page_documents, pages
 
 
 def subset_members(wh, month_from: str, month_to: str) -> DataFrame:
-    """(subset_key, company) for every subset of the companies; the key is the
-    sorted company names joined by ',' plus '||from..to'."""
-    comp = wh.dim_company.select("company")
-    n_w = Window.orderBy("company")
-    comp = comp.withColumn("bit", (F.row_number().over(n_w) - 1).cast("int"))
-    n = len(COMPANIES)  # rows of the literal company dimension
-    # every company row is generated once per subset mask 0 .. 2^n - 1
-    per_mask = comp.select("company", "bit", F.explode(F.sequence(F.lit(0), F.lit(2 ** n - 1))).alias("mask"))
-    member = F.expr("(mask >> bit) & 1 = 1")
-    pairs = per_mask.filter(member | (F.col("mask") == 0))
-    names = (per_mask.filter(member).groupBy("mask")
-             .agg(F.concat_ws(",", F.sort_array(F.collect_list("company"))).alias("companies")))
-    keyed = (pairs.join(names, "mask", "left")
-             .select("mask", F.coalesce("companies", F.lit("")).alias("companies"), "company"))
-    return keyed.select(F.concat(F.col("companies"), F.lit(f"||{month_from}..{month_to}")).alias("subset_key"),
-                        "companies", "company")
+    """(subset_key, companies, company) for every subset of the companies; the
+    key is the sorted company names joined by ',' plus '||from..to'."""
+    names = company_names(wh.dim_company)
+    member = wh.dim_company.select("company").distinct().withColumn("mask", F.explode(of_subset(names)))
+    key = F.concat("companies", F.lit(f"||{month_from}..{month_to}"))
+    return subsets(wh.spark, names).join(member, "mask").select(key.alias("subset_key"), "companies", "company")
 
 
 def _per_company(wh, flt: Filter) -> DataFrame:
@@ -57,22 +44,20 @@ def _per_company(wh, flt: Filter) -> DataFrame:
         F.sum(F.col("cogs_usd").cast("double")).alias("dio_den"),
         F.sum("net_working_capital_usd").alias("nwc"), F.sum("ar_balance_usd").alias("ar"),
         F.sum("ap_balance_usd").alias("ap"), F.sum("inventory_usd").alias("inventory"))
-    ar_open = wh.ar_items.filter("is_open").groupBy("company").agg(
-        F.sum("amount_usd").alias("open_ar"), sum_if(F.col("days_past_due") > 0, "amount_usd").alias("overdue_ar"),
-        sum_if(F.col("is_disputed"), "amount_usd").alias("disputed"),
-        sum_if(F.col("has_promise_to_pay"), "amount_usd").alias("promised"),
-        F.count(F.lit(1)).alias("ar_open_items"))
+    p = pages(wh, flt)
+    ar_open = p.ar_open.groupBy("company").agg(
+        F.sum("amount").alias("open_ar"), F.sum("overdue").alias("overdue_ar"), F.sum("disputed").alias("disputed"),
+        F.sum("promised").alias("promised"), F.sum("items").alias("ar_open_items"))
     ar_paid = (wh.ar_items.filter(flt.month_pred("invoice_month") & ~F.col("is_open")).groupBy("company")
                .agg(F.sum(F.when(F.col("paid_on_time"), 1).otherwise(0)).alias("ar_on_time_n"),
                     F.count(F.lit(1)).alias("ar_paid_n"), F.sum("days_to_pay").alias("ar_days_sum")))
-    ap_open = wh.ap_items.filter("is_open").groupBy("company").agg(
-        F.sum("amount_usd").alias("open_ap"), sum_if(F.col("days_past_due") > 0, "amount_usd").alias("overdue_ap"),
-        F.count(F.lit(1)).alias("ap_open_items"))
-    ap_per = wh.ap_items.filter(flt.month_pred("invoice_month")).groupBy("company").agg(
-        F.sum("amount_usd").alias("ap_volume"), F.sum("discount_captured_usd").alias("discount_captured"),
-        F.sum("discount_lost_usd").alias("discount_lost"), F.sum("dd_opportunity_usd").alias("dd_opportunity"),
-        F.sum("scf_funded_usd").alias("scf_funded"),
-        sum_if(F.col("early_pay_program") == "Standard", "amount_usd").alias("standard_volume"))
+    ap_open = p.ap_open.groupBy("company").agg(
+        F.sum("amount").alias("open_ap"), F.sum("overdue").alias("overdue_ap"), F.sum("items").alias("ap_open_items"))
+    ap_per = p.ap_period.groupBy("company").agg(
+        F.sum("amount").alias("ap_volume"), F.sum("captured").alias("discount_captured"),
+        F.sum("lost").alias("discount_lost"), F.sum("dd_opportunity").alias("dd_opportunity"),
+        F.sum("scf_funded").alias("scf_funded"),
+        sum_if(F.col("early_pay_program") == "Standard", "amount").alias("standard_volume"))
     inv = (wh.inventory_monthly.filter(F.col("month") == m_to).groupBy("company")
            .agg(F.sum("inventory_value_usd").alias("inv_value"),
                 F.sum(F.col("inventory_value_usd") * F.col("slow_moving_pct")).alias("slow_moving")))
@@ -85,24 +70,18 @@ def _per_company(wh, flt: Filter) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "company", "full"), parts)
 
 
-def _distinct_pairs(df: DataFrame, id_col: str) -> DataFrame:
-    return df.select("company", F.col(id_col).alias("pid")).distinct()
-
-
 def snapshot_subsets(wh, flt: Filter | None = None) -> DataFrame:
     """One row per company subset with the cards of all pages."""
     p = wh.params
     flt = flt or Filter((), p.period_from, p.period_to)
-    members = F.broadcast(subset_members(wh, flt.month_from, flt.month_to))
-    per = _per_company(wh, flt)
-    s = lambda c: F.sum(c)
-    agg = (members.join(per, "company", "left").groupBy("subset_key", "companies").agg(
-        *[s(c).alias(c) for c in per.columns if c != "company"]))
-    cust = (members.join(_distinct_pairs(wh.ar_items.filter("is_open"), "customer_id"), "company")
-            .groupBy("subset_key").agg(F.countDistinct("pid").alias("customers")))
-    supp = (members.join(_distinct_pairs(wh.ap_items.filter("is_open"), "supplier_id"), "company")
-            .groupBy("subset_key").agg(F.countDistinct("pid").alias("suppliers")))
-    out = agg.join(cust, "subset_key", "left").join(supp, "subset_key", "left")
+    shared, per = pages(wh, flt), _per_company(wh, flt)
+    names = shared.names
+    agg = subset_totals(per, names, [], [c for c in per.columns if c != "company"])
+    is_open = F.col("is_open")
+    out = (agg.join(shared.partners("ar", is_open, "customers"), "mask", "left")
+           .join(shared.partners("ap", is_open, "suppliers"), "mask", "left")
+           .join(subsets(wh.spark, names), "mask", "right")
+           .withColumn("subset_key", F.concat("companies", F.lit(f"||{flt.month_from}..{flt.month_to}"))))
     dso = F.round(safe_ratio("dso_num", "dso_den"), 1)
     dpo = F.round(safe_ratio("dpo_num", "dpo_den"), 1)
     dio = F.round(safe_ratio("dio_num", "dio_den"), 1)
@@ -125,21 +104,8 @@ def snapshot_subsets(wh, flt: Filter | None = None) -> DataFrame:
 
 
 def write_snapshot(wh, path: str, flt: Filter | None = None) -> DataFrame:
-    """Write the snapshot as JSON, one folder per page, keyed by subset."""
-    snap = snapshot_subsets(wh, flt)
-    page_cols = {
-        "overview": ["ccc", "dso", "dpo", "dio", "nwc", "ar", "ap", "inventory"],
-        "ar": ["open_ar", "overdue_ar", "overdue_pct", "disputed", "promised", "ar_open_items", "customers",
-               "ar_on_time_pct", "ar_avg_days_to_pay"],
-        "ap": ["open_ap", "overdue_ap", "ap_open_items", "suppliers"],
-        "early-pay": ["ap_volume", "discount_captured", "discount_lost", "dd_opportunity", "scf_funded",
-                      "standard_volume"],
-        "inventory": ["inventory_value", "slow_moving"],
-        "opportunities": ["cash_release", "pnl_impact"],
-        "cash": ["forecast_net"],
-    }
-    long = reduce(DataFrame.unionByName, [
-        snap.select("subset_key", F.lit(page).alias("page"), F.to_json(F.struct(*cols)).alias("payload"))
-        for page, cols in page_cols.items()])
-    long.write.mode("overwrite").partitionBy("page").json(path)
-    return long
+    """Write the page documents as JSON, one folder per page, keyed by subset;
+    from one stored frame.  Returns what was written."""
+    documents = page_documents(wh, flt)
+    documents.write.mode("overwrite").partitionBy("page").json(path)
+    return documents

@@ -80,12 +80,16 @@ def layout(name: str, df: DataFrame) -> DataFrame:
 
 class Warehouse:
     def __init__(self, spark: SparkSession, sf_dir: str | None = None, params: Params = TEST_PARAMS,
-                 journal_path: str | None = None, materialize: bool = True, root: str | None = None):
+                 journal_path: str | None = None, materialize: bool = True, root: str | None = None,
+                 companies: DataFrame | None = None):
+        """``companies``: the company dimension where companies are data, with
+        the columns of ``literals.dim_company``; else the literal one."""
         if sf_dir is None and journal_path is None:
             raise ValueError("need sf_dir (test tables) or journal_path (journal table)")
         self.spark, self.sf_dir, self.params = spark, sf_dir, params
         self.journal_path = journal_path
         self.materialize = materialize
+        self.companies = companies
         base = root or os.path.join(ensure_checkpoint_dir(spark), "ledgerlens-gold")
         self.root = os.path.join(base, uuid.uuid4().hex[:12])
         self._tables: dict[str, DataFrame] = {}
@@ -121,7 +125,7 @@ class Warehouse:
     # ---- literal dimensions ---------------------------------------------
     @property
     def dim_company(self) -> DataFrame:
-        return literals.dim_company(self.spark)
+        return literals.dim_company(self.spark) if self.companies is None else self.companies
 
     @property
     def dim_inventory_category(self) -> DataFrame:

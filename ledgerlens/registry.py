@@ -28,6 +28,7 @@ from ledgerlens.plans import flows as FL
 from ledgerlens.plans import items as IT
 from ledgerlens.plans import kpi as KP
 from ledgerlens.plans import lineage as LI
+from ledgerlens.plans import pages as PG
 from ledgerlens.plans import snapshot as SN
 from ledgerlens.plans.metrics import METRICS, metric_query
 from ledgerlens.plans.warehouse import get_warehouse
@@ -74,6 +75,10 @@ def _stream(name: str):
     return run
 
 
+def _page(name: str):
+    return _wh_fn(lambda wh: PG.page_rows(wh, name))
+
+
 def _sem(metric: str, dims: list[str], where: str | None = None):
     return lambda spark, sf: to_output(metric_query(_wh(spark, sf), [metric], dims, where))
 
@@ -200,6 +205,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "selftest_counts": _wh_fn(LI.selftest_counts),
         # subset snapshot
         "snapshot_subsets": _wh_fn(SN.snapshot_subsets),
+        # every page for every subset, a row a cell, and distinct partners of trailing periods
+        **{f"page_{name.replace('-', '_')}": _page(name) for name in PG.PAGES},
+        "page_trailing_partners": _wh_fn(lambda wh: PG.pages(wh).trailing_partners()),
         # streaming refresh (equals the batch tables)
         "stream_ar_items": _stream("ar_items"),
         "stream_ap_items": _stream("ap_items"),

@@ -89,7 +89,9 @@ def test_snapshot_distinct_counts_not_additive(wh):
 def test_write_snapshot(wh, tmp_path):
     long = write_snapshot(wh, str(tmp_path / "snap"))
     back = wh.spark.read.json(str(tmp_path / "snap"))
-    assert back.count() == long.count() == 8 * 7
+    assert back.count() == long.count() == 8 * 7 + 2
+    assert {r.page for r in back.select("page").distinct().collect()} == {
+        "overview", "cash", "ar", "ap", "early-pay", "inventory", "opportunities", "filters", "lineage"}
 
 
 def test_bundle_copy_audit(wh, tmp_path):
