@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.config import TEST_PARAMS, Params
-from ledgerlens.plans import cash, dims, flows, items, kpi, levers
+from ledgerlens.plans import cash, dims, flows, items, kpi, levers, state_calendar
 from ledgerlens.session import ensure_checkpoint_dir
 from ledgerlens.sources import literals
 from ledgerlens.sources.journal import journal_from_tpch, read_journal
@@ -40,6 +40,8 @@ _LAYOUT = {
     "monthly_flows": [],
     "ap_parts": [],
     "ar_parts": [],
+    "ar_calendar": [],
+    "ap_calendar": [],
     "inventory_monthly": [],
     "wc_monthly_kpi": [],
     "cash_forecast": [],
@@ -178,6 +180,16 @@ class Warehouse:
         """AP rollup by (program, outcome, open flag): a few dozen rows."""
         return self._get("ap_parts", lambda: items.ap_outcome_parts(self.ap_items))
 
+    @property
+    def ar_calendar(self) -> DataFrame:
+        """Dated changes of the open AR items, for any day's aging."""
+        return self._get("ar_calendar", lambda: state_calendar.state_deltas(self.ar_core, "ar"))
+
+    @property
+    def ap_calendar(self) -> DataFrame:
+        """Dated changes of the open AP items, for any day's aging."""
+        return self._get("ap_calendar", lambda: state_calendar.state_deltas(self.ap_core, "ap"))
+
     @property
     def monthly_flows(self) -> DataFrame:
         return self._get("monthly_flows",

@@ -30,6 +30,7 @@ from ledgerlens.plans import kpi as KP
 from ledgerlens.plans import lineage as LI
 from ledgerlens.plans import pages as PG
 from ledgerlens.plans import snapshot as SN
+from ledgerlens.plans import state_calendar as ST
 from ledgerlens.plans.metrics import METRICS, metric_query
 from ledgerlens.plans.warehouse import get_warehouse
 
@@ -220,6 +221,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "asof_ap_items": _wh_fn(lambda wh: IT.ap_status(wh.ap_core, EARLY_AS_OF)),
         "asof_monthly_flows": _wh_fn(early_flows),
         "asof_wc_monthly_kpi": _wh_fn(early_kpi),
+        # open items at every month end, from the state calendar
+        "asof_aging_series": _wh_fn(ST.aging_series),
+        "asof_dunning_series": _wh_fn(ST.dunning_series),
     }
     # metric layer: every metric by company, plus the documented usage shape
     for m, (table, _) in METRICS.items():
