@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import doc_key, key_id, maybe_broadcast, table
+from ledgerlens.llm.common import doc_key, key_id, materialize, maybe_broadcast, table
+from ledgerlens.llm.licence_texts import SPDX_NAMES, TEXTS, TITLES
 
 # Spellings that licence matching takes as equal.
 SPELLINGS = [
@@ -70,9 +71,13 @@ COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER I
 OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-# A line with a copyright statement (after lower case), and what
-# separates words.
-COPYRIGHT_LINE = r"(\n|^)[ \t]*(copyright [0-9(©]|copyright ©|\(c\)|©|all rights reserved)[^\n]*"
+KNOWN += TEXTS + [(name, f"SPDX-License-Identifier: {name}") for name in SPDX_NAMES]
+# A full text also with its title over it.
+KNOWN += [(name, f"{TITLES[name]}\n\n{text}") for name, text in KNOWN if name in TITLES and len(text) > 200]
+# A line with a copyright statement (after lower case, behind
+# comment marks if any), and what separates words.
+COPYRIGHT_LINE = (r"(\n|^)[ \t#*/;%!-]*(copyright [0-9(©]|copyright ©|copyright [^\n]*(19|20)[0-9][0-9]|"
+                  r"copyright the [^\n]*(authors|contributors|developers)|\(c\)|©|all rights reserved)[^\n]*")
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
 
@@ -107,24 +112,43 @@ def builtin(spark: SparkSession) -> DataFrame:
 
 def scan(df: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with ``digest`` and ``license`` (null if unknown) of each entire
-    text; nothing but the known digests moves."""
-    marked = df.withColumn("digest", digest(F.col(text_col)))
-    found = maybe_broadcast(known_digests(known))
-    return (marked.join(found, marked["digest"] == found["known_digest"], "left").drop("known_digest")
-            .withColumnRenamed("licence", "license"))
+    text; nothing but the known digests moves.  Columns of ``df`` of these two
+    names give way to them, all others stay."""
+    marked = df.withColumn("digest", digest(F.col(text_col))).drop("license")
+    found = maybe_broadcast(known_digests(known).select("known_digest", F.col("licence").alias("__found")))
+    joined = marked.join(found, marked["digest"] == found["known_digest"], "left").drop("known_digest")
+    return joined.withColumnRenamed("__found", "license")
+
+
+def first_word(text: Column) -> Column:
+    return F.regexp_extract(F.lower(text), r"[\p{L}\p{N}]+", 0)
+
+
+def possible_first_words(known: DataFrame) -> DataFrame:
+    """``(first)``: the words that a text may begin with if its canonical form
+    is known.  A form begins with the text's first word, or with what a
+    spelling that begins with that word is replaced by; where a copyright line
+    is left out, nothing of a line remains."""
+    begins = known.select(F.split(canonical(F.col("text")), " ")[0].alias("first"))
+    spelt = sorted({a.split(" ")[0] for a, _ in SPELLINGS})
+    more = known.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, spelt))).alias("first"))
+    return begins.unionByName(more).distinct()
 
 
 def scan_lines(df: DataFrame, known: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """``keys`` with ``line_licenses`` (names in order, comma-joined) and
     ``n_license_lines`` (different lines of the text) of the rows that have a
-    line that is a known text.  Lines that match nothing are dropped before the
-    shuffle."""
+    line that is a known text.  Lines whose first word no known text can begin
+    with are not brought into canonical form, and lines that match nothing are
+    dropped before the shuffle."""
     line = F.posexplode(F.split(F.col(text_col), "\n"))
-    lines = df.select(*keys, line.alias("line_no", "line")).filter(F.trim("line") != "")
-    hits = scan(lines, known, "line").filter("license is not null")
+    lines = df.select(*keys, line.alias("__line_no", "__line")).withColumn("__first", first_word(F.col("__line")))
+    words = materialize(possible_first_words(known), "first-words")
+    lines = lines.join(maybe_broadcast(words.withColumnRenamed("first", "__first")), "__first", "left_semi")
+    hits = scan(lines, known, "__line").filter("license is not null")
     return hits.groupBy(*keys).agg(
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"),
-        F.size(F.collect_set("line_no")).cast("long").alias("n_license_lines"))
+        F.size(F.collect_set("__line_no")).cast("long").alias("n_license_lines"))
 
 
 def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,34 @@ def test_op7_equals_sql(spark, write, edges):
     assert by[None] is not None and by[54]["digest"] is not None and by[2]["digest"] is None
 
 
+def test_usual_licence_files_are_found(spark):
+    """With title, comment marks and each form of copyright line; clashing columns."""
+    text = {n: t for n, t in licences.KNOWN if len(t) > 200 and not t.startswith(licences.TITLES.get(n, "?"))}
+    mit = text["MIT"]
+    marked = "\n".join("# " + x for x in ("Copyright 2020 Some One\n" + mit).split("\n"))
+    rows = [("MIT", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + mit), ("MIT", marked),
+            ("MIT", marked.replace("# ", " * ")), ("MIT", "Copyright The Thing Authors\n" + mit),
+            ("MIT", "Copyright Some One 2020\nAll rights reserved.\n" + mit),
+            ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2019, X\n\n" + text["BSD-3-Clause"]),
+            ("GPL-3.0-or-later", "// " + text["GPL-3.0-or-later"].replace("\n", "\n// ")),
+            ("MPL-2.0", "/* " + dict(licences.TEXTS)["MPL-2.0"] + " */"), ("Zlib", text["Zlib"]), ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+            (None, mit + " and more"), (None, "Copyright holders of the world"), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, *r, "x", "y", "z") for i, r in enumerate(rows)],
+                               "id int, expected string, text string, licence string, digest string, license string")
+    got = licences.scan(df, licences.builtin(spark)).collect()
+    assert [r["license"] for r in sorted(got)] == [e for e, _ in rows] and {r["licence"] for r in got} == {"x"}
+
+
+def test_lines_are_passed_over_by_their_first_word_alone(spark):
+    known = spark.createDataFrame([("A", "Licence per cent"), ("B", "noncommercial use"), ("C", "Wilful one")],
+                                  "licence string, text string")
+    lines = ["LICENSE: percent", "non-commercial use", "Non Commercial, use!", "# willful one", "licence per cent", "other",
+             "the noncommercial use", "", "Copyright 2020 licence per cent", "İ wilful one"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)] + [(99, "\n".join(lines))], "id int, text string")
+    got = {r["id"]: (r["line_licenses"], r["n_license_lines"]) for r in licences.scan_lines(df, known, ["id"]).collect()}
+    assert got == {0: ("A", 1), 1: ("B", 1), 2: ("B", 1), 3: ("C", 1), 4: ("A", 1), 99: ("A,B,C", 5)}
+
+
 def test_scan_keeps_columns_and_takes_a_table_of_licences(spark):
     known = spark.createDataFrame([("B", "Some favour"), ("A", "some FAVOR."), ("C", None)], "licence string, text string")
     df = spark.createDataFrame([(1, "Some  favor", "x"), (2, None, "y")], "id long, text string, known string")
