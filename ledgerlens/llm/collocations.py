@@ -62,7 +62,7 @@ BUFFER = 1 << 20          # suffixes of a task that are collapsed at once
 REMEMBERED = 400_000      # words and their ids that a task remembers
 SLICE_BYTES = 1 << 20     # of a text that are split at once
 PARTITION_ROWS = 1 << 20  # suffixes that a sorting task holds, about
-COUNT_ROWS = 8 << 20      # suffixes whose leading words a task counts, about
+COUNT_ROWS = 4 << 20      # suffixes whose leading words a task counts, about
 # A-Z are lower-cased, these bytes end a piece, and a tab parts words as a space does.
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 ENDS = b".,;:!?\n\x0b\x0c\r"
