@@ -12,10 +12,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ledgerlens.functions.filters import Filter
 from ledgerlens.functions.measures import safe_ratio, sum_if, weighted_ratio, sorted_small
 from ledgerlens.plans import dashboard as D
+from ledgerlens.plans.lineage import lineage_counts
 
 
 def _all(wh) -> Filter:
@@ -415,3 +417,68 @@ def argmax_company(wh) -> DataFrame:
         parts.append(k.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
                       .select(F.lit(fact).alias("fact"), "company_code", "company", "dio", "ccc"))
     return parts[0].unionByName(parts[1])
+
+
+# ------------------------------------------------ report pack
+# fact -> (columns that name a row, provenance)
+REPORT = {
+    "kpi_by_company_latest": (["company_code"], "wc_monthly_kpi, latest month"),
+    "kpi_by_company_prior": (["company_code"], "wc_monthly_kpi, same month a year before"),
+    "kpi_total": (["month"], "wc_monthly_kpi, weighted DSO/REVENUE, DPO/PURCHASES, DIO/COGS"),
+    "highest_company": (["fact"], "greatest DIO and CCC in the latest month"),
+    "window": ([], "wc_monthly_kpi"),
+    "ar_open": ([], "ar_items, open"),
+    "ar_all": ([], "ar_items, cleared"),
+    "ar_aging": (["aging_bucket"], "ar_items, open by aging bucket"),
+    "top_overdue_customers": (["customer_name", "credit_risk"], "ar_items, open overdue by customer"),
+    "ap_open": ([], "ap_items, open"),
+    "ap_all": ([], "ap_items, paid, full window"),
+    "ap_latest_month": ([], "ap_items, invoiced in the latest month"),
+    "ap_by_program": (["early_pay_program"], "ap_items by program, full window"),
+    "dd_effective_apr": ([], "ap_items, DD Accepted: captured / (amount x days accelerated / 365)"),
+    "inventory_by_category": (["inventory_category"], "inventory_monthly x dim_inventory_category, latest month"),
+    "cash_13w_by_company": (["company"], "cash_forecast, receipts - AP - payroll - opex"),
+    "cash_13w_net_usd": ([], "sum of cash_13w_by_company"),
+    "cash_release_by_lever": (["lever"], "wc_opportunities"),
+    "cash_release_total": ([], "sum of cash_release_by_lever"),
+    "opportunities": (["company", "lever"], "wc_opportunities"),
+    "lineage_counts": ([], "row counts of sources and item tables"),
+}
+
+
+def _report_fact(wh, fact: str) -> DataFrame:
+    if fact == "kpi_by_company_prior":
+        return fact_kpi_by_company(wh, wh.params.prior_month).select("company_code", "company", "dso", "dpo", "dio", "ccc")
+    if fact == "cash_13w_net_usd":
+        return fact_cash_13w(wh).agg(F.sum("net_usd").alias("net_usd"))
+    if fact == "cash_release_total":
+        return fact_release_by_lever(wh).agg(*[F.sum(c).alias(c) for c in ("cash_release_usd", "pnl_impact_usd")])
+    if fact == "opportunities":
+        return D.opp_rows(wh, _all(wh))
+    return {"kpi_by_company_latest": fact_kpi_by_company, "kpi_total": fact_kpi_total, "highest_company": argmax_company,
+            "window": fact_window, "ar_open": fact_ar_open, "ar_all": fact_ar_all, "ar_aging": fact_ar_aging,
+            "top_overdue_customers": fact_top5_overdue, "ap_open": fact_ap_open, "ap_all": fact_ap_all,
+            "ap_latest_month": fact_ap_latest_month, "ap_by_program": fact_ap_by_program, "dd_effective_apr": fact_dd_apr,
+            "inventory_by_category": fact_inventory_by_category, "cash_13w_by_company": fact_cash_13w,
+            "cash_release_by_lever": fact_release_by_lever, "lineage_counts": lineage_counts}[fact](wh)
+
+
+def report_pack(wh) -> DataFrame:
+    """All facts of the written report with their provenance, one row a value:
+    ``(fact, provenance, row_name, measure, value, label)``.  Numbers are
+    ``value``; texts and dates are ``label``."""
+    parts = []
+    for fact, (names, provenance) in REPORT.items():
+        df = _report_fact(wh, fact)
+        cells = []
+        for f in df.schema.fields:
+            if f.name in names:
+                continue
+            number = isinstance(f.dataType, NumericType)
+            cells.append(F.struct(F.lit(f.name).alias("measure"),
+                                  (F.col(f.name) if number else F.lit(None)).cast("double").alias("value"),
+                                  (F.lit(None) if number else F.col(f.name)).cast("string").alias("label")))
+        parts.append(df.select(F.lit(fact).alias("fact"), F.lit(provenance).alias("provenance"),
+                               F.concat_ws(" ", F.lit("") if not names else names[0], *names[1:]).alias("row_name"),
+                               F.inline(F.array(*cells))))
+    return reduce(DataFrame.unionByName, parts)

@@ -199,6 +199,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fact_cash_13w": _wh_fn(FA.fact_cash_13w),
         "fact_release_by_lever": _wh_fn(FA.fact_release_by_lever),
         "argmax_company": _wh_fn(FA.argmax_company),
+        "report_pack": _wh_fn(FA.report_pack),
         # lineage and audit
         "lineage_counts": _wh_fn(LI.lineage_counts),
         "lineage_products": _wh_fn(LI.lineage_products),
