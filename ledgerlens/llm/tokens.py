@@ -56,6 +56,15 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """``a``, twice as long as often as ``n`` entries need it."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), dtype=a.dtype)
+    out[:len(a)] = a
+    return out
+
+
 class ChunkEncoder:
     """Ids of texts under a byte-level BPE.
 
@@ -64,8 +73,9 @@ class ChunkEncoder:
     chunks encoded apart; repeated chunks are encoded once.  A text where a
     space meets other white space is encoded whole.
 
-    Known chunks have a slot: a stretch of ``pool``.  The slots are forgotten
-    when there are ``CACHE_CHUNKS`` of them, which bounds the memory."""
+    Known chunks have a slot: a stretch of ``pool``.  When there are
+    ``CACHE_CHUNKS`` of them, the half that was met in fewer slices is
+    forgotten, which bounds the memory and keeps what is frequent."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -74,14 +84,28 @@ class ChunkEncoder:
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.token_bytes[i] = len(token)
-        self._forget()
-
-    def _forget(self) -> None:
         self.after_space: dict[str, int] = {}
         self.leading: dict[str, int] = {}
-        self.pool = np.zeros(0, dtype=np.uint32)
-        self.begin = np.zeros(0, dtype=np.int64)
-        self.size = np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(1 << 16, dtype=np.uint32)
+        # of each slot: first place in the pool, length, slices that met it
+        self.begin, self.size, self.met = (np.zeros(1 << 14, dtype=np.int64) for _ in range(3))
+        self.slots = self.pooled = 0
+
+    def _forget(self) -> None:
+        """Keep the ``CACHE_CHUNKS // 2`` slots met most often, the later of a
+        tie; their counts are halved, so that what was frequent once ages."""
+        often = np.argsort(self.met[:self.slots], kind="stable")[-(CACHE_CHUNKS // 2):]
+        keep = np.sort(often)
+        place = np.full(self.slots, -1, dtype=np.int64)
+        place[keep] = np.arange(len(keep))
+        moved = place.tolist()
+        for name in ("after_space", "leading"):
+            known = getattr(self, name)
+            setattr(self, name, {w: moved[i] for w, i in known.items() if moved[i] >= 0})
+        pool, size, met = self._ids(keep), self.size[keep], self.met[keep] // 2
+        self.slots = self.pooled = 0
+        self._add(pool, size)
+        self.met[:self.slots] = met
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,7 +116,7 @@ class ChunkEncoder:
         runs = self._plain([" " + " ".join(words[i:i + JOINED]) for i in range(0, len(words), JOINED)])
         ids = np.fromiter(chain.from_iterable(runs), dtype=np.int64, count=sum(map(len, runs)))
         at = np.cumsum(self.token_bytes[ids])
-        ends = np.cumsum(np.fromiter((1 + len(w.encode()) for w in words), dtype=np.int64, count=len(words)))
+        ends = np.cumsum(1 + pc.binary_length(pa.array(words, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64))
         cuts = np.searchsorted(at, ends)
         if len(words) and not (cuts[-1] < len(at) and (at[cuts] == ends).all()):
             raise ValueError("a token runs over a space: not a byte-level vocabulary")
@@ -105,35 +129,46 @@ class ChunkEncoder:
 
     def _add(self, fresh: np.ndarray, size: np.ndarray) -> range:
         """Slots of new chunks."""
-        first = len(self.size)
-        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.pool = np.concatenate([self.pool, fresh])
-        return range(first, len(self.size))
+        first, at = self.slots, self.pooled
+        self.slots, self.pooled = first + len(size), at + len(fresh)
+        self.pool = _room(self.pool, self.pooled)
+        self.begin, self.size, self.met = (_room(a, self.slots) for a in (self.begin, self.size, self.met))
+        self.pool[at:self.pooled] = fresh
+        self.begin[first:self.slots] = at + np.cumsum(size) - size
+        self.size[first:self.slots] = size
+        self.met[first:self.slots] = 0
+        return range(first, self.slots)
 
     def _slots(self, known: dict[str, int], words: list[str], encode) -> np.ndarray:
         """The slot of each word; -1 for one that may not stand alone."""
         got = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         miss = [i for i in np.flatnonzero(got < 0).tolist()
-                if words[i] and not words[i][0].isspace() and not words[i][-1].isspace()]
+                if words[i] and not (words[i][0].isspace() or words[i][-1].isspace())]
         new = [words[i] for i in miss]
         slots = self._add(*encode(new))
         got[miss] = slots
         known.update(zip(new, slots))
+        self.met[got[got >= 0]] += 1
         return got
 
+    def _ids(self, slots: np.ndarray) -> np.ndarray:
+        """The ids in the slots, in a row."""
+        size = self.size[slots]
+        last = np.cumsum(size)
+        return self.pool[np.repeat(self.begin[slots] - (last - size), size) + np.arange(last[-1] if len(last) else 0)]
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """``(ids of all texts in a row, each with the end id, number of ids of
         each)``."""
         n = len(texts)
-        if len(self.size) > CACHE_CHUNKS:
+        if self.slots > CACHE_CHUNKS:
             self._forget()
         parts = pc.split_pattern(texts, " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         coded = parts.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
         first = offsets[:-1]
         lead, which = np.unique(index[first], return_inverse=True)
         slots = self._slots(self.after_space, words, self._joined)[index]
@@ -141,10 +176,8 @@ class ChunkEncoder:
         whole = np.flatnonzero(np.minimum.reduceat(slots, first) < 0) if n else []
         end = self._add(np.array([end_id], dtype=np.uint32), np.ones(1, dtype=np.int64))[0]
         slots = np.insert(np.maximum(slots, 0), offsets[1:], end)
-        size = self.size[slots]
-        last = np.cumsum(size)
-        ids = self.pool[np.repeat(self.begin[slots] - (last - size), size) + np.arange(last[-1] if n else 0)]
-        counts = np.add.reduceat(size, first + np.arange(n)) if n else np.zeros(0, np.int64)
+        ids = self._ids(slots)
+        counts = np.add.reduceat(self.size[slots], first + np.arange(n)) if n else np.zeros(0, np.int64)
         if len(whole):
             pieces = np.split(ids, np.cumsum(counts)[:-1])
             for i, v in zip(whole, self._plain([texts[int(i)].as_py() for i in whole])):
