@@ -8,11 +8,20 @@ expected number of copies), near 1, such that the expected domain totals
     sum over documents of  r * tokens * posterior(domain)
 
 match the targets.  That is least squares in as many unknowns as documents,
-solved by projected gradient: with the residual e of the totals (one number a
-domain) and the Gram matrix H = sum of tokens * p p', every document steps to
-max(0, r + p . H^-1 e) by itself.  A step is one aggregation over the narrow
-table of posteriors, of which a vector of the domains' size comes back; the
-rates themselves never leave the executors.
+solved by projected gradient.  With the residual e of the totals (one number a
+domain) every document steps to max(0, r + p . d) by itself.  The plain step
+d = e / L, where L is the largest eigenvalue of the Gram matrix (sum of tokens
+* p p'), never makes the squares larger.  Longer ones are tried beside it: 16
+times the plain step, and a Newton step, whose Gram matrix is that of the rows
+with a rate above 0, at three lengths.  One aggregation over the narrow table
+of posteriors gives the residual and Gram matrix after each of them, and the
+one with the least squares is taken.  The rates themselves never leave the
+executors; they are a fold over the steps taken.
+
+The fit ends when every total is within ``TOLERANCE``, or when the plain step
+moves the rates by less than ``STILL`` (root mean square over tokens): then
+the conditions of a minimum hold, and the targets cannot be reached by any
+rates.  ``shortfall`` gives what each domain lacks, as a share of all tokens.
 
 Tokens are the letter, digit and sign runs of ``features``.  Defined results:
 a null or empty text has no tokens, the posterior of the bias alone and a rate
@@ -40,8 +49,13 @@ from ledgerlens.llm.toxicity import MODEL_LIMIT_BYTES, training_rows
 TARGETS = {"clean": 0.90, "low": 0.09, "toxic": 0.01}
 MAX_TRAINING_ROWS = 6_000
 TRAINING = features.Ftrl(passes=3)
-MAX_STEPS = 30
 TOLERANCE = 1e-4
+STILL = 1e-4
+# An end for targets out of reach whose rates still creep; the shortfall shows it.
+MAX_STEPS = 100
+PLAIN_LENGTHS = (1.0, 16.0)
+NEWTON_LENGTHS = (1.0, 0.5, 0.25)
+NO_MASS = 1e-6              # directions of the Gram matrix below this share of its largest have no tokens to move
 FIT_SCHEMA = "domain int, places binary, weights binary, bias double"
 
 
@@ -102,45 +116,81 @@ def posteriors(docs: DataFrame, models: list[features.Sparse]) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, tie long, n_tokens long, p array<double>")
 
 
+def _rates(steps: list[np.ndarray], p: list[Column]) -> Column:
+    """The rate after ``steps``, from 1: a fold, so that the expression is of
+    one size however many steps there are."""
+    taken = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
+    return F.aggregate(taken, F.lit(1.0), lambda r, s: _step(r, p, [s[d] for d in range(len(p))])) if steps else F.lit(1.0)
+
+
+def _step(r: Column, p: list[Column], step: list[Column]) -> Column:
+    return F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, [x * s for x, s in zip(p, step)], r))
+
+
 def fit_rates(members: DataFrame, shares: list[float], max_steps: int = MAX_STEPS,
               tolerance: float = TOLERANCE) -> tuple[Column, list[float]]:
-    """``(rate, residuals)``: the rate of a row of ``members`` (``n_tokens``,
-    ``p``) as a column, and each domain's shortfall as a share of all tokens.
-    The start is r = 1 for all.  It stops within ``tolerance``, or after
-    ``max_steps`` (targets that no mix can reach leave a residual)."""
+    """``(rate, shortfall)``: the rate of a row of ``members`` (``n_tokens``,
+    ``p``) as a column, and what each domain lacks as a share of all tokens.
+    The start is r = 1 for all."""
     k = len(shares)
     p, n = [F.col("p")[d] for d in range(k)], F.col("n_tokens")
-    sums = [F.sum(n * p[a] * p[b]).alias(f"h{a}_{b}") for a in range(k) for b in range(a, k)]
-    first = members.agg(F.sum(n).alias("total"), *sums).first()
-    total = float(first["total"] or 0)
-    rate = F.lit(1.0)
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+
+    def outcomes(steps: list[np.ndarray], tries: list[np.ndarray]) -> tuple[list[tuple], float]:
+        """Totals and Gram matrix of the positive rates after each of
+        ``tries``, and how far the first moves the rates."""
+        narrow = members.select(n.alias("n"), *[x.alias(f"p{d}") for d, x in enumerate(p)],
+                                _rates(steps, p).alias("r"))
+        q = [F.col(f"p{d}") for d in range(k)]
+        tried = narrow.select("*", *[_step(F.col("r"), q, [F.lit(float(x)) for x in t]).alias(f"r{i}")
+                                     for i, t in enumerate(tries)])
+        sums = [F.sum((F.col("r0") - F.col("r")) ** 2 * F.col("n")), F.sum("n")]
+        for i in range(len(tries)):
+            live = F.when(F.col(f"r{i}") > 0, F.col("n")).otherwise(0)
+            sums += [F.sum(F.col(f"r{i}") * F.col("n") * x) for x in q]
+            sums += [F.sum(live * q[a] * q[b]) for a, b in pairs]
+        moved, total, *got = [float(x or 0) for x in tried.agg(*sums).first()]
+        out = []
+        for i in range(len(tries)):
+            own = got[i * (k + len(pairs)):(i + 1) * (k + len(pairs))]
+            gram = np.zeros((k, k))
+            for (a, b), x in zip(pairs, own[k:]):
+                gram[a, b] = gram[b, a] = x
+            out.append((np.array(own[:k]), gram))
+        return out, (moved / total) ** 0.5 if total else 0.0
+
+    steps: list[np.ndarray] = []
+    [(got, gram)], _ = outcomes(steps, [np.zeros(k)])
+    total = float(got.sum())  # posteriors add up to 1
     if not total:
-        return rate, [0.0] * k
-    gram = np.array([[first[f"h{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)])
-    inverse = np.linalg.inv(gram + np.eye(k) * 1e-6 * np.trace(gram))
+        return F.lit(1.0), [0.0] * k
+    largest = np.linalg.eigvalsh(gram)[-1]
     target = np.array(shares) / sum(shares) * total
-    best, best_rate, best_miss = np.inf, rate, target
-    for _ in range(max_steps):
-        got = members.agg(*[F.sum(rate * n * p[d]) for d in range(k)]).first()
-        miss = target - np.array(got, dtype=float)
-        if np.abs(miss).max() < best:
-            best, best_rate, best_miss = np.abs(miss).max(), rate, miss
-        if np.abs(miss).max() <= tolerance * total:
+    miss = target - got
+    while len(steps) < max_steps and np.abs(miss).max() > tolerance * total:
+        newton = np.linalg.pinv(gram, rcond=NO_MASS, hermitian=True) @ miss
+        tries = [*[miss / largest * x for x in PLAIN_LENGTHS], *[newton * x for x in NEWTON_LENGTHS]]
+        ends, moved = outcomes(steps, tries)
+        if moved <= STILL:
             break
-        step = inverse @ miss
-        rate = F.greatest(F.lit(0.0), rate + reduce(lambda a, b: a + b, [p[d] * float(step[d]) for d in range(k)]))
-    return best_rate, (best_miss / total).tolist()
+        best = min(range(len(tries)), key=lambda i: ((target - ends[i][0]) ** 2).sum())
+        steps.append(tries[best])
+        got, gram = ends[best]
+        miss = target - got
+    return _rates(steps, p), (miss / total).tolist()
 
 
 def plan_mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
-    """``(doc_id, tie, n_tokens, p, rate, copies)`` of every document.
-    ``copies`` is the rate rounded up or down by a hash of the document, so
-    that its expectation is the rate."""
+    """``(doc_id, tie, n_tokens, p, rate, copies, shortfall)`` of every
+    document.  ``copies`` is the rate rounded up or down by a hash of the
+    document, so that its expectation is the rate; ``shortfall`` is the same
+    in all rows: what each domain lacks after the fit, as a share of all
+    tokens (below 0: what it has too much)."""
     domains = list(targets)
     members = materialize(posteriors(docs, train(docs, labels, domains)), "posteriors")
-    rate, _ = fit_rates(members, [targets[d] for d in domains])
+    rate, shortfall = fit_rates(members, [targets[d] for d in domains])
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", "tie", F.lit("copies")), 11) / float(1 << 53)
-    rated = members.withColumn("rate", rate)
+    rated = members.withColumn("rate", rate).withColumn("shortfall", F.array(*map(F.lit, shortfall)))
     return rated.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int"))
                             .cast("int"))
 
@@ -161,4 +211,5 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
 def op2_soft_membership_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     shares = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(TARGETS)]
-    return plan.select("doc_id", "n_tokens", *shares, "rate", "copies")
+    lacks = [F.col("shortfall")[i].alias(f"shortfall_{d}") for i, d in enumerate(TARGETS)]
+    return plan.select("doc_id", "n_tokens", *shares, "rate", "copies", *lacks)
