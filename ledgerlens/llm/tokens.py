@@ -44,8 +44,8 @@ END_ID = 2
 SHARD_IDS = 1 << 19
 # Texts tokenized at once, and chunks whose ids a worker remembers.
 BATCH_BYTES = 2 << 20
-CACHE_CHUNKS = 300_000
-JOINED = 256  # new chunks that are encoded in one call
+CACHE_CHUNKS = 500_000
+JOINED = 32  # new chunks that are encoded in one call
 
 SHARD_SCHEMA = "part int, seq int, n_ids long, doc_ids array<long>, n_tokens array<long>, ids binary"
 DOC_SCHEMA = "part int, seq int, doc_id long, before long, n_tokens long, ids_crc32 long"
