@@ -3,19 +3,21 @@
 A benchmark text ("phrase") has as windows its runs of ``WINDOW`` consecutive
 words (a shorter phrase is one window).  A window is found by its rarest words:
 
-1. ``term_counts``: how often each benchmark word occurs in all documents.  The
+1. ``split_words``: every text is split once, and its words' hashes are stored;
+   all that follows reads those.
+2. ``term_counts``: how often each benchmark word occurs in all documents.  The
    words of a document are joined map-side to the benchmark's vocabulary, so
    the shuffle holds one partial count per word and task.
-2. ``anchors``: each window keeps the places of its ``ANCHORS`` rarest pairs
+3. ``anchors``: each window keeps the places of its ``ANCHORS`` rarest pairs
    of neighbours; a pair is as rare as its rarer word.
-3. ``postings``: those (document, pair, position) of the anchor pairs only,
+4. ``postings``: those (document, pair, position) of the anchor pairs only,
    written to the shared folder.  Keying a posting by the word and the next one
    intersects the two lists of a pair where the text is read.
-4. ``candidates``: the postings of a phrase's anchors, moved back by their
-   place in the phrase, meet in (document, phrase, offset); a window whose
+5. ``candidates``: the postings of a window's anchors, moved back by their
+   place in the phrase, meet in (document, window, offset); a window whose
    anchors are all there is a candidate.  A frequent word never gathers its
    postings in one task, since they are grouped by document and offset.
-5. ``phrase_matches``: candidates are compared word by word with the text of
+6. ``phrase_matches``: candidates are compared word by word with the text of
    the few documents that have any.
 
 A proximity match is a place that has a window's words in any order, one of
@@ -25,8 +27,11 @@ the items met so as columns of their own; an exact match is one of them.  What
 counts as contaminated, and goes in ``drop_contaminated``, is exact matches.
 
 Words are looked up by their 64-bit hash, and compared as text in the end (by
-hash alone in proximity matches).  All of it is DataFrame functions.  Frames that follow the benchmark's size are
-broadcast only after their size was measured, and joined by shuffle beyond it.
+hash alone in proximity matches).  All of it is DataFrame functions.  Frames
+that follow the benchmark's size are broadcast only after their size was
+measured, and joined by shuffle beyond it.  The words of the corpus then pass a
+bitmap of fixed size first (``_sift``), so that what is shuffled is what may be
+wanted and not every word.
 
 Documents are told apart by id and hash of the text.  Defined results: a null
 text has no words, and so no hit; rows that repeat id and text get the same
@@ -47,9 +52,13 @@ WINDOW = 10
 ANCHORS = 2
 # A window of so many different words may lack one of them in a proximity match.
 LOOSE = 8
-# A word is a run of characters other than these (A-Z are lower
-# case by then).
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Bits of the bitmap that words pass where what is wanted is too large to
+# broadcast: 16 MB in rows of 4 KB, whatever the benchmark's size.
+SIFT_BITS = 1 << 27
+SIFT_ROW = 1 << 15
+# A word is a run of these characters (A-Z are lower case by
+# then), which are all but \x00-\x2F, \x3A-\x60 and \x7B-\x7F.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
@@ -78,16 +87,17 @@ def places(ph: DataFrame) -> DataFrame:
             .select("pid", "place", F.xxhash64("word").alias("term")))
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """``(doc, term)`` of every word: its hash."""
-    every = docs.select("doc", F.explode(words(F.col("text"))).alias("word"))
-    return every.select("doc", F.xxhash64("word").alias("term"))
+def split_words(docs: DataFrame) -> DataFrame:
+    """``(doc, n_words, h)``, stored: the hashes of a text's words in order."""
+    hashes = docs.select("doc", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    return materialize(hashes.select("doc", F.size("h").cast("long").alias("n_words"), "h"), "words")
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(term, n)``: occurrences of the terms in all documents."""
+def term_counts(split: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(term, n)``: occurrences of the terms in all texts of ``split``."""
     known = maybe_broadcast(terms.select("term").distinct())
-    return tokens(docs).join(known, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return (split.select(F.explode("h").alias("term")).join(known, "term").groupBy("term")
+            .agg(F.count(F.lit(1)).alias("n")))
 
 
 def _window_places(terms: DataFrame, window: int) -> DataFrame:
@@ -128,44 +138,66 @@ def anchor_keys(windows: DataFrame, terms: DataFrame) -> DataFrame:
             .select("pid", "place", "single", key.alias("key")))
 
 
-def postings(docs: DataFrame, keys: DataFrame, near: DataFrame | None = None, within: int = WINDOW) -> DataFrame:
+def _bit(key: Column) -> Column:
+    return F.pmod(key, F.lit(SIFT_BITS))
+
+
+def _sift(looks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``looks`` without most rows whose key is not in ``wanted``, and with all
+    whose key is: a bit per key modulo ``SIFT_BITS``, in rows of 512 longs."""
+    bit = wanted.select(_bit(F.col("key")).alias("bit")).distinct()
+    word = bit.groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    row = word.groupBy((F.col("word") / (SIFT_ROW // 64)).cast("int").alias("row")).agg(
+        F.map_from_entries(F.collect_list(F.struct((F.col("word") % (SIFT_ROW // 64)).alias("at"), "bits")))
+        .alias("found"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(SIFT_ROW // 64 - 1)),
+                        lambda i: F.coalesce(F.try_element_at("found", i), F.lit(0).cast("long")))
+    rows = F.broadcast(materialize(row.select("row", every.alias("bits")), "sift"))
+    place = _bit(F.col("key"))
+    bits = F.get("bits", (F.pmod(place, F.lit(SIFT_ROW)) / 64).cast("int"))
+    return (looks.join(rows, (place / SIFT_ROW).cast("int") == rows["row"])
+            .filter(F.getbit(bits, (F.pmod(place, F.lit(64))).cast("int")) == 1).drop("row", "bits"))
+
+
+def postings(split: DataFrame, keys: DataFrame, near: DataFrame | None = None, within: int = WINDOW) -> DataFrame:
     """``(doc, key, pos, near_pid)``, stored.  Each word is looked up by its
     own hash (side 0) and by that of it and the next one (side 1), in one pass
     over the texts.  A row without ``near_pid`` is a posting of an anchor
     (``keys``).  One with it is a place that has a window's words, in any
     order, within ``within`` words before or after a word of ``near`` (from
-    ``near_windows``).  A word's surroundings are cut from its own text, so
-    that nothing is shuffled for them."""
-    split = docs.select("doc", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    ``near_windows``).  A word's surroundings are cut from its own text once it
+    is known to be wanted, or may be (``_sift``)."""
     every = split.select("doc", F.posexplode("h").alias("pos", "term"), "h")
     pair = F.xxhash64("term", F.get("h", F.col("pos") + 1))
-    begin = F.greatest(F.col("pos") - within, F.lit(0))
-    around = F.slice("h", begin + 1, F.col("pos") + within + 1 - begin)
-    looks = (every.select("doc", "pos", "h", F.posexplode(F.array("term", pair)).alias("side", "key"))
-             .select("doc", "pos", "side", "key", F.when(F.col("side") == 0, around).alias("around")))
+    looks = every.select("doc", "pos", "h", F.posexplode(F.array("term", pair)).alias("side", "key"))
     wanted = keys.select("key", F.when(F.col("single"), 0).otherwise(1).alias("at"), F.lit(None).cast("long")
                          .alias("near_pid"), F.lit(0).alias("need"), F.lit(None).cast("array<bigint>").alias("terms"))
     if near is not None:
         wanted = wanted.unionByName(near.select("key", F.lit(0).alias("at"), F.col("pid").alias("near_pid"), "need",
                                                 "terms"))
-    wanted = materialize(wanted.distinct(), "wanted")
-    found = looks.join(maybe_broadcast(wanted), "key").filter(F.col("side") == F.col("at"))
-    whole = F.col("near_pid").isNull() | (F.size(F.array_intersect("terms", "around")) >= F.col("need"))
+    stored = materialize(wanted.distinct(), "wanted")
+    wanted = maybe_broadcast(stored)
+    begin = F.greatest(F.col("pos") - within, F.lit(0))
+    around = F.slice("h", begin + 1, F.col("pos") + within + 1 - begin)
+    if wanted is stored:
+        nearby = F.when(F.col("side") == 0, around)
+        looks = _sift(looks, stored).select("doc", "pos", "side", "key", nearby.alias("around"))
+        around = F.col("around")
+    found = looks.join(wanted, "key").filter(F.col("side") == F.col("at"))
+    whole = F.col("near_pid").isNull() | (F.size(F.array_intersect("terms", around)) >= F.col("need"))
     return materialize(found.filter(whole).select("doc", "key", "pos", "near_pid"), "postings")
 
 
 def candidates(stored: DataFrame, keys: DataFrame, windows: DataFrame) -> DataFrame:
-    """``(doc, pid, offset, windows)``: windows all of whose anchors have a
-    posting at the same offset (document position less place in the phrase)."""
-    aligned = (stored.join(maybe_broadcast(keys.drop("single")), "key")
-               .select("doc", "pid", (F.col("pos") - F.col("place")).alias("offset"), "place")
-               .groupBy("doc", "pid", "offset").agg(F.collect_set("place").alias("met")))
-    by_phrase = windows.groupBy("pid").agg(F.collect_list(F.struct("start", "length", "places")).alias("all"))
-    whole = F.filter("all", lambda w: (F.size(F.array_except(w["places"], F.col("met"))) == 0)
-                     & (F.col("offset") + w["start"] >= 0))
-    return (aligned.join(maybe_broadcast(by_phrase), "pid")
-            .select("doc", "pid", "offset", F.transform(whole, lambda w: F.struct(w["start"], w["length"]))
-                    .alias("windows")).filter(F.size("windows") > 0))
+    """``(doc, pid, offset, start, length)``: windows all of whose anchors have
+    a posting at the same offset (document position less place in the phrase)."""
+    begun = windows.select("pid", "start", "length", F.size("places").alias("asked"), F.explode("places").alias("place"))
+    looked = materialize(keys.drop("single").join(begun, ["pid", "place"]), "looked")
+    offset = F.col("pos") - F.col("place")
+    return (stored.join(maybe_broadcast(looked), "key").filter(offset + F.col("start") >= 0)
+            .groupBy("doc", "pid", offset.alias("offset"), "start", "length", "asked")
+            .agg(F.size(F.collect_set("place")).alias("met")).filter("met = asked").drop("met", "asked"))
 
 
 def _with_words(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -192,24 +224,25 @@ def near_windows(terms: DataFrame, counts: DataFrame, window: int = WINDOW) -> D
                     (size - lacking).alias("need"), F.col("w.term").alias("terms")))
 
 
-def matches(docs: DataFrame, ph: DataFrame, window: int = WINDOW, k: int = ANCHORS,
-            within: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+def matches(docs: DataFrame, ph: DataFrame, window: int = WINDOW, k: int = ANCHORS, within: int | None = None,
+            split: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """``(phrase_matches, proximity_matches)``, the latter only if ``within``
-    is given: both take the same counts and the same pass over the texts."""
+    is given: both take the same counts and the same pass over the words
+    (``split``, from ``split_words``)."""
+    split = split_words(docs) if split is None else split
     terms = materialize(places(ph), "terms")
-    counts = materialize(term_counts(docs, terms), "counts")
+    counts = materialize(term_counts(split, terms), "counts")
     windows = materialize(anchors(terms, counts, window, k), "windows")
     keys = materialize(anchor_keys(windows, terms), "anchors")
     near = None if within is None else near_windows(terms, counts, window)
-    stored = postings(docs, keys, near, within or 0)
+    stored = postings(split, keys, near, within or 0)
     found = materialize(candidates(stored.filter("near_pid is null"), keys, windows), "candidates")
     texts = _with_words(docs, found.select("doc").distinct())
-    same = F.filter("windows", lambda w: F.slice("text_words", F.col("offset") + w["start"] + 1, w["length"])
-                    == F.slice("words", w["start"] + 1, w["length"]))
-    phrase_words = maybe_broadcast(ph.select("pid", "words").distinct())
-    exact = (found.join(texts, "doc").join(phrase_words, "pid")
-             .select("doc", "pid", "offset", F.explode(same).alias("w"))
-             .select("doc", "pid", (F.col("offset") + F.col("w.start")).alias("pos"), F.col("w.length").alias("length")))
+    part = F.slice("words", F.col("start") + 1, F.col("length"))
+    asked = (found.join(maybe_broadcast(ph.select("pid", "words").distinct()), "pid")
+             .select("doc", "pid", (F.col("offset") + F.col("start")).alias("pos"), "length", part.alias("asked")))
+    exact = (asked.join(texts, "doc").filter(F.slice("text_words", F.col("pos") + 1, F.col("length")) == F.col("asked"))
+             .select("doc", "pid", "pos", "length"))
     if within is None:
         return exact, None
     return exact, (stored.filter("near_pid is not null")
@@ -235,14 +268,14 @@ def _items(found: DataFrame, ph: DataFrame, name: str) -> DataFrame:
     return named.groupBy("doc").agg(F.array_sort(F.collect_set("item")).alias(name))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                  within: int | None = None) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, within: int | None = None,
+                  split: DataFrame | None = None) -> DataFrame:
     """``(doc, n_hit, n_items, items)`` of the documents that hold a window of
     an item: words hit, items met, their ids sorted as strings.  If ``within``
     is given, also ``near_items``, the ids of the items met by proximity, and
     the documents that have only such."""
     ph = materialize(phrases(benchmark), "phrases")
-    exact, near = matches(docs, ph, window, within=within)
+    exact, near = matches(docs, ph, window, within=within, split=split)
     exact = materialize(exact, "matches")
     end = F.col("pos") + F.col("length")
     so_far = F.max(end).over(W.partitionBy("doc").orderBy("pos", "length")
@@ -267,8 +300,9 @@ def _sha256(items: str) -> Column:
 
 def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = keyed(table(spark, sf_dir, "documents"))
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), within=WINDOW)
-    every = docs.select("doc", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    split = split_words(docs)
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), within=WINDOW, split=split)
+    every = split.select("doc", "n_words")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return (every.join(found, "doc", "left")
             .select(key_id("doc").alias("doc_id"), "n_words", hit.alias("n_hit"),

@@ -78,6 +78,22 @@ def test_shuffle_joins_give_the_same_rows(spark, write, edges, monkeypatch):
     assert result(spark, sf) == want
 
 
+def test_a_large_benchmark_shuffles_what_may_be_wanted(spark, write, edges, monkeypatch):
+    """Beyond the broadcast limit, words pass a bitmap before they are shuffled."""
+    docs, items = near_tables(random.Random(7))
+    sf = write(documents=docs + edges, benchmark=items)
+    split = decontam.split_words(decontam.keyed(spark.read.parquet(f"{sf}/documents.parquet")))
+    every = split.select("doc", F.posexplode("h").alias("pos", "key"))
+    wanted = every.filter("pmod(key, 7) = 0").select("key").distinct()
+    keys = {r[0] for r in wanted.collect()}
+    passed = decontam._sift(every, wanted).collect()
+    assert sorted(tuple(r) for r in passed) == sorted(tuple(r) for r in every.collect() if r["key"] in keys)
+    want = result(spark, sf), near_result(spark, sf)
+    monkeypatch.setattr(decontam, "maybe_broadcast", lambda df, *a: df)
+    monkeypatch.setattr(decontam, "SIFT_BITS", 1 << 15)  # crowded: some words pass that are not wanted
+    assert (result(spark, sf), near_result(spark, sf)) == want
+
+
 def test_proximity(spark, write):
     docs = [(1, "the quick brown fox jumps"), (2, "fox the x x quick"), (3, "quick " + "x " * 30 + "fox the"),
             (4, "fox fox quick"), (5, None)]
