@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.config import Params
@@ -26,6 +28,7 @@ BANK_COLUMNS = ["company_code", "company", "bank_account_id", "house_bank", "acc
                 "balance_usd", "is_demo_enrichment"]
 FORECAST_COLUMNS = ["company_code", "company", "week_no", "week_end", "ar_receipts_usd", "ap_payments_usd",
                     "payroll_usd", "other_opex_usd"]
+DUE_KEYS = ["side", "company_code", "invoice_date", "expected"]
 
 
 def weeks(spark: SparkSession, params: Params) -> DataFrame:
@@ -62,6 +65,26 @@ def _forecast_week(date_col: str, params: Params):
     return F.least(F.greatest(F.ceil(days / F.lit(7.0)), F.lit(1)), F.lit(params.forecast_weeks)).cast("int")
 
 
+def due_parts(ar: DataFrame, ap: DataFrame) -> DataFrame:
+    """Amounts of the AR and AP cores by ``DUE_KEYS``.  Additive; its size
+    follows the calendar and the payment terms, not the items."""
+    def part(core: DataFrame, side: str, day: str) -> DataFrame:
+        return (core.select(F.lit(side).alias("side"), "company_code", "invoice_date", F.col(day).alias("expected"),
+                            "amount_usd").groupBy(*DUE_KEYS).agg(F.sum("amount_usd").cast(MONEY).alias("amount_usd")))
+    return part(ar, "ar", "expected_clearing_date").unionByName(part(ap, "ap", "expected_payment_date"))
+
+
+def open_parts(due: DataFrame, as_of: dt.date) -> tuple[DataFrame, DataFrame]:
+    """What was open on ``as_of`` of ``due_parts``: AR and AP frames that
+    ``cash_forecast`` takes in place of the items."""
+    there = due.filter((F.col("invoice_date") <= F.lit(as_of)) & (F.col("expected") > F.lit(as_of)))
+
+    def side(name: str, day: str) -> DataFrame:
+        return there.filter(F.col("side") == name).select("company_code", F.col("expected").alias(day), "amount_usd",
+                                                          F.lit(True).alias("is_open"))
+    return side("ar", "expected_clearing_date"), side("ap", "expected_payment_date")
+
+
 def cash_forecast(spark: SparkSession, params: Params, ar: DataFrame, ap: DataFrame, flows: DataFrame,
                   dim_company: DataFrame) -> DataFrame:
     """Open AR receipts and AP payments by forecast week (everything later than
