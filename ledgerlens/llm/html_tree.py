@@ -1,6 +1,7 @@
 """HTML extraction: a tree-structured graphical model over the DOM.
 
-Every block element is a variable: content or not.  Three kinds of factors:
+Every block element, and every inline one that is hidden or named as an advert
+or share link, is a variable: content or not.  Three kinds of factors:
 
 * edge: parent's and child's label, given both elements' groups (``GROUPS``:
   chrome, main, paragraph, list, box);
@@ -19,11 +20,14 @@ size.  Smoothing makes an unseen pair of groups prefer equal labels, so that
 text in unnamed boxes is decided by itself and its surroundings.
 
 Blocks: a run of text without a block tag inside.  White space in it becomes
-one space, ``br`` too; blocks are joined by one line feed in page order.
+one space, ``br`` too; blocks are joined by one line feed in page order.  Text
+of ``svg`` and ``math`` is text of the block around it.  What a browser does not
+show (scripts, styles, the fallback inside ``video`` and its like) is not read.
 
 Defined results: null or empty html, and html without content, give an empty
 text; markup that is cut short is read as far as it goes; end tags without a
-start are skipped; pages of one id are each extracted; an empty table gives no
+start are skipped; an unclosed element loses nothing that follows it, but for
+``script`` and ``style``, which HTML lets run to the end of the page; pages of one id are each extracted; an empty table gives no
 rows; further columns are left out.  No text is capped.
 """
 
@@ -48,11 +52,16 @@ MAX_TRAINING_PAGES = 4_000
 
 # HTML's elements by role, and words of class and id names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style template noscript iframe title textarea svg math object canvas audio video".split())
-INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s
+CODE = frozenset("script style".split())
+RAW = frozenset("title textarea".split())
+UNSHOWN = frozenset("template noscript iframe object canvas audio video desc metadata".split())
+FOREIGN = frozenset("""math annotation menclose merror mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace
+    msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics svg circle clippath defs ellipse g
+    line lineargradient mask path polygon polyline radialgradient rect stop symbol text textpath tspan use""".split())
+INLINE = FOREIGN | frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s
     samp small span strike strong sub sup time tt u var wbr""".split())
 CHROME_TAGS = frozenset("""head nav header footer aside form menu dialog button select option fieldset legend label
-    input address""".split())
+    input""".split())
 MAIN_TAGS = frozenset("article main".split())
 PARAGRAPH_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 LIST_TAGS = frozenset("ul ol li dl dt dd table thead tbody tfoot tr td th caption".split())
@@ -61,6 +70,11 @@ CHROME_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising
     navbar navigation newsletter notice notices overlay pager pagination popup privacy promo promoted promotion related
     replies reply respond search share sharing sidebar signup social sponsor sponsored sponsors subscribe subscription
     teaser toolbar topbar widget widgets""".split())
+SET_OFF_WORDS = frozenset("ad ads adv advert adverts advertisement advertising promoted share sharing sponsored".split())
+# Chrome only by itself or with one of the second kind; with a main word, a widget may be either.
+RELATED, RELATED_TO = "related", frozenset("""article articles content items links news pages posts reading sidebar
+    stories story topics""".split())
+WIDGETS = frozenset("widget widgets".split())
 MAIN_WORDS = frozenset("article articlebody body content entry main post story text".split())
 CLOSES_P = PARAGRAPH_TAGS | LIST_TAGS - {"tr", "td", "th", "thead", "tbody", "tfoot", "caption"} | frozenset(
     "address article aside details div fieldset footer form header hr main menu nav section".split())
@@ -71,7 +85,9 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 
 GROUPS = ("box", "paragraph", "list", "main", "chrome")
 BOX, PARAGRAPH, LIST, MAIN, CHROME = range(5)
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?)""", re.S)
+# A quote opens a value only after an equals sign.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+)>?)""",
+                 re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
 
@@ -88,43 +104,60 @@ class Node:
 @dataclass(slots=True)
 class Page:
     nodes: list[Node] = field(default_factory=list)
-    blocks: list[tuple[int, str]] = field(default_factory=list)  # (node, text)
+    blocks: list[list[tuple[int, str]]] = field(default_factory=list)  # pieces of text and their nodes
 
 
-def group_of(tag: str, attributes: str) -> int:
-    """The group of an element, by its tag and the words of its names."""
-    if tag in ("html", "body"):
-        return BOX
-    words: set[str] = set()
+def name_words(attributes: str) -> tuple[list[set[str]], bool]:
+    """The words of each name an element has, and whether it is hidden."""
+    names: list[set[str]] = []
+    hidden = False
     for name, value in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role", "itemprop"):
-            words.update(w.lower() for w in NAME_WORD(value))
+            names += [{w.lower() for w in NAME_WORD(one)} for one in value.split()]
         elif name == "hidden" or (name, value) == ("aria-hidden", "true"):
-            words.add("popup")
+            hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none", value):
-            words.add("popup")
-    if tag in CHROME_TAGS or words & CHROME_WORDS:
+            hidden = True
+    return names, hidden
+
+
+def group_of(tag: str, attributes: str) -> int:
+    """The group of a block element, by its tag and the words of its names."""
+    if tag in ("html", "body"):
+        return BOX
+    names, hidden = name_words(attributes)
+    words = set().union(*names)
+    chrome = words & CHROME_WORDS
+    if RELATED in chrome and not any(RELATED in n and (len(n) == 1 or n & RELATED_TO) for n in names):
+        chrome.discard(RELATED)
+    main = words & MAIN_WORDS
+    if tag in CHROME_TAGS or hidden or chrome - WIDGETS or (chrome and not main):
         return CHROME
-    if tag in MAIN_TAGS or words & MAIN_WORDS:
+    if tag in MAIN_TAGS or (main and not chrome):
         return MAIN
     return PARAGRAPH if tag in PARAGRAPH_TAGS else LIST if tag in LIST_TAGS else BOX
 
 
+def set_off(attributes: str) -> bool:
+    """Whether an inline element is hidden or named as no part of its text."""
+    names, hidden = name_words(attributes)
+    return hidden or any(n & SET_OFF_WORDS for n in names)
+
+
 def parse(source: str | None) -> Page:
     """The block elements of a page and its blocks of text."""
     page = Page([Node(-1, "#page", BOX)])
     nodes = page.nodes
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements and the block node each belongs to
-    run: list[str] = []
+    run: list[tuple[int, str]] = []
     links = 0
 
     def flush() -> None:
         if run:
-            text = " ".join("".join(run).split())
+            if any(text.strip() for _, text in run):
+                page.blocks.append(run.copy())
             run.clear()
-            if text:
-                page.blocks.append((stack[-1][1], text))
 
     def close(at: int) -> None:
         nonlocal links
@@ -137,7 +170,7 @@ def parse(source: str | None) -> Page:
     def read(piece: str) -> None:
         if piece:
             text = html.unescape(piece)
-            run.append(text)
+            run.append((stack[-1][1], text))
             size = len(text) - text.count(" ")
             nodes[stack[-1][1]].chars += size
             if links:
@@ -160,13 +193,19 @@ def parse(source: str | None) -> Page:
                     close(i)
                     break
             continue
-        if tag in UNREAD:
-            if not m[0].endswith("/>"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
-                at = end.end() if end else len(source)
+        if tag in CODE or tag in RAW:
+            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
+            if end is None and tag in RAW:  # its text goes up to the next tag
+                end = re.compile(r"(?=<)").search(source, at)
+            at = end.end() if end else len(source)
+            continue
+        if tag in UNSHOWN:
+            end = None if m[0].endswith("/>") else re.compile(rf"<(/?){tag}\b[^>]*>?", re.I).search(source, at)
+            if end and end[1]:  # closed before another one begins
+                at = end.end()
             continue
         if tag == "br":
-            run.append(" ")
+            run.append((stack[-1][1], " "))
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
@@ -182,13 +221,17 @@ def parse(source: str | None) -> Page:
                 if stack[i][0] in ended:
                     close(i)
                     break
-        if tag in VOID:
+        if tag in VOID or (tag in FOREIGN and m[0].endswith("/>")):
             if tag not in INLINE:
                 flush()
             continue
         if tag in INLINE:
             links += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            if m[3] and set_off(m[3]):
+                nodes.append(Node(stack[-1][1], tag, CHROME))
+                stack.append((tag, len(nodes) - 1))
+            else:
+                stack.append((tag, stack[-1][1]))
         else:
             flush()
             nodes.append(Node(stack[-1][1], tag, group_of(tag, m[3])))
@@ -314,7 +357,8 @@ def marginals(page: Page, factors: Factors) -> list[float]:
 def main_text(source: str | None, factors: Factors) -> str:
     page = parse(source)
     p = marginals(page, factors)
-    return "\n".join(text for i, text in page.blocks if p[i] >= 0.5)
+    texts = (" ".join("".join(text for i, text in block if p[i] >= 0.5).split()) for block in page.blocks)
+    return "\n".join(text for text in texts if text)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

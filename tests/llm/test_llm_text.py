@@ -225,6 +225,53 @@ def test_main_text(factors, source, text):
     assert html_tree.main_text(source, factors) == text
 
 
+PROSE = "A sentence of ordinary prose that goes on for a while, with commas, and ends at last."
+
+
+@pytest.mark.parametrize("inner, text", [
+    ("<p>one<p><svg>two<p>three", "one\ntwo\nthree"),
+    ("<p>one</p><audio src=a><p>two</p><video><p>three</p><video>none</video>", "one\ntwo\nthree"),
+    ("<p>a<audio>no sound</audio>b</p><textarea>one <p>two</p>", "ab\ntwo"),
+    ("<p>Energy is <math><mi>E</mi>=<mi>m</mi></math> here</p>", "Energy is E=m here"),
+    (f"<section class='related-work'><p>{PROSE}</p></section>", PROSE),
+    ("<p>kept</p><section class='related-posts'><p>See also this one.</p></section>", "kept"),
+    ("<p>kept</p><div class='related'><p>See also this one.</p></div>", "kept"),
+    (f"<div class='story-widget text'><p>{PROSE}</p></div>", PROSE),
+    ("<p>kept</p><div class='widget'><p>Weather today.</p></div>", "kept"),
+    (f"<p>{PROSE}</p><address>1 Long Street</address>", PROSE + "\n1 Long Street"),
+    ("<p>Read <span class='advert'>Buy now</span> on.</p><p>And <span class='share'>Tell all</span>on</p>",
+     "Read on.\nAnd on"),
+    ("<p>Read <span class='advert'>Buy <b>now", "Read"),
+    ("<p>so <span hidden>no</span><span class='name'>yes</span></p>", "so yes"),
+    ("<p>a<img alt=\"5\" tall\">b</p><p title='x > y'>c</p><img alt=\"un>closed", "ab\nc\nclosed"),
+])
+def test_nothing_but_chrome_is_lost(factors, inner, text):
+    assert html_tree.main_text(f"<body><article>{inner}</article></body>", factors) == text
+
+
+def test_pages_of_several_templates(factors):
+    body = [f"{PROSE} Number {i}." for i in range(4)]
+    menu = "".join(f"<li><a href=/{i}>Topic {i}</a>" for i in range(6))
+    paragraphs = "".join(f"<p>{b}</p>" for b in body)
+    pages = [
+        f"<header><ul>{menu}</ul></header><main>{paragraphs}</main><footer>About us</footer>",
+        f"<div id=topNav><ul>{menu}</ul></div><div class='entry-content'>{paragraphs}</div><div class=sidebar>{menu}</div>",
+        f"<table><tr><td class=menu>{menu}<td class=articleBody>{paragraphs}</table><div class='cookie-notice'>Ok?</div>",
+        f"<article>{paragraphs}<div class='comments'><p>{PROSE}</p></div></article><aside>{menu}</aside>",
+        f"<div><ul>{menu}</ul></div><div>{paragraphs}</div>",
+    ]
+    for page in pages:
+        assert html_tree.main_text(f"<html><body>{page}</body></html>", factors).split("\n") == body
+
+
+def test_op5_further_columns(spark, write):
+    folder = write(pages=[(1, "u", "<article><p>one</p></article>")])
+    pages = (spark.read.parquet(f"{folder}/pages.parquet").withColumn("text", F.lit("x")).withColumn("id", F.lit(9))
+             .withColumn("chosen", F.lit(1)).withColumn("n_chars", F.lit(0)))
+    got = html_tree.extract(pages, html_tree.train(pages)).collect()
+    assert [tuple(r) for r in got] == [(1, "u", "one", 3)]
+
+
 def test_unmarked_page_is_decided_by_its_text(factors):
     long = "A sentence of ordinary prose that goes on for a while, with commas, and ends at last. " * 4
     source = (f"<body><div><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div><div><h2>Title</h2><p>{long}</p>"
