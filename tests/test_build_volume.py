@@ -1,11 +1,12 @@
-"""What the shared build moves: lines are shuffled once and narrow."""
+"""What the shared build moves and emits: lines are shuffled once and narrow,
+events follow the months, not the items."""
 
 import datetime as dt
 
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.skew_join import split_join
-from ledgerlens.plans import items
+from ledgerlens.plans import flows, items
 from ledgerlens.sources.journal import JOURNAL_SCHEMA, journal_from_tpch
 
 
@@ -63,3 +64,18 @@ def test_lines_are_dealt_by_date_before_the_partner_columns(spark, wh, monkeypat
     assert dealt.exceptAll(plain).count() == 0 == plain.exceptAll(dealt).count()
     sizes = [n for n in dealt.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()]
     assert max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_events_follow_the_months_not_the_items(spark):
+    inv, due, out = F.lit(dt.date(2000, 1, 5)), F.lit(dt.date(2000, 2, 4)), F.lit(dt.date(2000, 4, 9))
+    core = spark.range(3000).select(
+        F.lit("1000").alias("company_code"), F.date_add(inv, (F.col("id") % 20).cast("int")).alias("invoice_date"),
+        due.alias("due_date"), out.alias("expected_clearing_date"), out.alias("expected_payment_date"),
+        F.col("id").cast("decimal(18,2)").alias("amount_usd"), F.lit(1).cast("decimal(18,2)").alias("discount_captured_usd"),
+        F.lit(None).cast("decimal(18,2)").alias("discount_lost_usd"))
+    assert flows.ar_events(core, dt.date(2000, 1, 1)).count() == 5
+    assert flows.ap_events(core).count() == 3
+    total = 3000 * 2999 // 2
+    rows = flows.monthly_flows(core, core, dt.date(2000, 1, 1), dt.date(2000, 6, 30)).collect()
+    assert [(r.month, r.revenue_usd, r.ar_balance_usd, r.ap_balance_usd, r.discount_captured_usd, r.discount_lost_usd)
+            for r in rows] == [("2000-01", total, total, total, 3000, 0)]
