@@ -5,6 +5,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import skew_join
 from ledgerlens.operators.skew_join import split_join
 from ledgerlens.plans import flows, items
 from ledgerlens.sources.journal import JOURNAL_SCHEMA, journal_from_tpch
@@ -79,3 +80,29 @@ def test_events_follow_the_months_not_the_items(spark):
     rows = flows.monthly_flows(core, core, dt.date(2000, 1, 1), dt.date(2000, 6, 30)).collect()
     assert [(r.month, r.revenue_usd, r.ar_balance_usd, r.ap_balance_usd, r.discount_captured_usd, r.discount_lost_usd)
             for r in rows] == [("2000-01", total, total, total, 3000, 0)]
+
+
+def test_shuffle_join_deals_the_fact_to_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(skew_join, "TASK_ROWS", 100)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fact = spark.range(100 * (least + 5)).select((F.col("id") % 5000).alias("key"), F.col("id"))
+    dim = spark.range(4000).select(F.col("id").alias("key"), F.lit("n").alias("name"))
+    joined = split_join(fact, dim, "key", share=0.5, small_rows=3)
+    assert joined.count() == fact.join(dim, "key").count()
+    assert "BroadcastHashJoin" not in _plan(joined)
+    assert joined.rdd.getNumPartitions() == least + 5
+
+
+def test_lines_are_counted_before_they_are_dealt(spark, wh, monkeypatch):
+    """The lines of a side have partners: they are not dealt once more to look for nulls."""
+    monkeypatch.setattr(skew_join, "_null_is_hot", lambda *_: 1 / 0)
+    lines = [("1000", 2000, f"D{i}", str(i % 9), "", dt.date(2000, 1, 1), "USD", None, "S", "") for i in range(400)]
+    lines += [("1000", 2000, f"N{i}", None, None, dt.date(2000, 1, 1), "USD", None, "S", "") for i in range(400)]
+    journal = spark.createDataFrame(lines, JOURNAL_SCHEMA)
+    monkeypatch.setattr(items, "FEW_ROWS", 50)
+    dealt = items.ar_core(journal, wh.dim_customer, wh.dim_company, spread=True)
+    even = items.ar_core(journal, wh.dim_customer, wh.dim_company, split_hot=True, even=True)
+    assert dealt.exceptAll(even).count() == 0 == even.exceptAll(dealt).count()
+    assert even.rdd.getNumPartitions() == 8
+    sizes = even.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
