@@ -17,6 +17,9 @@ that begin with it, and only phrases that occur ``least`` times matter.
    routing key is crowded.  Each suffix goes to
    the partition of its shortest uncrowded leading words, and so all suffixes
    that share those meet in one task; a crowded key is only ever counted.
+   Before leading words are shuffled, ``sketch`` adds up their hashed counts: a
+   place below ``least`` holds no frequent phrase, so what falls on it is left
+   out (leading pairs) or cut off (three to ``DEPTH`` leading words).
 4. ``frequent``: each task sorts pointers to its suffixes by a multikey
    three-way quicksort: a partition is split by the word at its depth into
    less, equal and greater; the weight of the equal part is the phrase's count,
@@ -27,7 +30,8 @@ that begin with it, and only phrases that occur ``least`` times matter.
 
 What is frequent or crowded is sent to the tasks as a bitmap of ``BITS`` places
 (a Bloom filter of one hash): its size does not grow.  A place hit by chance
-only sends a few suffixes further than needed; counts never change.
+only sends a few suffixes further than needed; counts never change.  A sketch's
+places grow with the suffixes up to ``2**SKETCH_BITS``.
 
 Defined results: a null text is empty; a null language is ``und``; repeated
 rows count each; a piece of one word has no phrase; ties of score and count go
@@ -38,7 +42,8 @@ ignored.
 from __future__ import annotations
 
 import string
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -58,6 +63,10 @@ NO_LANG = "und"
 # Of a longer phrase's count in percent of the shorter's that makes it stand for it.
 SHARE = 100
 BITS = 25
+SKETCH_BITS = 16, 27      # least and most
+SKETCH_LOAD = 16          # suffixes a place of a sketch, about
+SKETCH_ROWS = 1 << 21     # suffixes that a task adds up before it sends their places
+BLOCK = 16                # bits of the places that are sent as one row
 BUFFER = 1 << 20          # suffixes of a task that are collapsed at once
 REMEMBERED = 400_000      # words and their ids that a task remembers
 SLICE_BYTES = 1 << 20     # of a text that are split at once
@@ -71,6 +80,7 @@ TABLE = LOWER.translate(bytes.maketrans(ENDS + b"\t", b"\n" * len(ENDS) + b" "))
 SUFFIX = [f"w{k}" for k in range(1, DEPTH + 1)]
 SUFFIX_SCHEMA = ", ".join(f"{c} long" for c in SUFFIX) + ", n long"
 COUNT_SCHEMA = "lang string, word string, n long"
+BLOCK_SCHEMA = "depth int, block int, places binary"
 
 
 def word_lists(text: str | None) -> Iterator[list[bytes]]:
@@ -192,7 +202,7 @@ def bitmap(keys: DataFrame, key: Column) -> np.ndarray:
 
 
 def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys & np.uint64((1 << BITS) - 1)
+    place = keys & np.uint64(8 * len(bits) - 1)
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -279,13 +289,121 @@ def suffixes(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return materialize(docs.mapInArrow(_suffixes(vocabulary.seed, mask, frequent), SUFFIX_SCHEMA), "suffixes")
 
 
-def _routing(levels: dict, deepest: int):
-    """mapInArrow function: suffixes to the surviving ones with their key, cut
-    at the first pair of neighbours that is not frequent.  What is left of only
-    two words stays: all pairs have been counted.
+def _cut(columns: list[np.ndarray], n: np.ndarray, bits: dict, deepest: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Suffixes of three or more words cut at the first pair of neighbours that
+    is not frequent (pairs themselves have been counted).
 
-    ``levels``: for each number of leading words the bitmaps of frequent and
+    ``bits``: for each number of leading words the bitmaps of frequent and
     crowded keys."""
+    kept = has(bits[2][0], leads(columns, 2))
+    columns, n = [c[kept] for c in columns], n[kept]
+    # a phrase is at most as frequent as each pair of neighbours in it
+    for at in range(1, DEPTH - 1):
+        pair = has(bits[2][0], leads(columns[at:], 2))
+        columns[at + 1] = np.where(pair & (columns[at] != 0), columns[at + 1], 0)
+    # below crowded leading words, longer ones have been counted too
+    crowded = np.ones(len(n), bool)
+    for d in range(2, deepest):
+        crowded &= has(bits[d][1], leads(columns, d))
+        rare = crowded & ~has(bits[d + 1][0], leads(columns, d + 1))
+        for c in columns[d:]:
+            c[rare] = 0
+    longer = columns[2] != 0
+    return [c[longer] for c in columns], n[longer]
+
+
+def _suffix_columns(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+    return [batch.column(c).to_numpy() for c in SUFFIX if c in batch.schema.names], batch.column("n").to_numpy()
+
+
+def _sketch(depths: list[int], bits: int, least: int, levels: dict, deepest: int):
+    """mapInArrow function: suffixes to the counts of their leading words'
+    places, none above ``least``; compressed, as most are zero.  With
+    ``levels`` (see ``_cut``) the suffixes are cut first."""
+    kind = np.min_scalar_type(2 * least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {d: (f.value, c.value) for d, (f, c) in levels.items()}
+        held: dict[int, list[tuple]] = defaultdict(list)
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for depth, parts in held.items():
+                place = np.concatenate([p for p, _ in parts])
+                n = np.concatenate([c for _, c in parts])
+                order = np.argsort(place)
+                place, n = place[order], n[order]
+                starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                place, n = place[starts], np.minimum(np.add.reduceat(n, starts), least)
+                block = place >> np.uint32(BLOCK)
+                first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+                packed = []
+                for low, high in zip(first, np.r_[first[1:], len(place)]):
+                    dense = np.zeros(1 << BLOCK, kind)
+                    dense[place[low:high] & np.uint32((1 << BLOCK) - 1)] = n[low:high]
+                    packed.append(zlib.compress(dense, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), depth, np.int32)), pa.array(block[first].astype(np.int32)),
+                     pa.array(packed, pa.binary())], names=["depth", "block", "places"])
+            held.clear()
+
+        for batch in batches:
+            columns, n = _suffix_columns(batch)
+            if known:
+                columns, n = _cut(columns, n, known, deepest)
+            for depth in depths:
+                whole = columns[depth - 1] != 0
+                if whole.any():
+                    key = leads([c[whole] for c in columns], depth) & np.uint64((1 << bits) - 1)
+                    held[depth].append((key.astype(np.uint32), n[whole]))
+            size += len(n)
+            if size >= SKETCH_ROWS:
+                yield from out()
+                size = 0
+        yield from out()
+    return run
+
+
+def _reached(least: int):
+    """mapInArrow function: the parts of each block added up, to a bit a place."""
+    kind = np.min_scalar_type(2 * least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for depth, block, places in zip(*(batch.column(c).to_pylist() for c in ("depth", "block", "places"))):
+                some = np.frombuffer(zlib.decompress(places), kind)
+                before = sums.get((depth, block))
+                sums[depth, block] = some if before is None else np.minimum(before + some, least).astype(kind)
+        for (depth, block), n in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([depth], pa.int32()), pa.array([block], pa.int32()),
+                 pa.array([np.packbits(n >= least, bitorder="little").tobytes()], pa.binary())],
+                names=["depth", "block", "places"])
+    return run
+
+
+def sketch(some: DataFrame, depths: list[int], bits: int, least: int, levels: dict | None = None,
+           deepest: int = 2) -> dict:
+    """For each number of leading words a bitmap, sent to the tasks, of the
+    ``2**bits`` places where suffixes that weigh ``least`` or more in all meet:
+    every frequent key is on one, few others are.  The counts are added up in
+    blocks; their bits, of bounded size, meet on the driver."""
+    spark = some.sparkSession
+    counts = some.mapInArrow(_sketch(depths, bits, least, levels or {}, deepest), BLOCK_SCHEMA)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = counts.repartition(parts, "depth", "block").mapInArrow(_reached(least), BLOCK_SCHEMA).collect()
+    out = {d: np.zeros(1 << bits >> 3, np.uint8) for d in depths}
+    for r in rows:
+        at = r["block"] << BLOCK >> 3
+        out[r["depth"]][at:at + len(r["places"])] = np.frombuffer(r["places"], np.uint8)
+    return {d: spark.sparkContext.broadcast(b) for d, b in out.items()}
+
+
+def _routing(levels: dict, deepest: int, reached: dict):
+    """mapInArrow function: suffixes to the surviving ones with their key, cut
+    as by ``_cut`` and at the first leading words that the bitmaps ``reached``
+    lack.."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = {d: (f.value, c.value) for d, (f, c) in levels.items()}
         held: list[tuple] = []
@@ -303,22 +421,12 @@ def _routing(levels: dict, deepest: int):
             return _batch(columns, n, key=key.view(np.int64), level=level)
 
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in SUFFIX]
-            kept = has(bits[2][0], leads(columns, 2))
-            columns = [c[kept] for c in columns]
-            n = batch.column("n").to_numpy()[kept]
-            # a phrase is at most as frequent as each pair of neighbours in it
-            for at in range(1, DEPTH - 1):
-                pair = has(bits[2][0], leads(columns[at:], 2))
-                columns[at + 1] = np.where(pair & (columns[at] != 0), columns[at + 1], 0)
-            # below crowded leading words, longer ones have been counted too
-            crowded = np.ones(len(n), bool)
-            for d in range(2, deepest):
-                crowded &= has(bits[d][1], leads(columns, d))
-                rare = crowded & ~has(bits[d + 1][0], leads(columns, d + 1))
-                for c in columns[d:]:
+            columns, n = _cut(*_suffix_columns(batch), bits, deepest)
+            for d, places in reached.items():
+                rare = ~has(places.value, leads(columns, d))
+                for c in columns[d - 1:]:
                     c[rare] = 0
-            longer = columns[2] != 0      # pairs are counted
+            longer = columns[2] != 0
             held.append((*[c[longer] for c in columns], n[longer]))
             size += int(longer.sum())
             if size >= BUFFER:
@@ -375,13 +483,18 @@ def frequent(stored: DataFrame, least: int = LEAST, partition_rows: int = PARTIT
     spark = stored.sparkSession
     size = stored.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
     # few large tasks count the leading words, so that most counts meet before the shuffle
-    below = stored.coalesce(max(-(-size["rows"] // COUNT_ROWS), 1))
+    few = below = stored.coalesce(max(-(-size["rows"] // COUNT_ROWS), 1))
+    low, high = SKETCH_BITS
+    bits = min(max(((size["n"] or 0) // SKETCH_LOAD).bit_length(), low), high)
     least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     limit = max((size["n"] or 0) // max(least_parts, -(-size["rows"] // partition_rows)) // 2, least)
     levels, counted = {}, []
     for depth in range(2, DEPTH + 1):
         names = SUFFIX[:depth]
-        found = (below.filter(F.col(names[-1]) != 0).groupBy(*names).agg(F.sum("n").alias("n"))
+        # only the leading words are read and sent to Python
+        leading = below.filter(F.col(names[-1]) != 0).select(*names, "n")
+        likely = sketch(leading, [depth], bits, least)[depth]
+        found = (leading.mapInArrow(_below(likely, depth), leading.schema).groupBy(*names).agg(F.sum("n").alias("n"))
                  .filter(F.col("n") >= least))
         found = materialize(found, "leading")
         busy = bitmap(found.filter(F.col("n") > limit), lead_column(names))
@@ -395,7 +508,9 @@ def frequent(stored: DataFrame, least: int = LEAST, partition_rows: int = PARTIT
         below = below.mapInArrow(_below(sent, depth), SUFFIX_SCHEMA)
     if depth > 2:
         counted.pop()      # of the last lead all go to the sort
-    routed = materialize(stored.mapInArrow(_routing(levels, depth), SUFFIX_SCHEMA + ", key long, level int"), "routed")
+    longer = few.filter(F.col(SUFFIX[2]) != 0)      # pairs are counted
+    reached = sketch(longer, list(range(3, DEPTH + 1)), bits, least, levels, depth)
+    routed = materialize(longer.mapInArrow(_routing(levels, depth, reached), SUFFIX_SCHEMA + ", key long, level int"), "routed")
     parts = max(least_parts, -(-routed.count() // partition_rows))
     phrases = routed.repartition(parts, "key").mapInArrow(_sort(least), SUFFIX_SCHEMA)
     for some in counted:
@@ -404,10 +519,10 @@ def frequent(stored: DataFrame, least: int = LEAST, partition_rows: int = PARTIT
 
 
 def _below(busy, depth: int):
-    """mapInArrow function: the rows whose ``depth`` leading words are crowded."""
+    """mapInArrow function: the rows whose ``depth`` leading words the bitmap has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(has(busy.value, leads([batch.column(c).to_numpy() for c in SUFFIX], depth))))
+            yield batch.filter(pa.array(has(busy.value, leads(_suffix_columns(batch)[0], depth))))
     return run
 
 

@@ -143,3 +143,48 @@ def test_quicksort_counts():
     at, length, count = C.quicksort(columns, n, 40)
     got = {tuple(int(columns[k][i]) for k in range(size)): c for i, size, c in zip(at, length, count)}
     assert got == {p: c for p, c in expected.items() if c >= 40}
+
+
+def test_only_suffixes_that_can_be_frequent_are_routed(spark, monkeypatch):
+    """Frequent pairs in changing company: each triple is rare, so that the
+    suffixes of three words and more need not meet in a task."""
+    rows = [(i, f"a b. b c. a b c x{i % 3}" if i < 30 else f"a b c{i % 40}. b c{i % 40} y", "en") for i in range(300)]
+    found = C._spoken(spark.createDataFrame(rows, SCHEMA), "text", "lang")
+    seen = {}
+
+    def stored(df, kind, real=C.materialize):
+        seen[kind] = real(df, kind)
+        return seen[kind]
+
+    monkeypatch.setattr(C, "materialize", stored)
+    vocabulary = C.Vocabulary(found, 5)
+    names = {r["id"]: r["word"] for r in vocabulary.words.collect()}
+    got = {tuple(names[x] for x in r[:5] if x): r["n"] for r in C.frequent(C.suffixes(found, vocabulary), 10).collect()}
+    counts = phrase_counts(rows)
+    assert got == {p: c for (_, p), c in counts.items() if c >= 10 and len(p) > 1}
+    routed = seen["routed"].collect()
+    # before: every "a b c<k>" and "b c<k> y" too, of 6 or 7 occurrences each
+    assert {tuple(names[x] for x in r[:5] if x) for r in routed} == {p for p in got if len(p) == 4 or p == ("b", "c", "x0")
+                                                                     or p == ("b", "c", "x1") or p == ("b", "c", "x2")}
+
+
+@pytest.mark.parametrize("bits", [16, 18])
+def test_sketch_has_every_frequent_lead(spark, bits, monkeypatch):
+    monkeypatch.setattr(C, "SKETCH_ROWS", 50)
+    rng = random.Random(9)
+    rows = []
+    for _ in range(600):
+        w = [rng.randrange(1, 9) * 2654435761 | 1 for _ in range(C.DEPTH)]
+        size = rng.randrange(2, C.DEPTH + 1)
+        rows.append((*w[:size], *[0] * (C.DEPTH - size), rng.randrange(1, 300)))
+    stored = spark.createDataFrame(rows, C.SUFFIX_SCHEMA).repartition(4)
+    for least in (1, 100, 1000):
+        got = C.sketch(stored, [2, 3, 5], bits, least)
+        for depth, sent in got.items():
+            total = Counter()
+            for *w, n in rows:
+                if w[depth - 1]:
+                    key = C.leads([np.array([x], np.int64) for x in w], depth)[0] & np.uint64((1 << bits) - 1)
+                    total[int(key)] += n
+            assert set(np.flatnonzero(np.unpackbits(sent.value, bitorder="little"))) == {
+                k for k, n in total.items() if n >= least}
